@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
+from .bpe import op3_byte_bpe
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_byte_bpe": op3_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
