@@ -1,10 +1,18 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
 from .bpe import op3_byte_bpe
+from .html_text import op10_html_text
+from .packing import op5_packing
+from .quality_rules import op4_quality_rules
 from .simhash import op1_simhash
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
