@@ -5,13 +5,17 @@ from .html_text import op10_html_text
 from .packing import op5_packing
 from .quality_rules import op4_quality_rules
 from .simhash import op1_simhash
+from .suffix_dedup import op6_suffix_dedup
+from .topk import op2_topk
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
