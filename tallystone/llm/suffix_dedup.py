@@ -23,6 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import Table, read_table
 
@@ -115,23 +116,37 @@ def _short(key: np.ndarray) -> np.ndarray:
 
 
 def _blocks(block_bytes: int):
+    """Rows (doc_id, text, other columns) to blocks; the other columns travel as an Arrow stream."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ranks, texts, size = [], [], 0
+        ranks, texts, others, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
+            nonlocal number, ranks, texts, others, size
             sizes = np.array([len(t) for t in texts], np.int64)
-            columns = [[number], [int(sizes.sum())], [_pack(np.array(ranks, np.int64))], [_pack(sizes)], [zstandard.compress(b"".join(texts), 3)]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["block", "bytes", "ranks", "sizes", "data"])
+            stream = pa.BufferOutputStream()
+            with pa.ipc.new_stream(stream, others[0].schema) as writer:
+                for part in others:
+                    writer.write_batch(part)
+            blobs = [_pack(np.array(ranks, np.int64)), _pack(sizes), zstandard.compress(b"".join(texts), 3), zstandard.compress(stream.getvalue().to_pybytes(), 3)]
+            row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(sizes.sum())]), *(pa.array([x], pa.binary()) for x in blobs)], ["block", "bytes", "ranks", "sizes", "data", "others"])
+            number, ranks, texts, others, size = number + 1, [], [], [], 0
+            return row
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1)):
+            rest = b.select(b.schema.names[2:])
+            begin = 0
+            for n, (doc_id, text) in enumerate(zip(b.column(0), b.column(1)), 1):
                 ranks.append(NO_ID if (i := doc_id.as_py()) is None else i)
                 texts.append(text.as_py() or b"")
                 size += len(texts[-1])
                 if size >= block_bytes or len(texts) >= 1 << 16:
+                    others.append(rest.slice(begin, n - begin))
+                    begin = n
                     yield out()
-                    number, ranks, texts, size = number + 1, [], [], 0
+            if begin < b.num_rows:
+                others.append(rest.slice(begin))
         if texts:
             yield out()
 
@@ -299,24 +314,28 @@ def _least(length: int):
     return run
 
 
-def _applied(length: int):
-    """The documents of a block with what is removed from them."""
+def _whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``gone`` without the bytes of UTF-8 characters of which another byte stays."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data)))) if len(first) and not first[0] else gone
+
+
+def _applied(length: int, whole: bool):
+    """The documents of a block with what is removed from them, and their other columns."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}
-        if not left.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in kinds.items()})
-        block = Block.of(left.to_pylist()[0], length)
-        data = block.data
+        row = left.to_pylist()[0]
+        block = Block.of(row, length)
+        data = np.frombuffer(block.data, np.uint8)
         gone = np.zeros(len(data) + 1, np.int32)
         rows = {r["bucket"]: r for r in right.to_pylist()}
         if (plan := rows.pop(PLAN, None)) is not None:
             start, count, bucket, place = _unpack(plan["ranks"], np.int64).reshape(4, -1)
             rank = block.ranks[np.searchsorted(block.ends, start, "right")]
-            for b, row in rows.items():
-                sizes = _unpack(row["sizes"], np.int32).astype(np.int64)
-                least = _unpack(row["ranks"], np.int64)
+            for b, answer in rows.items():
+                sizes = _unpack(answer["sizes"], np.int32).astype(np.int64)
+                least = _unpack(answer["ranks"], np.int64)
                 own = np.flatnonzero(bucket == b)
                 n = count[own]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -325,22 +344,45 @@ def _applied(length: int):
                 np.add.at(gone, at, 1)
                 np.subtract.at(gone, at + length, 1)
         gone = np.cumsum(gone[:-1]) > 0
+        if whole:
+            gone = _whole_characters(gone, data)
         spans, kept = [], []
         for i, j in zip(block.begins.tolist(), block.ends.tolist()):
             mask = gone[i:j]
             if not mask.any():
                 spans.append([])
-                kept.append(data[i:j])
+                kept.append(block.data[i:j])
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
             spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
-            kept.append(np.frombuffer(data, np.uint8)[i:j][~mask].tobytes())
-        ids = pa.array(block.ranks, mask=block.ranks == NO_ID)
-        return pa.table({"doc_id": ids, "n_bytes": pa.array(block.sizes), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+            kept.append(data[i:j][~mask].tobytes())
+        others = pa.ipc.open_stream(zstandard.decompress(row["others"])).read_all()
+        found = [pa.array(block.ranks, mask=block.ranks == NO_ID), pa.array(block.sizes), pa.array(spans, span), pa.array(kept, pa.binary())]
+        return pa.Table.from_arrays([*found, *others.columns], names=["_doc_id", "_n_bytes", "_spans", "_kept", *others.column_names])
 
     return run
 
 
+def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int, bucket_bytes: int, hot: int, whole: bool) -> DataFrame:
+    """``_doc_id``, ``_n_bytes``, ``_spans``, ``_kept`` and the columns ``others`` of every document."""
+    if length < GRAM + 8:
+        raise ValueError(f"strings have {GRAM + 8} bytes at least")
+    text = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text"), *others)
+    blocks = Table(text.mapInArrow(_blocks(block_bytes), "block long, bytes long, ranks binary, sizes binary, data binary, others binary"), "blocks").df
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes))
+    own = blocks.select("block", "ranks", "sizes", "data")
+    by_bucket = "bucket int, block long, keys binary"
+    shared = Table(own.mapInArrow(_key_rows(buckets, length), by_bucket).groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
+    rows = "bucket int, block long, texts binary, sizes binary, ranks binary"
+    texts = Table(own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows), "texts").df
+    least = texts.where(f"bucket <> {PLAN}").groupBy("bucket").applyInArrow(_least(length), rows)
+    plans = texts.where(f"bucket = {PLAN}").union(least)
+    kinds = T.StructType.fromDDL("_doc_id long, _n_bytes long, _spans array<struct<start:long,end:long>>, _kept binary")
+    schema = T.StructType([*kinds.fields, *(docs.schema[c] for c in others)])
+    return blocks.drop("bytes").groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_applied(length, whole), schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """What stays of every document when each repeated string of ``length`` bytes stays in its first document only.
 
@@ -352,21 +394,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     Null texts are empty; texts shorter than ``length`` stay whole. A null doc_id is larger than any other. Of rows
     with equal doc_id none is first, so they don't affect each other. An empty table gives no rows.
     """
-    if length < GRAM + 8:
-        raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    blocks = Table(text.mapInArrow(_blocks(block_bytes), "block long, bytes long, ranks binary, sizes binary, data binary"), "blocks").df
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    by_bucket = "bucket int, block long, keys binary"
-    keys = blocks.select("block", "ranks", "sizes", "data").mapInArrow(_key_rows(buckets, length), by_bucket)
-    shared = Table(keys.groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
-    rows = "bucket int, block long, texts binary, sizes binary, ranks binary"
-    own = blocks.select("block", "ranks", "sizes", "data")
-    texts = Table(own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows), "texts")
-    least = texts.df.where(f"bucket <> {PLAN}").groupBy("bucket").applyInArrow(_least(length), rows)
-    plans = texts.df.where(f"bucket = {PLAN}").union(least)
-    return own.groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_applied(length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    done = _removed(docs, [], length, block_bytes, bucket_bytes, hot, False)
+    return done.select(F.col("_doc_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+    """``docs``, all columns and rows, with what ``remove_repeats`` leaves of each text, in whole characters.
+
+    A character of which a byte would stay stays. A null text becomes an empty one. ``n_chars``, if there is one, is
+    the new text's length.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = _removed(docs, others, length, block_bytes, bucket_bytes, hot, True)
+    named = {"doc_id": F.col("_doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("_kept").cast("string").alias("text")}
+    if "n_chars" in others:
+        named["n_chars"] = F.length(F.col("_kept").cast("string")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return done.select(*(named.get(c, F.col(c)) for c in docs.columns))
 
 
 def removed_bytes(spans: str = "spans"):
