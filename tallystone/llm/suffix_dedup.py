@@ -29,7 +29,7 @@ from .shared import Table, read_table
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 2_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 4_000_000
 #: Blocks that hold a key from which on its runs are split by string.
 HOT = 256
 #: Sorts after all doc_ids: a null doc_id.
@@ -38,12 +38,15 @@ NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+_deflate, _inflate = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()  # made once: blobs are many and small
+
+
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return _deflate.compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+    return np.frombuffer(_inflate.decompress(b), kind)
 
 
 def _eights(b: np.ndarray) -> np.ndarray:
@@ -90,7 +93,7 @@ class Block:
 
     @classmethod
     def of(cls, row: dict, length: int) -> "Block":
-        return cls(_unpack(row["ranks"], np.int64), _unpack(row["sizes"], np.int64), zstandard.decompress(row["data"]), length)
+        return cls(_unpack(row["ranks"], np.int64), _unpack(row["sizes"], np.int64), _inflate.decompress(row["data"]), length)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, first start, number of starts and document's index of each run."""
@@ -129,7 +132,7 @@ def _blocks(block_bytes: int):
             with pa.ipc.new_stream(stream, others[0].schema) as writer:
                 for part in others:
                     writer.write_batch(part)
-            blobs = [_pack(np.array(ranks, np.int64)), _pack(sizes), zstandard.compress(b"".join(texts), 3), zstandard.compress(stream.getvalue().to_pybytes(), 3)]
+            blobs = [_pack(np.array(ranks, np.int64)), _pack(sizes), _deflate.compress(b"".join(texts)), _deflate.compress(stream.getvalue().to_pybytes())]
             row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(sizes.sum())]), *(pa.array([x], pa.binary()) for x in blobs)], ["block", "bytes", "ranks", "sizes", "data", "others"])
             number, ranks, texts, others, size = number + 1, [], [], [], 0
             return row
@@ -202,7 +205,8 @@ def _shared(hot: int):
     return run
 
 
-PLAN = -1  # the bucket of a row that tells a block which of its strings are in which text
+#: The bucket of a row that tells a block which of its strings are in which text is this less the block's number.
+PLAN = -1
 
 
 def _texts(buckets: int, length: int):
@@ -210,7 +214,7 @@ def _texts(buckets: int, length: int):
     names = ["bucket", "block", "texts", "sizes", "ranks"]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({n: pa.array([], pa.int32() if n == "bucket" else pa.int64() if n == "block" else pa.binary()) for n in names})
+        none = pa.table({n: pa.array([], pa.int64() if n in ("bucket", "block") else pa.binary()) for n in names})
         if not left.num_rows or not right.num_rows:
             return none
         number = left.column("block")[0].as_py()
@@ -248,11 +252,11 @@ def _texts(buckets: int, length: int):
             own = order[i:j]
             place[own] = np.arange(j - i)
             some = [texts[t] for t in own.tolist()]
-            rows.append((int(of_text[own[0]]), zstandard.compress(b"".join(some), 3), _pack(np.array([len(t) for t in some], np.int32)), _pack(least[own])))
+            rows.append((int(of_text[own[0]]), _deflate.compress(b"".join(some)), _pack(np.array([len(t) for t in some], np.int32)), _pack(least[own])))
         plan = np.stack([start, count, bucket, place[same]]).astype(np.int64)
-        rows.append((PLAN, b"", b"", _pack(plan)))
+        rows.append((PLAN - number, b"", b"", _pack(plan)))
         return pa.table(
-            {"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in enumerate(names[2:], 1)}}
+            {"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in enumerate(names[2:], 1)}}
         )
 
     return run
@@ -266,7 +270,7 @@ def expand(data: np.ndarray, starts: np.ndarray, owners: np.ndarray, ranks: np.n
     """
     least = ranks[owners]
     before = _eights(data)
-    active = np.arange(len(starts))
+    active = np.arange(len(starts), dtype=np.int32)
     interval = np.zeros(len(starts), np.uint64)
     reached = 0
     while reached < length and len(active):
@@ -293,18 +297,20 @@ def expand(data: np.ndarray, starts: np.ndarray, owners: np.ndarray, ranks: np.n
 
 
 def _least(length: int):
-    """For each block, the least rank that holds each string of its texts in a bucket."""
+    """For each block, the least rank that holds each string of its texts in a bucket; a plan passes as it is."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() <= PLAN:
+            return table
         rows = table.to_pylist()
         sizes = [_unpack(r["sizes"], np.int32).astype(np.int64) for r in rows]
         ranks = np.concatenate([_unpack(r["ranks"], np.int64) for r in rows])
-        data = np.frombuffer(b"".join([zstandard.decompress(r["texts"]) for r in rows]), np.uint8)
+        data = np.frombuffer(b"".join([_inflate.decompress(r["texts"]) for r in rows]), np.uint8)
         size = np.concatenate(sizes)
         counts = size - length + 1
-        owners = np.repeat(np.arange(len(size)), counts)
+        owners = np.repeat(np.arange(len(size), dtype=np.int32), counts)
         starts = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(size) - size, counts)
-        least = expand(data, starts, owners, ranks, length)
+        least = expand(data, starts.astype(np.int32), owners, ranks, length)
         ends = np.cumsum([int((s - length + 1).sum()) for s in sizes])
         blobs = [_pack(least[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
         empty = pa.array([b""] * len(rows), pa.binary())
@@ -330,7 +336,7 @@ def _applied(length: int, whole: bool):
         data = np.frombuffer(block.data, np.uint8)
         gone = np.zeros(len(data) + 1, np.int32)
         rows = {r["bucket"]: r for r in right.to_pylist()}
-        if (plan := rows.pop(PLAN, None)) is not None:
+        if (plan := rows.pop(PLAN - row["block"], None)) is not None:
             start, count, bucket, place = _unpack(plan["ranks"], np.int64).reshape(4, -1)
             rank = block.ranks[np.searchsorted(block.ends, start, "right")]
             for b, answer in rows.items():
@@ -356,7 +362,7 @@ def _applied(length: int, whole: bool):
             edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
             spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
             kept.append(data[i:j][~mask].tobytes())
-        others = pa.ipc.open_stream(zstandard.decompress(row["others"])).read_all()
+        others = pa.ipc.open_stream(_inflate.decompress(row["others"])).read_all()
         found = [pa.array(block.ranks, mask=block.ranks == NO_ID), pa.array(block.sizes), pa.array(spans, span), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([*found, *others.columns], names=["_doc_id", "_n_bytes", "_spans", "_kept", *others.column_names])
 
@@ -374,10 +380,9 @@ def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int,
     own = blocks.select("block", "ranks", "sizes", "data")
     by_bucket = "bucket int, block long, keys binary"
     shared = Table(own.mapInArrow(_key_rows(buckets, length), by_bucket).groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
-    rows = "bucket int, block long, texts binary, sizes binary, ranks binary"
-    texts = Table(own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows), "texts").df
-    least = texts.where(f"bucket <> {PLAN}").groupBy("bucket").applyInArrow(_least(length), rows)
-    plans = texts.where(f"bucket = {PLAN}").union(least)
+    rows = "bucket long, block long, texts binary, sizes binary, ranks binary"
+    texts = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows)
+    plans = texts.groupBy("bucket").applyInArrow(_least(length), rows)
     kinds = T.StructType.fromDDL("_doc_id long, _n_bytes long, _spans array<struct<start:long,end:long>>, _kept binary")
     schema = T.StructType([*kinds.fields, *(docs.schema[c] for c in others)])
     return blocks.drop("bytes").groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_applied(length, whole), schema)
