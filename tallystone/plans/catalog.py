@@ -1,5 +1,6 @@
 """The registered queries over the provided tables, and the SQL that checks them."""
 
+from . import base, evaluation, sequences, sets, texts  # noqa: F401  importing registers
+
 FLAGSHIP = "a1_confusion"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
