@@ -38,15 +38,23 @@ NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-_deflate, _inflate = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()  # made once: blobs are many and small
+_compressor, _decompressor = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()  # made once: blobs are many and small
+
+
+def _deflate(b: bytes) -> bytes:
+    return _compressor.compress(b)
+
+
+def _inflate(b: bytes) -> bytes:
+    return _decompressor.decompress(b)
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return _deflate.compress(np.ascontiguousarray(a).tobytes())
+    return _deflate(np.ascontiguousarray(a).tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(_inflate.decompress(b), kind)
+    return np.frombuffer(_inflate(b), kind)
 
 
 def _eights(b: np.ndarray) -> np.ndarray:
@@ -93,7 +101,7 @@ class Block:
 
     @classmethod
     def of(cls, row: dict, length: int) -> "Block":
-        return cls(_unpack(row["ranks"], np.int64), _unpack(row["sizes"], np.int64), _inflate.decompress(row["data"]), length)
+        return cls(_unpack(row["ranks"], np.int64), _unpack(row["sizes"], np.int64), _inflate(row["data"]), length)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, first start, number of starts and document's index of each run."""
@@ -132,7 +140,7 @@ def _blocks(block_bytes: int):
             with pa.ipc.new_stream(stream, others[0].schema) as writer:
                 for part in others:
                     writer.write_batch(part)
-            blobs = [_pack(np.array(ranks, np.int64)), _pack(sizes), _deflate.compress(b"".join(texts)), _deflate.compress(stream.getvalue().to_pybytes())]
+            blobs = [_pack(np.array(ranks, np.int64)), _pack(sizes), _deflate(b"".join(texts)), _deflate(stream.getvalue().to_pybytes())]
             row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(sizes.sum())]), *(pa.array([x], pa.binary()) for x in blobs)], ["block", "bytes", "ranks", "sizes", "data", "others"])
             number, ranks, texts, others, size = number + 1, [], [], [], 0
             return row
@@ -252,7 +260,7 @@ def _texts(buckets: int, length: int):
             own = order[i:j]
             place[own] = np.arange(j - i)
             some = [texts[t] for t in own.tolist()]
-            rows.append((int(of_text[own[0]]), _deflate.compress(b"".join(some)), _pack(np.array([len(t) for t in some], np.int32)), _pack(least[own])))
+            rows.append((int(of_text[own[0]]), _deflate(b"".join(some)), _pack(np.array([len(t) for t in some], np.int32)), _pack(least[own])))
         plan = np.stack([start, count, bucket, place[same]]).astype(np.int64)
         rows.append((PLAN - number, b"", b"", _pack(plan)))
         return pa.table(
@@ -305,7 +313,7 @@ def _least(length: int):
         rows = table.to_pylist()
         sizes = [_unpack(r["sizes"], np.int32).astype(np.int64) for r in rows]
         ranks = np.concatenate([_unpack(r["ranks"], np.int64) for r in rows])
-        data = np.frombuffer(b"".join([_inflate.decompress(r["texts"]) for r in rows]), np.uint8)
+        data = np.frombuffer(b"".join([_inflate(r["texts"]) for r in rows]), np.uint8)
         size = np.concatenate(sizes)
         counts = size - length + 1
         owners = np.repeat(np.arange(len(size), dtype=np.int32), counts)
@@ -362,7 +370,7 @@ def _applied(length: int, whole: bool):
             edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
             spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
             kept.append(data[i:j][~mask].tobytes())
-        others = pa.ipc.open_stream(_inflate.decompress(row["others"])).read_all()
+        others = pa.ipc.open_stream(_inflate(row["others"])).read_all()
         found = [pa.array(block.ranks, mask=block.ranks == NO_ID), pa.array(block.sizes), pa.array(spans, span), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([*found, *others.columns], names=["_doc_id", "_n_bytes", "_spans", "_kept", *others.column_names])
 
