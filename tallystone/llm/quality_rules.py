@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Table, read_table
+from .shared import Table, fresh, read_table
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -23,6 +23,9 @@ ROUNDS = 15
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Votes that each estimate starts from, so that no probability is zero.
 PRIOR_COUNT = 1.0
+#: A rule votes bad on this share of the good documents at most. Votes of one rule alone can't tell "this rule errs
+#: often" from "there is such junk", so without it a kind of junk that only one rule sees would pass for good.
+MOST_WRONG = 0.002
 
 
 @dataclass(frozen=True)
@@ -134,6 +137,8 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> list[list[fl
         for c in range(n_rules + 1):
             size = found.get((c, n_slots - 1), 0.0)
             votes = [math.log((found.get((c, k), 0.0) + PRIOR_COUNT) / (size + 3 * PRIOR_COUNT)) for k in range(n_slots - 1)]
+            if c == 0:
+                votes[BAD : n_slots - 1 : 3] = [min(v, math.log(MOST_WRONG)) for v in votes[BAD : n_slots - 1 : 3]]
             model.append([*votes, math.log((size + PRIOR_COUNT) / (total + (n_rules + 1) * PRIOR_COUNT))])
     return model
 
@@ -157,11 +162,11 @@ def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS, at_least: float =
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that ``judge`` keeps, with their columns; a row with a null doc_id is judged like any other."""
-    digest = "_text_digest"
+    digest = fresh(docs.columns, "text_digest")
     marked = docs.withColumn(digest, F.xxhash64("text"))
-    good = judge(marked, also=(digest,)).where("kept").select(F.col("doc_id").alias("_id"), F.col(digest).alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_digest"))
-    return marked.join(good, same, "left_semi").select(*docs.columns)
+    good = judge(marked.select("doc_id", "text", digest), also=(digest,)).where("kept").select(F.col("doc_id").alias("good_id"), F.col(digest).alias("good_digest"))
+    same = marked["doc_id"].eqNullSafe(good["good_id"]) & (marked[digest] == good["good_digest"])
+    return marked.join(good, same, "left_semi").drop(digest)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

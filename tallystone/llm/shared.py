@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh(columns: list[str], base: str) -> str:
+    """A column name that isn't among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class Table:
     """A DataFrame written once to the shared folder, so that lost executors cost no recomputation.
 

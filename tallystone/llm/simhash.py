@@ -235,9 +235,9 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Of rows that repeat that doc_id all stay; rows with a null doc_id stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    near = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return near.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs.select("doc_id", "text"), distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    near = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    return near.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

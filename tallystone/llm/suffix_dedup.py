@@ -378,10 +378,11 @@ def _applied(length: int, whole: bool):
 
 
 def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int, bucket_bytes: int, hot: int, whole: bool) -> DataFrame:
-    """``_doc_id``, ``_n_bytes``, ``_spans``, ``_kept`` and the columns ``others`` of every document."""
+    """``_doc_id``, ``_n_bytes``, ``_spans``, ``_kept`` and the columns ``others``, as other0 and so on, of every document."""
     if length < GRAM + 8:
         raise ValueError(f"strings have {GRAM + 8} bytes at least")
-    text = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text"), *others)
+    named = [F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)]
+    text = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text"), *named)
     blocks = Table(text.mapInArrow(_blocks(block_bytes), "block long, bytes long, ranks binary, sizes binary, data binary, others binary"), "blocks").df
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -392,7 +393,7 @@ def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int,
     texts = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows)
     plans = texts.groupBy("bucket").applyInArrow(_least(length), rows)
     kinds = T.StructType.fromDDL("_doc_id long, _n_bytes long, _spans array<struct<start:long,end:long>>, _kept binary")
-    schema = T.StructType([*kinds.fields, *(docs.schema[c] for c in others)])
+    schema = T.StructType([*kinds.fields, *text.schema.fields[2:]])
     return blocks.drop("bytes").groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_applied(length, whole), schema)
 
 
@@ -422,7 +423,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BL
     named = {"doc_id": F.col("_doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("_kept").cast("string").alias("text")}
     if "n_chars" in others:
         named["n_chars"] = F.length(F.col("_kept").cast("string")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return done.select(*(named.get(c, F.col(c)) for c in docs.columns))
+    return done.select(*(named[c] if c in named else F.col(f"other{others.index(c)}").alias(c) for c in docs.columns))
 
 
 def removed_bytes(spans: str = "spans"):

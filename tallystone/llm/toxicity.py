@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Table, read_table
+from .shared import Table, fresh, read_table
 
 #: Labelled documents that the model is trained on at most, and their text in bytes.
 SAMPLE, SAMPLE_BYTES = 8000, 40_000_000
@@ -174,7 +174,7 @@ SPANS = "array<struct<start:int,end:int,score:double>>"
 _KNOWN: dict = {}
 
 
-def _scored(shipped, at_least: float, text_at: int, schema: pa.Schema | None = None):
+def _scored(shipped, at_least: float, text_at: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         key = zlib.crc32(model), len(model)
@@ -192,26 +192,29 @@ def _scored(shipped, at_least: float, text_at: int, schema: pa.Schema | None = N
                     clean *= 1 - p
                 total.append(1 - clean)
                 spans.append([{"start": s, "end": e, "score": float(p)} for s, e, p in found if p >= at_least])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.float64()), pa.array(spans, kind)], [*b.schema.names, "_score", "_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.float64()), pa.array(spans, kind)], [*b.schema.names, *names])
 
     return run
 
 
-def score(docs: DataFrame, model: bytes, at_least: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: bytes, at_least: float = THRESHOLD, names: tuple[str, str] = ("_score", "_spans")) -> DataFrame:
     """``docs`` with ``_score``, the noisy-or of its sentences' probabilities, and ``_spans``.
 
     ``_spans`` are start and end (code points, end exclusive) and score of each sentence of at least
     ``at_least``. Only ``text`` is read, the whole of it. Texts without a word (null, empty, blank) score 0.
-    All columns of ``docs`` stay, whatever their names but those two; one row per row, without a shuffle.
+    All columns of ``docs`` stay; ``names`` are those of the two, which no column of ``docs`` may have. One row per
+    row, without a shuffle.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_spans", T._parse_datatype_string(SPANS))])
-    return docs.mapInArrow(_scored(shipped, at_least, docs.columns.index("text")), schema)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{names[0]}` double, `{names[1]}` {SPANS}").fields])
+    return docs.mapInArrow(_scored(shipped, at_least, docs.columns.index("text"), names), schema)
 
 
 def keep_civil(docs: DataFrame, model: bytes, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, with their columns."""
-    return score(docs, model).where(F.col("_score") < threshold).select(*docs.columns)
+    names = fresh(docs.columns, "civility_score"), fresh(docs.columns, "civility_spans")
+    rated = score(docs, model, threshold, names)
+    return rated.where(rated[names[0]] < threshold).drop(*names)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
