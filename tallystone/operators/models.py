@@ -61,7 +61,7 @@ def cleaned(annotations: DataFrame, texts: Column, kinds: list[str], default: st
     degree = F.expr("try_cast(harmfulness as double)")
     return annotations.withColumn("reason", reason).select(
         "*", F.when(F.col("reason").isNull(), at).cast("int").alias("span_start"), F.when(F.col("reason").isNull(), at + F.length("span")).cast("int").alias("span_end"),
-        F.when(F.size(types) > 0, types).otherwise(F.array(F.lit(default))).alias("types"), F.least(F.greatest(degree.cast("int"), F.lit(1)), F.lit(5)).alias("degree"),
+        F.when(F.size(types) > 0, types).otherwise(F.array(F.lit(default))).alias("types"), F.when(degree.isNotNull(), F.least(F.greatest(degree.cast("int"), F.lit(1)), F.lit(5))).alias("degree"),
     )
 
 

@@ -8,6 +8,7 @@ import struct as _struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 
@@ -111,7 +112,7 @@ def wav_layout(data: bytes) -> dict:
     return none
 
 
-@F.pandas_udf("rate int, frame_bytes int, frames long, data_at int")
+@F.pandas_udf(T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("frame_bytes", T.IntegerType()), T.StructField("frames", T.LongType()), T.StructField("data_at", T.IntegerType())]))
 def wav_header(data: pd.Series) -> pd.DataFrame:
     """``wav_layout`` of a binary column."""
     return pd.DataFrame([wav_layout(bytes(d) if d is not None else b"") for d in data], columns=["rate", "frame_bytes", "frames", "data_at"]).astype("Int64")
