@@ -91,12 +91,13 @@ def pack(docs: DataFrame, length=None, budget: int = BUDGET, buckets: int = BUCK
         bucket = F.when(F.col("top") <= ends[k], k).otherwise(bucket)
         padded = F.when(F.col("top") <= ends[k], ends[k]).otherwise(padded)
     placed = sized.select(
-        "doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("long").alias("bucket_len"), F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(max(1, -(-total // CELL)))).alias("cell")
+        "doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("long").alias("bucket_len"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")
     )
+    placed = placed.withColumn("cell", F.conv(F.substring("h", 1, 15), 16, 10).cast("long") % max(1, -(-total // CELL)))
     # rows are numbered within cells of bounded size; a cell starts where the cells before it end
     counts = placed.groupBy("bucket", "cell").agg(F.count("*").alias("n"))
     placed = placed.join(_starts(counts), ["bucket", "cell"])
-    number = "row_number() over (partition by bucket, cell order by xxhash64(doc_id), doc_id, n_tokens) - 1 + start"
+    number = "row_number() over (partition by bucket, cell order by h, doc_id, n_tokens) - 1 + start"
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
     return placed.withColumn("number", F.expr(number)).select(
         "doc_id", "n_tokens", "bucket", "bucket_len",

@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
+from . import oracles
 from .bpe import op3_byte_bpe
 from .html_text import op10_html_text
 from .packing import op5_packing
@@ -19,4 +20,9 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_topk": oracles.OP2,
+    "op4_quality_rules": oracles.OP4,
+    "op5_packing": oracles.OP5,
+    "op6_suffix_dedup": oracles.OP6,
+}

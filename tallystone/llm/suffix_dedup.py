@@ -11,8 +11,9 @@ No machine holds the suffix array of all documents. Each string belongs to its l
 which depends on its content alone, so equal strings have equal keys. Consecutive strings of a document with one
 key form a run, of 14 strings on average. Blocks of some 2 MB of documents first exchange their keys, 31 bits each;
 the text of a run is sent only if its key is in several documents, once for each block that has it; each
-bucket of keys is a small suffix array of its own. Keys in very many blocks are split further by a hash of the whole
-string, so that no bucket grows with one passage's or copy's frequency but by the number of blocks.
+bucket of keys is a small suffix array of its own. A key with very many different texts (where a frequent passage
+meets ever other text) is split further by a hash of the whole string, so that a bucket holds at most one text of
+a key for each block, and one string once it is split.
 """
 
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from .shared import Table, read_table
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 2_000_000
 BUCKET_BYTES = 4_000_000
-#: Blocks that hold a key from which on its runs are split by string.
-HOT = 256
+#: Texts of a key, summed over the blocks, from which on its runs are split by string.
+HOT = 65_536
 #: Sorts after all doc_ids: a null doc_id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -165,38 +166,48 @@ def _blocks(block_bytes: int):
 
 
 def _key_rows(buckets: int, length: int):
-    """Each block's keys by bucket; the mark says that documents of different ids in the block have it."""
+    """Each block's keys by bucket, with the binary logarithm of their different texts there, rounded up.
+
+    The mark says that documents of different ids in the block have the key. Texts count as different by their length,
+    first and last eight bytes: enough to tell which keys have very many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block.of(row, length)
-                key, _, _, doc = block.runs()
+                key, start, count, doc = block.runs()
                 if not len(key):
                     continue
-                order = np.argsort(key)
-                key, rank = key[order], block.ranks[doc[order]]
+                x = _eights(np.frombuffer(block.data, np.uint8))
+                with np.errstate(over="ignore"):
+                    look = (x[start] * _A ^ x[start + count + length - 9]) * _B + count.astype(np.uint64)
+                order = np.lexsort((look, key))
+                key, look, rank = key[order], look[order], block.ranks[doc[order]]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 several = np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)
+                differs = np.concatenate(([True], (key[1:] != key[:-1]) | (look[1:] != look[:-1])))
+                texts = np.ceil(np.log2(np.add.reduceat(differs.astype(np.int64), first))).astype(np.uint8)
                 key = key[first]
                 bucket, short = _bucket(key, buckets), _short(key) | several.astype(np.uint32)
                 order = np.lexsort((short, bucket))
-                bucket, short = bucket[order], short[order]
+                bucket, short, texts = bucket[order], short[order], texts[order]
                 at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 ends = np.append(at[1:], len(bucket))
+                blobs = ([x[i:j].tobytes() for i, j in zip(at, ends)] for x in (short, texts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), row["block"])), pa.array([short[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
-                    ["bucket", "block", "keys"],
+                    [pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), row["block"])), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "block", "keys", "texts"]
                 )
 
     return run
 
 
 def _shared(hot: int):
-    """Of each block's keys in a bucket those that several documents have; the mark says that very many blocks do."""
+    """Of each block's keys in a bucket those that several documents have; the mark says that a key has very many texts."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
+        texts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("texts")]).astype(np.float64)
         sizes = np.array([len(x) for x in blobs])
         keys = np.concatenate(blobs)
         key, several = keys >> np.uint32(1), (keys & np.uint32(1)).astype(np.int64)
@@ -205,9 +216,12 @@ def _shared(hot: int):
         first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
         count = np.diff(np.append(first, len(key)))
         wanted = (count > 1) | (np.add.reduceat(several[order], first) > 0)
+        many = np.add.reduceat(np.exp2(texts[order]), first) > hot
         mark = np.empty(len(key), np.int8)
-        mark[order] = np.repeat(wanted.astype(np.int8) + (count > hot), count)
-        out = [(keys[i:j] & ~np.uint32(1) | (mark[i:j] > 1).astype(np.uint32))[mark[i:j] > 0] for i, j in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))]
+        mark[order] = np.repeat(wanted.astype(np.int8) + many, count)
+        mark[order] *= np.repeat(wanted, count)
+        ends = np.cumsum(sizes)
+        out = [(keys[i:j] & ~np.uint32(1) | (mark[i:j] > 1).astype(np.uint32))[mark[i:j] > 0] for i, j in zip(ends - sizes, ends)]
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "keys": pa.array([x.tobytes() for x in out], pa.binary())})
 
     return run
@@ -388,7 +402,7 @@ def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int,
     buckets = max(1, -(-total // bucket_bytes))
     own = blocks.select("block", "ranks", "sizes", "data")
     by_bucket = "bucket int, block long, keys binary"
-    shared = Table(own.mapInArrow(_key_rows(buckets, length), by_bucket).groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
+    shared = Table(own.mapInArrow(_key_rows(buckets, length), f"{by_bucket}, texts binary").groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
     rows = "bucket long, block long, texts binary, sizes binary, ranks binary"
     texts = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows)
     plans = texts.groupBy("bucket").applyInArrow(_least(length), rows)

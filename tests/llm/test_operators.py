@@ -249,7 +249,7 @@ def repeats(rows, length):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "bucket_bytes": 400, "hot": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "bucket_bytes": 400, "hot": 3}])
 def test_suffix_dedup(spark, corpus, sizes):
     got = suffix_dedup.remove_repeats(documents(spark, corpus), **sizes).collect()
     for r in got:
