@@ -265,11 +265,12 @@ def j21_jobs(spark, sf_dir):
     return jobs.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("j24_by_position", "with a as (select c_name, row_number() over (order by c_custkey) as k from customer), b as (select s_name, row_number() over (order by s_suppkey) as k from supplier) select k, c_name, s_name from a join b using (k)")
+@query("j24_by_position", "with a as (select c_nationkey as doc, c_name, row_number() over (partition by c_nationkey order by c_custkey) as k from customer), b as (select s_nationkey as doc, s_name, row_number() over (partition by s_nationkey order by s_suppkey) as k from supplier) select doc, k, c_name, s_name from a join b using (doc, k)")
 def j24_by_position(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").selectExpr("c_name", "cast(row_number() over (order by c_custkey) as long) as k")
-    b = table(spark, sf_dir, "supplier").selectExpr("s_name", "cast(row_number() over (order by s_suppkey) as long) as k")
-    return a.join(b, "k").select("k", "c_name", "s_name")
+    """The k-th line of a document meets its k-th sentence."""
+    a = table(spark, sf_dir, "customer").selectExpr("c_nationkey as doc", "c_name", "cast(row_number() over (partition by c_nationkey order by c_custkey) as long) as k")
+    b = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as doc", "s_name", "cast(row_number() over (partition by s_nationkey order by s_suppkey) as long) as k")
+    return a.join(b, ["doc", "k"]).select("doc", "k", "c_name", "s_name")
 
 
 @query("m3_dummy_flags", "select doc_id, array_to_string(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')[1:4], ' ') as span from documents")
