@@ -183,3 +183,72 @@ def fuzzy_place(share: float = 0.6, least: int = 4):
         return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
 
     return run
+
+
+def sentences(text: Column) -> Column:
+    """A text's sentences with their spans: array<struct<text,start,end>>; a sentence ends at . ? or ! before a space and a capital."""
+    parts = F.split(text, r"(?U)(?<=[.?!])(?=\s+\p{Lu})")
+    kind = "array<struct<text:string,start:int,end:int>>"
+    lead = lambda part: F.length(part) - F.length(F.regexp_replace(part, r"(?U)^\s+", ""))
+    walked = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")),
+        lambda s, part: F.struct(
+            (s["at"] + F.length(part)).alias("at"),
+            F.array_append(s["found"], F.struct(F.regexp_replace(part, r"(?U)^\s+", "").alias("text"), (s["at"] + lead(part)).cast("int").alias("start"), (s["at"] + F.length(part)).cast("int").alias("end"))).alias("found"),
+        ),
+        lambda s: F.filter(s["found"], lambda x: x["text"] != ""),
+    )
+    return F.coalesce(walked, F.array().cast(kind))
+
+
+def sentence_of(start: Column, found: Column) -> Column:
+    """The index of the sentence (of ``sentences``) that holds a place; null if none does."""
+    at = F.array_position(F.transform(found, lambda s: (s["start"] <= start) & (start < s["end"])), True)
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def rule_list(answer: Column) -> Column:
+    """The strings of a model's list: the JSON between the first [ and the last ], else all quoted strings."""
+    body = F.regexp_replace(F.regexp_replace(without_thoughts(answer), r"```[a-z]*", ""), "[“”]", '"')
+    listed = F.from_json(F.regexp_extract(body, r"(?s)\[.*\]", 0), "array<string>")
+    quoted = F.regexp_extract_all(body, F.lit(r'"([^"]+)"'), F.lit(1))
+    return F.filter(F.transform(F.coalesce(listed, quoted), lambda r: F.trim(r)), lambda r: r != "")
+
+
+def kinds(value: Column, default: str = "(none)") -> Column:
+    """A list of types from JSON text that is a list or one string; blanks go, nothing left gives the default."""
+    many = F.from_json(value, "array<string>")
+    one = F.array(F.regexp_replace(value, '^"|"$', ""))
+    found = F.filter(F.transform(F.when(F.ltrim(value).startswith("["), many).otherwise(one), lambda k: F.trim(k)), lambda k: k.isNotNull() & (k != ""))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+
+
+def first_path(answer: Column, paths: list[str]) -> Column:
+    """The first of some JSON paths that an answer has."""
+    return F.coalesce(*(F.get_json_object(answer, p) for p in paths))
+
+
+def clock(seconds: Column) -> Column:
+    """Whole seconds as h:mm:ss."""
+    s = seconds.cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
+
+
+def _retokenised(words: list[str], edited: str) -> list[str]:
+    text = "".join(words)
+    owner = [i for i, w in enumerate(words) for _ in w]
+    out = [""] * len(words)
+    for kind, a, b, c, d in difflib.SequenceMatcher(None, text, edited, autojunk=False).get_opcodes():
+        if kind == "equal":
+            for x, ch in zip(owner[a:b], edited[c:d]):
+                out[x] += ch
+        elif d > c and words:  # what is new belongs to the word it replaces, or follows
+            out[owner[a] if b > a else owner[max(a - 1, 0)]] += edited[c:d]
+    return [w for w in out if w]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def retokenised(words: pd.Series, edited: pd.Series) -> pd.Series:
+    """An edited text cut into the words it was joined from; words that have vanished are left out."""
+    return pd.Series([None if w is None or e is None else _retokenised(list(w), e) for w, e in zip(words, edited)])

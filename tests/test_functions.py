@@ -145,3 +145,17 @@ def test_model_boundary(spark):
     assert [(r["reason"], r["span_start"], r["span_end"], r["types"], r["degree"]) for r in got] == [
         (None, 2, 5, ["Name"], 5), ("empty", None, None, ["Other"], None), ("system", None, None, ["Other"], 2), ("not found", None, None, ["Other"], None)
     ]
+
+
+def test_sentences_and_answers(spark):
+    s = tx.sentences(F.lit("One two. Three? no! Four\nfive. "))
+    assert value(spark, s) == [("One two.", 0, 8), ("Three? no!", 9, 19), ("Four\nfive. ", 20, 31)]
+    assert value(spark, tx.sentence_of(F.lit(12), s)) == 1 and value(spark, tx.sentence_of(F.lit(8), s)) is None
+    assert value(spark, tx.sentences(F.lit(None).cast("string"))) == []
+    assert value(spark, tx.rule_list(F.lit('<think>["no"]</think>```json\n["a", " b "]\n```'))) == ["a", "b"]
+    assert value(spark, tx.rule_list(F.lit("first “x”, then “y”"))) == ["x", "y"]
+    assert value(spark, tx.kinds(F.lit('["a", " ", "b"]'))) == ["a", "b"] and value(spark, tx.kinds(F.lit('" "'))) == ["(none)"]
+    assert value(spark, tx.first_path(F.lit('{"a": {"b": "c"}}'), ["$.x", "$.a.b"])) == "c"
+    assert value(spark, tx.clock(F.lit(3725.9))) == "1:02:05"
+    rows = spark.createDataFrame([(["Hello", " wrold", " uh"], "Hello, world"), ([], "x"), (None, "x")], "w array<string>, e string")
+    assert [r["v"] for r in rows.select(tx.retokenised("w", "e").alias("v")).collect()] == [["Hello,", " world"], [], None]
