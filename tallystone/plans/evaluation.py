@@ -66,7 +66,7 @@ def a6_level_histogram(spark, sf_dir):
 
 
 @query("a7_durations", """
-with s as (select l_orderkey, arg_min(l_quantity, l_partkey * 100000 + l_suppkey) as secs, bool_or(l_discount > 0.05) as has_error from lineitem group by l_orderkey),
+with s as (select l_orderkey, arg_min(l_quantity, (l_partkey * 100000 + l_suppkey) * 100 + l_quantity) as secs, bool_or(l_discount > 0.05) as has_error from lineitem group by l_orderkey),
   x as (select 'all' as which, * from s union all select 'error', * from s where has_error)
 select which, count(*) as n, round(sum(secs), 3) as total, round(avg(secs), 6) as mean, median(secs) as mid, min(secs) as least, max(secs) as most from x group by which""")
 def a7_durations(spark, sf_dir):
@@ -109,12 +109,12 @@ def a15_combined_votes(spark, sf_dir):
 
 
 @query("a16_first_gold", """
-with v as (select l_orderkey, l_partkey * 100000 + l_suppkey as ord, case when l_tax > 0.03 then l_discount > 0.05 end as gold, case when l_tax > 0.01 then l_returnflag end as detail from lineitem)
+with v as (select l_orderkey, (l_partkey * 100000 + l_suppkey) * 100 + l_linenumber as ord, case when l_tax > 0.03 then l_discount > 0.05 end as gold, case when l_tax > 0.01 then l_returnflag end as detail from lineitem)
 select l_orderkey, arg_min(gold, ord) filter (gold is not null) as gold, arg_min(struct_pack(d := detail), ord) filter (gold is not null).d as detail,
   count(distinct gold) > 1 or count(distinct detail) > 1 as disagreement from v group by l_orderkey""")
 def a16_first_gold(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("ord"), F.when(F.col("l_tax") > 0.03, F.col("l_discount") > 0.05).alias("gold"), F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).alias("detail")
+        "l_orderkey", ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 100 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_tax") > 0.03, F.col("l_discount") > 0.05).alias("gold"), F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).alias("detail")
     )
     return v.groupBy("l_orderkey").agg(*votes.combined_gold("gold", "detail", "ord"))
 
