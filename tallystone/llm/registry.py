@@ -3,7 +3,9 @@
 from . import oracles
 from .bpe import op3_byte_bpe
 from .html_text import op10_html_text
+from .line_dedup import op7_line_dedup
 from .packing import op5_packing
+from .quality_grades import op8_quality_grades
 from .quality_rules import op4_quality_rules
 from .simhash import op1_simhash
 from .suffix_dedup import op6_suffix_dedup
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_grades": op8_quality_grades,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
