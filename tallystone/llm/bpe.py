@@ -33,7 +33,7 @@ SHORT = 64
 #: Ids of a leaf of the decoding tree.
 RUN = 4096
 #: Encoded chunks that a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

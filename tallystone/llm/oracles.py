@@ -1,6 +1,6 @@
 """DuckDB SQL with the same rows as the queries that SQL can express."""
 
-from . import packing, quality_rules, suffix_dedup, topk
+from . import line_dedup, packing, quality_rules, suffix_dedup, topk
 
 OP2 = f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::double)::bigint) as q from embeddings
@@ -95,3 +95,11 @@ def _op5() -> str:
 
 
 OP4, OP5 = _op4(), _op5()
+
+OP7 = rf"""
+with p as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+  l as (select doc_id, k, parts[k] as part from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as k from p)),
+  n as (select *, trim(lower(regexp_replace(part, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ') as norm, sum(length(part) + 1) over (partition by doc_id order by k) - length(part) - 1 as start from l),
+  r as (select *, length(norm) >= {line_dedup.LEAST} and row_number() over (partition by norm order by doc_id, k) > 1 as gone from n)
+select doc_id, sum(gone::int)::bigint as n_removed, coalesce(string_agg(start || '-' || (start + length(part)), ',' order by k) filter (gone), '') as removed,
+  sha256(coalesce(string_agg(part, chr(10) order by k) filter (not gone), '')) as kept_sha256 from r group by doc_id"""

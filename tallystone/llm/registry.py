@@ -29,4 +29,5 @@ ORACLES = {
     "op4_quality_rules": oracles.OP4,
     "op5_packing": oracles.OP5,
     "op6_suffix_dedup": oracles.OP6,
+    "op7_line_dedup": oracles.OP7,
 }

@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, html_text, packing, quality_rules, shared, simhash, suffix_dedup, topk, toxicity
+from tallystone.llm import bpe, html_text, line_dedup, packing, quality_grades, quality_rules, shared, simhash, suffix_dedup, topk, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
 
@@ -354,3 +354,38 @@ def test_digest_columns(spark, sf):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in bpe.op3_byte_bpe(spark, sf).collect():
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]]).hexdigest()
+
+
+def test_line_dedup(spark):
+    a, b = "the first line of some length, surely", "another line that is long enough to count"
+    rows = [(2, f"{a}\n{b}\nshort\nshort"), (1, f"x\n{a.upper()}"), (3, f"{b}  \n\n{b}"), (None, a), (4, None), (5, ""), (6, a), (6, a), (7, f"  {b}\n")]
+    docs = documents(spark, rows).withColumn("removed", F.lit(9))
+    done = line_dedup.without_repeated_lines(docs)
+    assert done.columns == [*docs.columns, "removed_"]
+    got = collections.Counter((r["doc_id"], r["text"], tuple(map(tuple, r["removed_"]))) for r in done.collect())
+    n, m = len(a), len(b)
+    assert got == collections.Counter(
+        [(2, f"{b}\nshort\nshort", ((0, n),)), (1, f"x\n{a.upper()}", ()), (3, "", ((0, m + 2), (m + 4, 2 * m + 4))), (None, "", ((0, n),)), (4, "", ()), (5, "", ()), (6, "", ((0, n),)), (6, "", ((0, n),)), (7, "", ((0, m + 2),))]
+    )
+    assert line_dedup.without_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_quality_grades(spark):
+    rng = random.Random(4)
+    rows, ratings = [], []
+    for i in range(500):
+        grade = i % 3
+        words = [rng.choice(WORDS) + ("***" if grade == 0 or grade == 1 and rng.random() < 0.4 else "") for _ in range(30)]
+        rows.append((i, " ".join(words)))
+        ratings.append((i, None if i == 6 else grade))
+    rows += [(900, None), (901, ""), (902, " \n")]
+    docs = documents(spark, rows)
+    model = quality_grades.fit(docs, spark.createDataFrame(ratings + [(None, 1), (7777, 2)], "doc_id long, grade int"), 2)
+    got = {r["doc_id"]: r for r in quality_grades.score(docs, model).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(round(got[i]["expected_grade"]) == i % 3 for i in held) >= 0.9 * len(held)
+    for r in got.values():
+        assert 1 >= r["tails"][0] >= r["tails"][1] >= 0 and abs(sum(r["tails"]) - r["expected_grade"]) < 1e-9
+    assert {900, 901, 902} <= set(got)
+    empty = spark.createDataFrame([], "doc_id long, grade int")
+    assert {r["expected_grade"] for r in quality_grades.score(docs, quality_grades.fit(docs, empty, 2)).limit(3).collect()} == {1.0}
