@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, html_text, line_dedup, packing, quality_grades, quality_rules, shared, simhash, suffix_dedup, topk, toxicity
+from tallystone.llm import bpe, html_text, line_dedup, packing, quality_grades, quality_rules, shared, similar, simhash, suffix_dedup, topk, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
 
@@ -104,6 +104,57 @@ def test_simhash_keeps_first(spark, corpus):
     assert ids[0] == 1 and ids[5] == 0 and ids[None] == 1
 
 
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (x, y))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Planted copies of similarity 0.8 to 0.9, close ones below it, chains and a large group, against brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(40):
+        w = [word() for _ in range(rng.choice((60, 150, 250, 600)))]
+        rows.append(" ".join(w))
+        for share in (0.005, 0.015, 0.02, 0.03, 0.05):
+            x = list(w)
+            for i in rng.sample(range(len(x)), max(1, round(share * len(x)))):
+                x[i] = word()
+            rows.append(" ".join(x))
+    chain = [word() for _ in range(120)]
+    rows += [" ".join(chain[i : i + 60]) for i in range(0, 60, 4)]  # each like the next, first and last share nothing
+    template = [word() for _ in range(50)]
+    rows += [" ".join([*template, *(word() for _ in range(n))]) for n in (2,) * 30 + (14,) * 30]
+    rows += ["Same  words\there", "same words here", "same words", "", None, " ", rows[0]]
+    rng.shuffle(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(i, j, s) for i in range(len(rows)) for j in range(i) if (s := jaccard(rows[i], rows[j])) >= 0.8]
+    assert sum(s < 0.9 for _, _, s in pairs) > 50
+    for i, j, _ in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_copies(spark, documents(spark, list(enumerate(rows))), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(rows))})
+
+
+def test_similar_keeps_rows_without_ids(spark, corpus):
+    docs = documents(spark, corpus)
+    kept = similar.keep_first(docs)
+    assert kept.columns == docs.columns
+    ids = collections.Counter(r["doc_id"] for r in kept.collect())
+    assert ids[0] == 1 and ids[5] == 0 and ids[None] == 1
+    assert similar.keep_first(documents(spark, []).limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(2, 60)] + [(500, 500), (7, 7)]
