@@ -163,14 +163,26 @@ def unique_labels(labels: Column) -> Column:
     )
 
 
+def longest_common(needle: str, text: str) -> tuple[int, int]:
+    """Start in ``text`` and length of the longest common substring: of equals the first in ``needle``, then in ``text``, as difflib has it.
+
+    A substring of length n is common only if some of length n - 1 is, so lengths grow from each start while found.
+    """
+    size, at = 0, 0
+    for i in range(len(needle)):
+        while i + size < len(needle) and (found := text.find(needle[i : i + size + 1])) >= 0:
+            size, at = size + 1, found
+    return at, size
+
+
 def _fuzzy(needle, text, share: float, least: int):
     if not needle or text is None:
         return None
     if (at := text.find(needle)) >= 0 or (at := text.lower().find(needle.lower())) >= 0:
         return {"start": at, "end": at + len(needle)}
-    block = difflib.SequenceMatcher(None, needle, text, autojunk=False).find_longest_match(0, len(needle), 0, len(text))
-    if block.size >= max(least, share * len(needle)):
-        return {"start": block.b, "end": block.b + block.size}
+    start, size = longest_common(needle, text)
+    if size >= max(least, share * len(needle)):
+        return {"start": start, "end": start + size}
     return None
 
 

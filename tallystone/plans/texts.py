@@ -145,7 +145,7 @@ def i1_place(spark, sf_dir):
 
 @query("i3_fuzzy_place")
 def i3_fuzzy_place(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(F.length("text").between(30, 400))
+    d = _docs(spark, sf_dir)
     found = tx.fuzzy_place()(F.concat(F.substring("text", 6, 14), F.lit("##")), F.col("text"))
     return d.select("doc_id", found.alias("s")).select("doc_id", "s.start", "s.end")
 

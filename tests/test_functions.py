@@ -1,5 +1,6 @@
 """Functions and operators on small literal rows: nulls, ties, empties, touching spans."""
 
+import difflib
 import math
 import random
 from fractions import Fraction
@@ -92,6 +93,27 @@ def test_texts(spark):
     assert [tuple(r["s"]) if r["s"] else None for r in got] == [(6, 14), (2, 10), (None, None), (None, None)]
 
 
+def test_longest_common():
+    rng = random.Random(4)
+    for _ in range(2000):
+        needle, text = ("".join(rng.choice("abc") for _ in range(rng.randint(0, n))) for n in (12, 60))
+        block = difflib.SequenceMatcher(None, needle, text, autojunk=False).find_longest_match(0, len(needle), 0, len(text))
+        assert tx.longest_common(needle, text) == ((block.b, block.size) if block.size else (0, 0))
+
+
+def test_fuzzy_place_takes_every_document(spark, sf):
+    from tallystone.plans import catalog
+
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in catalog.QUERIES["i3_fuzzy_place"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) and max(len(r["text"]) for r in docs) > 400
+    for r in (r for r in docs if r["text"] and len(r["text"]) <= 3000):
+        needle = r["text"][5:19] + "##"
+        block = difflib.SequenceMatcher(None, needle, r["text"], autojunk=False).find_longest_match(0, len(needle), 0, len(r["text"]))
+        want = (block.b, block.b + block.size) if block.size >= max(4, 0.6 * len(needle)) else (None, None)
+        assert got[r["doc_id"]] == want or needle.lower() in r["text"].lower()
+
+
 def test_votes(spark):
     rows = [("k", 1, None, "d"), ("k", 2, True, None), ("k", 3, False, "e"), ("m", 1, None, None)]
     df = spark.createDataFrame(rows, "k string, o int, g boolean, d string")
