@@ -24,7 +24,7 @@ def _by_time(words: list[tuple[float, float]], sentences: list[tuple[float, floa
             mine = (max(common, 0.0), -away, -k)
             if key is None or mine > key:
                 best, key = k, mine
-            if low > end and key is not None and key[0] > 0:
+            if low > max(end, middle):  # sentences are sorted by start: the others begin later still
                 break
         j = max(best if best is not None else j, j)
         out.append(j)

@@ -50,5 +50,5 @@ def w19_stable_times(spark, sf_dir):
 def j11_words_by_time(spark, sf_dir):
     t = timeline(spark, sf_dir)
     words = t.select("user_id", F.expr("row_number() over (partition by user_id order by beg, event_id)").cast("long").alias("pos"), F.col("beg").alias("start"), F.col("fin").alias("end"))
-    sentences = t.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("sentence"), F.col("beg").alias("start"), (F.col("beg") + 3600).alias("end"))
+    sentences = t.select("user_id", F.col("event_id").alias("sentence"), F.col("beg").alias("start"), (F.col("beg") + 3600).alias("end"))
     return alignment.align_by_time(words, sentences, ["user_id"])

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallystone.plans import catalog
+from tallystone.plans import base, catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,6 +38,44 @@ def test_query(spark, sf, duck, name):
         assert rows == ordered(relation.select(*columns).fetchall())
 
 
+@pytest.mark.parametrize("name", ["j8_tolerance", "j9_overlap_or_nearest", "j10_best_overlap", "j12_within", "j13_overlap_pairs"])
+def test_whole_joins(spark, sf, duck, name):
+    """Every event's window is on the right side, as in the query's SQL without its modulo filter."""
+    sql = catalog.ORACLES[name]
+    assert " where event_id % 25 = 0" in sql
+    relation = duck.sql(sql.replace(" where event_id % 25 = 0", ""))
+    columns = sorted(relation.columns)
+    rows = ordered(catalog.QUERIES[f"{name}_whole"](spark, sf).select(*columns).collect())
+    assert rows == ordered(relation.select(*columns).fetchall())
+
+
+def by_time(words, sentences):
+    """The sentence of each word by trying all from two before the last one on."""
+    out, j = [], 0
+    for start, end in words:
+        middle = (start + end) / 2
+
+        def merit(k):
+            low, high = sentences[k]
+            return max(min(end, high) - max(start, low), 0.0), -max(low - middle, middle - high, 0.0), -k
+
+        j = max(j, max(range(max(0, j - 2), len(sentences)), key=merit))
+        out.append(j)
+    return out
+
+
+def test_words_on_every_sentence(spark, sf):
+    rows = base.timeline(spark, sf).collect()
+    users = {}
+    for r in sorted(rows, key=lambda r: (r["beg"], r["event_id"])):
+        users.setdefault(r["user_id"], []).append(r)
+    want = set()
+    for user, events in users.items():
+        at = by_time([(r["beg"], r["fin"]) for r in events], [(r["beg"], r["beg"] + 3600) for r in events])
+        want |= {(user, i, events[k]["event_id"]) for i, k in enumerate(at, 1)}
+    assert {tuple(r) for r in catalog.QUERIES["j11_words_by_time"](spark, sf).select("user_id", "pos", "sentence").collect()} == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "precision" in df.columns
