@@ -282,7 +282,7 @@ def m3_dummy_flags(spark, sf_dir):
 def k5_campaign(spark, sf_dir):
     from ..sources.sinks import campaign
 
-    d = sq.pages(table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", "source", "lang"), ["source"], ["doc_id"], 5)
+    d = sq.pages(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source"], ["doc_id"], 5)
     d = d.join(table(spark, sf_dir, "documents").select("source").distinct(), "source", "right")
     tree = campaign(d, "source", "page", "doc_id", F.struct("doc_id", "lang"), {"kind": "documents"}, "all")
     return tree.select(F.size(F.from_json("value", "data array<array<array<struct<doc_id:long,lang:string>>>>")["data"]).cast("long").alias("n"))

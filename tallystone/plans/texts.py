@@ -208,7 +208,16 @@ def i14_padded(spark, sf_dir):
 
 @query("i11_touched_words", r"select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::bigint as n, len(regexp_extract_all(substr(text, 1, 20), '[^ \t\n\r\f\v]+'))::bigint as n_touched from documents where length(text) < 600")
 def i11_touched_words(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(F.length("text") < 600).select("doc_id", sp.words(F.col("text")).alias("w"))
+    return _touched_words(_docs(spark, sf_dir).where(F.length("text") < 600))
+
+
+@query("i11_touched_words_whole")
+def i11_touched_words_whole(spark, sf_dir):
+    return _touched_words(_docs(spark, sf_dir))
+
+
+def _touched_words(docs):
+    d = docs.select("doc_id", sp.words(F.col("text")).alias("w"))
     first = F.array(sp.span(F.lit(0), F.lit(20)))
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.filter("w", lambda w: sp.touched(w["start"], w["end"], first))).cast("long").alias("n_touched"))
 
