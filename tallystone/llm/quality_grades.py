@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Table, read_table
+from .shared import Table, fitting, read_table
 from .toxicity import held_out
 
 #: Rated documents that the model is fitted on at most, and their text in bytes.
@@ -103,14 +103,7 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE) ->
     rows = texts.repartition(1).sortWithinPartitions(*order, F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, grades, size = [], [], 0
-        for b in batches:
-            for text, grade in zip(b.column(0), b.column(1)):
-                text = text.as_py() or ""
-                size += len(text.encode())
-                if size <= SAMPLE_BYTES:
-                    found.append(text)
-                    grades.append(grade.as_py())
+        found, grades = fitting(batches, SAMPLE_BYTES)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([train(found, grades, top).tobytes()], pa.binary())], ["model"])
 

@@ -2,7 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def fresh(columns: list[str], base: str) -> str:
     return base
 
 
+def fitting(batches: Iterator[pa.RecordBatch], most: int) -> tuple[list[str], list[int]]:
+    """The texts and labels (columns 0 and 1) in order; a text that would bring their bytes above ``most`` is skipped alone."""
+    texts, labels, size = [], [], 0
+    for b in batches:
+        for text, label in zip(b.column(0), b.column(1)):
+            text = text.as_py() or ""
+            own = len(text.encode())
+            if size + own <= most:
+                size += own
+                texts.append(text)
+                labels.append(label.as_py())
+    return texts, labels
+
+
 class Table:
     """A DataFrame written once to the shared folder, so that lost executors cost no recomputation.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Table, fresh, read_table
+from .shared import Table, fitting, fresh, read_table
 
 #: Labelled documents that the model is trained on at most, and their text in bytes.
 SAMPLE, SAMPLE_BYTES = 8000, 40_000_000
@@ -110,14 +110,7 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels, size = [], [], 0
-    for b in batches:
-        for text, label in zip(b.column(0), b.column(1)):
-            text = text.as_py() or ""
-            size += len(text.encode())
-            if size <= SAMPLE_BYTES:
-                texts.append(text)
-                labels.append(label.as_py())
+    texts, labels = fitting(batches, SAMPLE_BYTES)
     yield pa.RecordBatch.from_arrays([pa.array([train(texts, labels).tobytes()], pa.binary())], ["model"])
 
 

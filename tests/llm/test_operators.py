@@ -373,6 +373,18 @@ to be text.<p>Second&nbsp;paragraph&#8230; &lt;not a tag&gt;.<br>After the break
 <div class=sidebar><ul><li><a href=1>s1</a><li><a href=2>s2</a></ul></div></div><footer>&copy; 2024 <p>Terms</p></footer></body></html>"""
 
 
+def test_training_skips_only_what_does_not_fit(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["x" * 50, "ab", None, "y" * 20, "é" * 4, "z" * 40]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2]), pa.array([i, i + 1])], ["text", "label"]) for i in (0, 2, 4)]
+    assert shared.fitting(iter(batches), 30) == (["ab", "", "y" * 20, "é" * 4], [1, 2, 3, 4])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30)
+    monkeypatch.setattr(toxicity, "train", lambda t, y: np.array([len(t)], np.float32))
+    [out] = toxicity._trained(iter(batches))
+    assert np.frombuffer(out.column(0)[0].as_py(), np.float32).tolist() == [4]
+
+
 def test_html():
     assert html_text.main_text(PAGE) == "\n".join(
         ["Head & line", "First bold paragraph with a link, long enough to be text.", "Second paragraph… <not a tag>.", "After the break.", "item one", "item two"]
