@@ -1,19 +1,23 @@
 """Suffix-array dedup: repeated byte strings of a least length, by threshold-bounded interval expansion.
 
-What counts is which strings of 50 bytes start in which documents. The suffixes that begin with the same string are an
-interval of the suffix array, and backward extension on the Burrows-Wheeler transform splits the interval of a
-string into those of its extensions by what precedes each suffix. ``expand`` does this breadth first: all
-intervals of one common-prefix length, then those of the next, from the last bytes of the strings to the first,
-eight preceding bytes a step, and stops at 50. An interval of one text only is given up at once. What is left
-at 50 are the groups of equal strings.
+What counts is which strings of 50 bytes start in which documents. In suffix order the suffixes that begin with one
+string are an interval of rows. ``Transform`` holds the Burrows-Wheeler transform of a set of texts: the symbol
+before each row's suffix, and where that longer suffix has its row. ``Transform.common_prefixes`` extends intervals
+backward by one symbol, breadth first, all intervals of one length as one vector operation. An interval's end that
+no shorter string has closed gets its common-prefix value then, so values appear in increasing order; an interval whose end is
+closed already is dropped. Values below 50 are derived and no others: ends that are still open at 50 are within groups of
+equal strings.
 
 No machine holds the suffix array of all documents. Each string belongs to its least 20-byte hash (its key),
 which depends on its content alone, so equal strings have equal keys. Consecutive strings of a document with one
-key form a run, of 14 strings on average. Blocks of some 2 MB of documents first exchange their keys, 31 bits each;
-the text of a run is sent only if its key is in several documents, once for each block that has it; each
-bucket of keys is a small suffix array of its own. A key with very many different texts (where a frequent passage
+key form a run, of 14 strings on average. Blocks of some 16 MB of documents first exchange their keys, 31 bits each;
+the text of a run is sent only if its key is in several documents, once for each block that has it. A bucket of keys counts
+each different text once; only the texts of keys that have several different texts need suffix order, the others
+hold no string of another text. A key with very many different texts (where a frequent passage
 meets ever other text) is split further by a hash of the whole string, so that a bucket holds at most one text of
 a key for each block, and one string once it is split.
+
+Blocks and buckets exchange one piece for each pair of them, as tasks of a shuffle do; both sides grow by bytes.
 """
 
 from collections.abc import Iterator
@@ -29,8 +33,10 @@ from pyspark.sql import types as T
 from .shared import Table, read_table
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 2_000_000
-BUCKET_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
+#: Bytes whose keys are computed at once, and bytes of texts in one suffix order (more only for one key, see ``HOT``).
+STEP, ORDERED_BYTES = 1 << 20, 1 << 20
 #: Texts of a key, summed over the blocks, from which on its runs are split by string.
 HOT = 65_536
 #: Sorts after all doc_ids: a null doc_id.
@@ -67,6 +73,14 @@ def _eights(b: np.ndarray) -> np.ndarray:
     return x[:-4] << np.uint64(32) | x[4:]
 
 
+def _eight_at(b: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """The eight bytes from each of the positions on as an integer."""
+    x = b[positions].astype(np.uint64)
+    for i in range(1, 8):
+        x = x << np.uint64(8) | b[positions + i]
+    return x
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= _A
@@ -76,6 +90,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _keys(b: np.ndarray, length: int) -> np.ndarray:
     """For each string of ``length`` bytes its key, the least hash of its ``GRAM``-byte parts."""
+    if len(b) > STEP + length:
+        return np.concatenate([_keys(b[i : i + STEP + length - 1], length) for i in range(0, len(b) - length + 1, STEP)])
     x = _eights(b)
     n = len(b) - GRAM + 1
     with np.errstate(over="ignore"):
@@ -106,16 +122,30 @@ class Block:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, first start, number of starts and document's index of each run."""
-        none = np.empty(0, np.int64)
-        if len(self.data) < self.length:
-            return none.astype(np.uint64), none, none, none
-        key = _keys(np.frombuffer(self.data, np.uint8), self.length)
-        counts = np.maximum(self.sizes - self.length + 1, 0)
-        docs = np.repeat(np.arange(len(counts)), counts)
-        starts = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.begins, counts)
+        parts = [(np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)]
+        first, most = 0, np.searchsorted(self.ends, self.begins + STEP, "right")
+        while first < len(self.sizes):
+            last = max(first + 1, int(most[first]))
+            parts.append(self._runs(first, last))
+            first = last
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _runs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of documents ``first`` to ``last`` (not included)."""
+        begin = int(self.begins[first])
+        counts = np.maximum(self.sizes[first:last] - self.length + 1, 0)
+        if not counts.any():
+            return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+        key = _keys(np.frombuffer(self.data, np.uint8)[begin : int(self.ends[last - 1])], self.length)
+        cuts = np.cumsum(counts)
+        long = counts > 0
+        starts = np.arange(cuts[-1], dtype=np.int32)
+        starts += np.repeat((self.begins[first:last] - begin - (cuts - counts))[long].astype(np.int32), counts[long])
         key = key[starts]
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])))) if len(key) else none
-        return key[first], starts[first], np.diff(np.append(first, len(key))), docs[first]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        fresh[(cuts - counts)[long]] = True
+        at = np.flatnonzero(fresh)
+        return key[at], starts[at].astype(np.int64) + begin, np.diff(np.append(at, len(key))), np.searchsorted(cuts, at, "right") + first
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -179,9 +209,9 @@ def _key_rows(buckets: int, length: int):
                 key, start, count, doc = block.runs()
                 if not len(key):
                     continue
-                x = _eights(np.frombuffer(block.data, np.uint8))
+                view = np.frombuffer(block.data, np.uint8)
                 with np.errstate(over="ignore"):
-                    look = (x[start] * _A ^ x[start + count + length - 9]) * _B + count.astype(np.uint64)
+                    look = (_eight_at(view, start) * _A ^ _eight_at(view, start + count + length - 9)) * _B + count.astype(np.uint64)
                 order = np.lexsort((look, key))
                 key, look, rank = key[order], look[order], block.ranks[doc[order]]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -231,9 +261,17 @@ def _shared(hot: int):
 PLAN = -1
 
 
+def _deltas(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x[:1] * 0).astype(np.int32))
+
+
+def _undelta(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.int32), dtype=np.int64)
+
+
 def _texts(buckets: int, length: int):
     """For each block: its texts of shared keys by bucket, and a plan of where they are."""
-    names = ["bucket", "block", "texts", "sizes", "ranks"]
+    names = ["bucket", "block", "texts", "sizes", "keys", "ranks"]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({n: pa.array([], pa.int64() if n in ("bucket", "block") else pa.binary()) for n in names})
@@ -245,76 +283,175 @@ def _texts(buckets: int, length: int):
         wanted = [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, k in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist())]
         wanted = np.sort(np.concatenate(wanted))
         bucket = _bucket(key, buckets)
-        code = _short(key).astype(np.uint64) | bucket.astype(np.uint64) << np.uint64(32)
+        short = _short(key)
+        code = short.astype(np.uint64) | bucket.astype(np.uint64) << np.uint64(32)
         at = np.searchsorted(wanted, code).clip(max=max(len(wanted) - 1, 0))
         found = (wanted[at] & ~np.uint64(1)) == code if len(wanted) else np.zeros(len(code), bool)
         hot = (wanted[at] & np.uint64(1)).astype(bool)[found] if len(wanted) else found[:0]
-        bucket, start, count, doc = (x[found] for x in (bucket, start, count, doc))
+        bucket, start, count, doc, short = (x[found] for x in (bucket, start, count, doc, short))
         if hot.any():  # one string a run
             n = count[hot]
             s = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            spread = _mixed(sum((_eights(np.frombuffer(block.data, np.uint8))[s + o] * m for o, m in zip((0, 8, 16, 24, 32, 40, length - 8), (_A, _B, _C, _A ^ _B, _B ^ _C, _A ^ _C, _A ^ _B ^ _C))), np.zeros(len(s), np.uint64)))
-            bucket, start, doc = (np.concatenate((x[~hot], y)) for x, y in ((bucket, _bucket(spread, buckets)), (start, s), (doc, np.repeat(doc[hot], n))))
+            view = np.frombuffer(block.data, np.uint8)
+            spread = np.concatenate([_spread(view, s[i : i + STEP], length) for i in range(0, len(s), STEP)])
+            parts = ((bucket, _bucket(spread, buckets)), (start, s), (doc, np.repeat(doc[hot], n)), (short, _short(spread)))
+            bucket, start, doc, short = (np.concatenate((x[~hot], y)) for x, y in parts)
             count = np.concatenate((count[~hot], np.ones(len(s), np.int64)))
         if not len(start):
             return none
-        data, rank = block.data, block.ranks[doc]
-        known: dict[bytes, int] = {}
-        same = np.fromiter((known.setdefault(data[i : i + n], len(known)) for i, n in zip(start.tolist(), (count + length - 1).tolist())), np.int64, len(start))
-        texts = list(known)
-        least = np.full(len(texts), NO_ID)
-        np.minimum.at(least, same, rank)
-        of_text = np.empty(len(texts), np.int64)
-        of_text[same] = bucket
-        order = np.argsort(of_text, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(of_text[order]) > 0)))
-        rows = []
-        place = np.empty(len(texts), np.int64)
-        for i, j in zip(cuts, [*cuts[1:], len(order)]):
-            own = order[i:j]
-            place[own] = np.arange(j - i)
-            some = [texts[t] for t in own.tolist()]
-            rows.append((int(of_text[own[0]]), _deflate(b"".join(some)), _pack(np.array([len(t) for t in some], np.int32)), _pack(least[own])))
-        plan = np.stack([start, count, bucket, place[same]]).astype(np.int64)
-        rows.append((PLAN - number, b"", b"", _pack(plan)))
-        return pa.table(
-            {"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in enumerate(names[2:], 1)}}
-        )
+        order = np.lexsort((start, bucket))
+        bucket, start, count, doc, short = (x[order] for x in (bucket, start, count, doc, short))
+        data = block.data
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = np.append(cuts[1:], len(bucket))
+        rows, places = [], []
+        sizes = count + length - 1
+        for i, j in zip(cuts.tolist(), ends.tolist()):
+            known: dict[bytes, int] = {}
+            same = np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip(start[i:j].tolist(), (start + sizes)[i:j].tolist())), np.int64, j - i)
+            least = np.full(len(known), NO_ID)
+            np.minimum.at(least, same, block.ranks[doc[i:j]])
+            of_text, size = np.empty(len(known), np.uint32), np.empty(len(known), np.int32)
+            of_text[same], size[same] = short[i:j], sizes[i:j]
+            rows.append((int(bucket[i]), _deflate(b"".join(known)), _pack(size), _pack(of_text), _pack(least)))
+            places.append(same)
+        plan = (_deltas(bucket[cuts]), _deltas(ends - cuts), _deltas(start), _pack(np.stack((count, np.concatenate(places))).astype(np.int32)))
+        rows.append((PLAN - number, *plan))
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in enumerate(names[2:], 1)}})
 
     return run
 
 
-def expand(data: np.ndarray, starts: np.ndarray, owners: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
-    """For each string of ``length`` bytes the least rank of the texts that hold it.
+def _spread(view: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each whole string."""
+    total = np.zeros(len(starts), np.uint64)
+    offsets = [*range(0, length - 8, 8), length - 8]
+    with np.errstate(over="ignore"):
+        for k, o in enumerate(offsets):
+            total = (total ^ _eight_at(view, starts + o) * (_A, _B, _C)[k % 3]) * _B + np.uint64(k)
+            total ^= total >> np.uint64(31)
+        return _mixed(total)
+
+
+#: The symbol that ends a text; a byte's symbol is one more than the byte.
+END = 0
+
 
-    ``starts`` are the strings' positions in ``data``, ``owners`` their texts, ``ranks`` those of the texts. The
-    intervals of common prefix ``p`` are split by the eight bytes before each suffix to those of ``p + 8``.
+class Transform:
+    """The Burrows-Wheeler transform of texts, their suffixes being ordered by their first ``length`` symbols at least.
+
+    A text ends with ``END``, and so does each suffix: it is never compared beyond. ``order`` are the suffixes'
+    positions by row, ``before`` the symbol before each; ``up[row]`` is the row of the suffix that begins one symbol earlier, and
+    ``down`` its inverse. Rows of equal suffixes are in no particular order, which intervals of strings
+    up to ``length`` don't depend on.
     """
-    least = ranks[owners]
-    before = _eights(data)
-    active = np.arange(len(starts), dtype=np.int32)
-    interval = np.zeros(len(starts), np.uint64)
-    reached = 0
-    while reached < length and len(active):
-        step = min(8, length - reached)
-        reached += step
-        symbol = before[starts[active] + length - reached]
-        if step < 8:
-            symbol = symbol >> np.uint64(8 * (8 - step))
-        distinct, code = np.unique(symbol, return_inverse=True)
-        code = interval * np.uint64(len(distinct)) + code.astype(np.uint64)
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int):
+        n = len(data) + len(sizes)
+        self.ends = np.cumsum(sizes + 1) - 1
+        symbols = np.ones(n, np.uint16)
+        symbols[self.ends] = END
+        symbols[symbols > 0] = data.astype(np.uint16) + 1
+        self.left = np.repeat(self.ends, sizes + 1) - np.arange(n)  # bytes from each position to its text's end
+        self.order = self._ordered(symbols, length)
+        self.before = symbols[self.order - 1]
+        self.first = symbols[self.order]
+        self.down = np.argsort(self.before, kind="stable").astype(np.int32)
+        self.up = np.empty(n, np.int32)
+        self.up[self.down] = np.arange(n, dtype=np.int32)
+
+    def _ordered(self, symbols: np.ndarray, length: int) -> np.ndarray:
+        """Rows by prefix doubling, from seven symbols of nine bits in an integer."""
+        n, reached = len(symbols), 7
+        code = np.zeros(n, np.uint64)
+        for i in range(reached):
+            part = np.zeros(n, np.uint64)
+            part[: n - i] = symbols[i:]
+            part[self.left < i] = END
+            code = code << np.uint64(9) | part
         order = np.argsort(code)
-        code, active = code[order], active[order]
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        size = np.diff(np.append(first, len(code)))
-        own = owners[active]
-        several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        keep = np.repeat(several, size)
-        interval = np.repeat(np.arange(several.sum()), size[several]).astype(np.uint64)
-        active = active[keep]
-    if len(active):
-        first = np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1])))
-        least[active] = np.repeat(np.minimum.reduceat(least[active], first), np.diff(np.append(first, len(active))))
+        while reached < length:
+            sorted_code = code[order]
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.concatenate(([True], sorted_code[1:] != sorted_code[:-1])), dtype=np.uint64)
+            then = np.zeros(n, np.uint64)
+            then[: n - reached] = rank[reached:]
+            then[self.left < reached] = 0
+            code = rank * np.uint64(n + 1) + then
+            order = np.argsort(code)
+            reached *= 2
+        return order
+
+    def common_prefixes(self, length: int) -> np.ndarray:
+        """What each row's suffix has in common with that of the row before it, in symbols; ``length`` if at least that.
+
+        The ends of the texts count as one symbol, so that equal suffixes shorter than ``length`` count as one string too.
+        """
+        n = len(self.order)
+        value = np.full(n + 1, length, np.int16)
+        value[0] = value[n] = 0
+        low, high = np.array([0], np.int32), np.array([n], np.int32)
+        for reached in range(length):
+            size = high - low
+            rows = np.arange(size.sum(), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
+            lows, highs = np.repeat(low, size), np.repeat(high, size)
+            if reached:  # nothing is asked of strings that reach over a text's begin
+                within = self.before[rows] != END
+                rows, lows, highs = rows[within], lows[within], highs[within]
+            up = self.up[rows]
+            symbol = self.before[rows]
+            after = np.minimum(up + 1, n - 1)
+            last = (up + 1 == n) | (self.first[after] != symbol) | (self.down[after] >= highs)
+            prior = np.maximum(up - 1, 0)
+            begins = (up == 0) | (self.first[prior] != symbol) | (self.down[prior] < lows)
+            low, high = np.sort(up[begins]), np.sort(up[last]) + np.int32(1)
+            open_ = value[high] == length
+            low, high = low[open_], high[open_]
+            value[high] = reached
+            if not len(high):
+                break
+        value[0] = 0
+        return value[:n]
+
+
+def least_ranks(data: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """For each string of ``length`` bytes of each text, in order, the least rank of the texts that hold it."""
+    made = Transform(data, sizes, length)
+    first = np.flatnonzero(made.common_prefixes(length) < length)
+    rank = np.where(made.left >= length, np.repeat(ranks, sizes + 1), NO_ID)[made.order]
+    least = np.empty(len(rank), np.int64)
+    least[made.order] = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(rank))))
+    return least[made.left >= length]
+
+
+def _slices(offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices of slices of the given offsets and lengths, one after the other."""
+    return np.arange(counts.sum()) + np.repeat(offsets - (np.cumsum(counts) - counts), counts)
+
+
+def _least_of_texts(texts: list[bytes], keys: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of different texts, one text after the other: the least rank of the texts that hold each."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = sizes - length + 1
+    offsets = np.cumsum(counts) - counts
+    least = np.repeat(ranks, counts)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    several = np.repeat(n := np.diff(np.append(first, len(order))), n) > 1
+    order = order[several]  # a text alone under its key shares no string
+    following = np.append(np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1, len(order))  # where keys end
+    upto = np.cumsum(sizes[order])
+    at = 0
+    while at < len(order):
+        fit = np.searchsorted(upto, (upto[at - 1] if at else 0) + ORDERED_BYTES, "right")
+        k = np.searchsorted(following, fit, "right") - 1
+        if k < 0 or following[k] <= at:
+            k = np.searchsorted(following, at, "right")
+        end = int(following[k])
+        own = order[at:end]
+        found = least_ranks(np.frombuffer(b"".join([texts[t] for t in own.tolist()]), np.uint8), sizes[own], ranks[own], length)
+        least[_slices(offsets[own], counts[own])] = found
+        at = end
     return least
 
 
@@ -324,20 +461,24 @@ def _least(length: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() <= PLAN:
             return table
-        rows = table.to_pylist()
-        sizes = [_unpack(r["sizes"], np.int32).astype(np.int64) for r in rows]
-        ranks = np.concatenate([_unpack(r["ranks"], np.int64) for r in rows])
-        data = np.frombuffer(b"".join([_inflate(r["texts"]) for r in rows]), np.uint8)
-        size = np.concatenate(sizes)
-        counts = size - length + 1
-        owners = np.repeat(np.arange(len(size), dtype=np.int32), counts)
-        starts = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(size) - size, counts)
-        least = expand(data, starts.astype(np.int32), owners, ranks, length)
-        ends = np.cumsum([int((s - length + 1).sum()) for s in sizes])
-        blobs = [_pack(least[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
-        empty = pa.array([b""] * len(rows), pa.binary())
-        sized = pa.array([_pack((s - length + 1).astype(np.int32)) for s in sizes], pa.binary())
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "texts": empty, "sizes": sized, "ranks": pa.array(blobs, pa.binary())})
+        known: dict[bytes, int] = {}
+        same, ranks, keys = [], [], []
+        for texts, sizes, key, rank in zip(*(table.column(n) for n in ("texts", "sizes", "keys", "ranks"))):
+            data, ends = _inflate(texts.as_py()), np.cumsum(_unpack(sizes.as_py(), np.int32), dtype=np.int64)
+            same.append(np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), np.int64, len(ends)))
+            ranks.append(_unpack(rank.as_py(), np.int64))
+            keys.append(_unpack(key.as_py(), np.uint32))
+        every = np.concatenate(same)
+        rank, key = np.full(len(known), NO_ID), np.empty(len(known), np.uint32)
+        np.minimum.at(rank, every, np.concatenate(ranks))
+        key[every] = np.concatenate(keys)
+        least = _least_of_texts(list(known), key, rank, length)
+        counts = np.fromiter(map(len, known), np.int64, len(known)) - length + 1
+        offsets = np.cumsum(counts) - counts
+        blobs = [_pack(least[_slices(offsets[x], counts[x])]) for x in same]
+        sized = [_pack(counts[x].astype(np.int32)) for x in same]
+        empty = pa.array([b""] * len(same), pa.binary())
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "texts": empty, "sizes": pa.array(sized, pa.binary()), "keys": empty, "ranks": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -357,20 +498,23 @@ def _applied(length: int, whole: bool):
         block = Block.of(row, length)
         data = np.frombuffer(block.data, np.uint8)
         gone = np.zeros(len(data) + 1, np.int32)
-        rows = {r["bucket"]: r for r in right.to_pylist()}
-        if (plan := rows.pop(PLAN - row["block"], None)) is not None:
-            start, count, bucket, place = _unpack(plan["ranks"], np.int64).reshape(4, -1)
+        answers = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        if answers:
+            plan, answers = answers[0], answers[1:]  # the plan's number is below all buckets
+            buckets, runs, start = (_undelta(plan[n]) for n in ("texts", "sizes", "keys"))
+            count, place = _unpack(plan["ranks"], np.int32).astype(np.int64).reshape(2, -1)
+            if [r["bucket"] for r in answers] != buckets.tolist():
+                raise ValueError("a bucket's answer is missing")
             rank = block.ranks[np.searchsorted(block.ends, start, "right")]
-            for b, answer in rows.items():
+            end = 0
+            for answer, n_runs in zip(answers, runs.tolist()):
+                own = slice(end, end := end + n_runs)
                 sizes = _unpack(answer["sizes"], np.int32).astype(np.int64)
-                least = _unpack(answer["ranks"], np.int64)
-                own = np.flatnonzero(bucket == b)
                 n = count[own]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hit = least[np.repeat((np.cumsum(sizes) - sizes)[place[own]], n) + step] < np.repeat(rank[own], n)
-                at = (np.repeat(start[own], n) + step)[hit]
-                np.add.at(gone, at, 1)
-                np.subtract.at(gone, at + length, 1)
+                hit = _unpack(answer["ranks"], np.int64)[_slices((np.cumsum(sizes) - sizes)[place[own]], n)] < np.repeat(rank[own], n)
+                at = _slices(start[own], n)[hit]
+                gone[at] += 1
+                gone[at + length] -= 1
         gone = np.cumsum(gone[:-1]) > 0
         if whole:
             gone = _whole_characters(gone, data)
@@ -399,11 +543,12 @@ def _removed(docs: DataFrame, others: list[str], length: int, block_bytes: int,
     text = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text"), *named)
     blocks = Table(text.mapInArrow(_blocks(block_bytes), "block long, bytes long, ranks binary, sizes binary, data binary, others binary"), "blocks").df
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    # for each shuffle task two at least, so that few documents still use many tasks
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     own = blocks.select("block", "ranks", "sizes", "data")
     by_bucket = "bucket int, block long, keys binary"
     shared = Table(own.mapInArrow(_key_rows(buckets, length), f"{by_bucket}, texts binary").groupBy("bucket").applyInArrow(_shared(hot), by_bucket), "keys").df
-    rows = "bucket long, block long, texts binary, sizes binary, ranks binary"
+    rows = "bucket long, block long, texts binary, sizes binary, keys binary, ranks binary"
     texts = own.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_texts(buckets, length), rows)
     plans = texts.groupBy("bucket").applyInArrow(_least(length), rows)
     kinds = T.StructType.fromDDL("_doc_id long, _n_bytes long, _spans array<struct<start:long,end:long>>, _kept binary")

@@ -319,22 +319,48 @@ def test_suffix_dedup_texts(spark, corpus):
     assert suffix_dedup.remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
-def test_expand_gives_least_ranks():
+@pytest.mark.parametrize("length", [1, 3, 12, 50])
+def test_transform_and_common_prefixes(length):
+    """Order, transform and common-prefix values against sorted suffixes."""
+    rng = np.random.default_rng(length)
+    texts = [bytes(rng.choice([0, 97, 98, 255], n).astype(np.uint8)) for n in (1, 2, 7, 30, 80, 80)]
+    texts += [texts[4][:60] + b"zz", texts[5], b"a" * 70, b"ab" * 40, b"b", b"b"]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    made = suffix_dedup.Transform(data, sizes, length)
+    symbols = [[*(x + 1 for x in t), 0] for t in texts]
+    flat = [x for t in symbols for x in t]
+    suffix = {}
+    at = 0
+    for t in symbols:
+        suffix |= {at + i: t[i:] for i in range(len(t))}
+        at += len(t)
+    cut = lambda row: suffix[int(made.order[row])][:length]
+    n = len(flat)
+    assert sorted(made.order.tolist()) == list(range(n))
+    assert [cut(r) for r in range(n)] == sorted(s[:length] for s in suffix.values())
+    assert made.before.tolist() == [flat[p - 1] for p in made.order]
+    assert made.down[made.up].tolist() == list(range(n))
+    want = []
+    for r in range(n):
+        x, y = (cut(r - 1), cut(r)) if r else ([], [])
+        same = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        want.append(length if r and x == y else same)
+    got = made.common_prefixes(length).tolist()
+    inner = [r for r in range(1, n) if cut(r)[0] != suffix_dedup.END]  # ends of texts have no order among each other
+    assert [got[r] for r in inner] == [want[r] for r in inner]
+
+
+def test_least_ranks():
     rng = np.random.default_rng(4)
-    texts = ["".join(rng.choice(list("ab"), 70)) for _ in range(30)]
-    texts += [t[:60] + "zzzz" for t in texts[:10]] + [texts[0]]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    size = np.array([len(t) for t in texts])
-    begin = np.cumsum(size) - size
-    starts = np.concatenate([np.arange(n - 49) + b for n, b in zip(size, begin)])
-    owners = np.repeat(np.arange(len(texts)), size - 49)
+    texts = ["".join(rng.choice(list("ab"), 70)).encode() for _ in range(30)]
+    texts += [t[:60] + b"zzzz" for t in texts[:10]] + [texts[0], b"a" * 400, b"a" * 60, b"ab" * 99]
     ranks = rng.permutation(len(texts))
-    got = suffix_dedup.expand(data, starts, owners, ranks, 50)
     best = {}
-    for s, o in zip(starts, owners):
-        k = data[s : s + 50].tobytes()
-        best[k] = min(best.get(k, 99), ranks[o])
-    assert got.tolist() == [best[data[s : s + 50].tobytes()] for s in starts]
+    for t, r in zip(texts, ranks):
+        for k in range(len(t) - 49):
+            best[t[k : k + 50]] = min(best.get(t[k : k + 50], 99), r)
+    got = suffix_dedup.least_ranks(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), ranks, 50)
+    assert got.tolist() == [best[t[k : k + 50]] for t in texts for k in range(len(t) - 49)]
 
 
 def test_toxicity_learns_from_documents_alone(spark):
