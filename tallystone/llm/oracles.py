@@ -99,7 +99,16 @@ OP4, OP5 = _op4(), _op5()
 OP7 = rf"""
 with p as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
   l as (select doc_id, k, parts[k] as part from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as k from p)),
-  n as (select *, trim(lower(regexp_replace(part, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ') as norm, sum(length(part) + 1) over (partition by doc_id order by k) - length(part) - 1 as start from l),
-  r as (select *, length(norm) >= {line_dedup.LEAST} and row_number() over (partition by norm order by doc_id, k) > 1 as gone from n)
-select doc_id, sum(gone::int)::bigint as n_removed, coalesce(string_agg(start || '-' || (start + length(part)), ',' order by k) filter (gone), '') as removed,
-  sha256(coalesce(string_agg(part, chr(10) order by k) filter (not gone), '')) as kept_sha256 from r group by doc_id"""
+  s as (select *, sum(length(part) + 1) over (partition by doc_id order by k) - length(part) - 1 as start,
+    string_split(regexp_replace(part, '([{line_dedup.MARKS}][ \t\x0b\f\r])', '\1' || chr(57344), 'g'), chr(57344)) as cut from l),
+  e as (select doc_id, k, start, cut, unnest(range(1, len(cut) + 1)) as i from s where len(cut) > 1),
+  u as (select doc_id, k, 0 as i, part, start from s union all
+    select doc_id, k, i, cut[i] as part, start + coalesce(list_sum(list_transform(cut[:i - 1], lambda x: length(x))), 0) as start from e),
+  n as (select *, trim(lower(regexp_replace(part, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ') as norm from u),
+  r as (select *, length(norm) >= {line_dedup.LEAST} and row_number() over (partition by norm order by doc_id, k, i) > 1 as gone from n),
+  g as (select *, max(case when i = 0 then gone::int else 0 end) over (partition by doc_id, k) = 1 as whole, max(i) over (partition by doc_id, k) > 0 as several from r),
+  t as (select doc_id, k, string_agg(part, '' order by i) filter (not gone and part <> '') as line from g where not whole and (i > 0 or not several) group by doc_id, k having count(*) filter (not gone and part <> '') > 0 or max(i) = 0),
+  x as (select doc_id, string_agg(coalesce(line, ''), chr(10) order by k) as kept from t group by doc_id),
+  z as (select doc_id, count(*) as n, string_agg(start::bigint || '-' || (start + length(part))::bigint, ',' order by start) as removed from g where gone and (i = 0 or not whole) group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed, sha256(coalesce(kept, '')) as kept_sha256
+  from documents d left join x using (doc_id) left join z using (doc_id)"""

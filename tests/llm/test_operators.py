@@ -459,6 +459,51 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_sentences(spark):
+    """Random documents of repeated sentences, against a plain loop over ranked units."""
+    rng = random.Random(12)
+    pool = [prose(rng, rng.randint(3, 9)) + rng.choice(". ! ?".split()) for _ in range(30)] + ["Hm.", "3.5", "", "Tab.\tBehind it there is still something."]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(("", " ", "  ")).join(rng.choice(pool) + rng.choice((" ", "")) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 6))]
+        rows.append((i, "\n".join(lines)))
+    seen, want = set(), {}
+    for i, text in rows:
+        kept, spans, start = [], [], 0
+        for line in text.split("\n"):
+            cut = [x for x in re.split(r"(?<=[.!?][ \t])", line)]
+            norms = [" ".join(x.lower().split()) for x in ([line, *cut] if len(cut) > 1 else [line])]
+            gone = []
+            for x in norms:
+                gone.append(len(x) >= 30 and x in seen)
+                seen.add(x)
+            if gone[0]:
+                spans.append((start, start + len(line)))
+            else:
+                at, stay = start, []
+                for x, g in zip(cut, gone[1:] if len(cut) > 1 else [False]):
+                    if g:
+                        spans.append((at, at + len(x)))
+                    else:
+                        stay.append(x)
+                    at += len(x)
+                if "".join(stay) or len(cut) == 1:
+                    kept.append("".join(stay))
+            start += len(line) + 1
+        want[i] = ("\n".join(kept), tuple(spans))
+    done = line_dedup.without_repeated_lines(documents(spark, rows))
+    assert {r["doc_id"]: (r["text"], tuple(map(tuple, r["removed"]))) for r in done.collect()} == want
+    assert sum(bool(s) for _, s in want.values()) > 30
+
+
+def test_line_dedup_of_many_lines_is_linear(spark):
+    line = "this line is long enough to be counted"
+    docs = documents(spark, [(1, "\n".join([line] * 50_000)), (2, "\n".join(f"{line} {i}" for i in range(50_000)) + "\n" + line)])
+    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got[1]["text"] == line and len(got[1]["removed"]) == 49_999
+    assert len(got[2]["removed"]) == 1 and got[2]["text"].endswith(" 49999")
+
+
 def test_quality_grades(spark):
     rng = random.Random(4)
     rows, ratings = [], []
