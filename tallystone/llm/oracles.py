@@ -32,36 +32,34 @@ FEATURES = rf"""
   r as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as c from g) where c > 1),
   c as (select doc_id, sum(least({quality_rules.WINDOW}, coalesce(following - i, {quality_rules.WINDOW})))::bigint as n from (select *, lead(i) over (partition by doc_id order by i) as following from r) group by doc_id),
   x as materialized (select d.doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    len(list_distinct(words))::bigint as n_distinct, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    length(regexp_replace(text, '[^.!?]', '', 'g'))::bigint as n_marks, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
     coalesce(c.n, 0)::bigint as n_repeat_words, length(regexp_replace(text, '\P{{L}}', '', 'g'))::bigint as n_letters, length(regexp_replace(text, '\P{{Lu}}', '', 'g'))::bigint as n_capitals
     from d left join c using (doc_id))"""
 
 
 def _op4() -> str:
-    rules, rounds = quality_rules.RULES, quality_rules.ROUNDS
+    rules, rounds, prior = quality_rules.RULES, quality_rules.ROUNDS, quality_rules.PRIOR_COUNT
     n, last = len(rules), 3 * len(rules)
     votes = ", ".join(f"{3 * k} + case when {r.bad} then 0 when {r.good} then 2 else 1 end" for k, r in enumerate(rules))
-    blamed = f"len(list_filter(range(0, {n}), lambda k: v[k + 1] = 3 * k))"
+    against = f"len(list_filter(range(0, {n}), lambda k: v[k + 1] = 3 * k))"
     parts = [
         FEATURES,
         f"v as materialized (select *, [{votes}, {last}] as v from x)",
         "t as materialized (select v, count(*)::double as n from v group by v)",
-        f"k as materialized (select unnest(range(0, {n + 1})) as c)",
-        f"p0 as materialized (select v, n, c, case when {blamed} = 0 then case when c = 0 then 0.95 else 0.05 / {n} end when c = 0 then 0.02 when v[c] = 3 * (c - 1) then 0.98 / {blamed} else 0 end as p from t, k)",
+        f"p0 as materialized (select v, n, case {against} when 0 then {quality_rules.START[0]} when 1 then {quality_rules.START[1]} else {quality_rules.START[2]} end as p from t)",
     ]
     for i in range(rounds):
         parts += [
-            f"s{i} as materialized (select c, slot, sum(n * p) as s from (select c, n, p, unnest(v) as slot from p{i}) group by c, slot)",
-            f"m{i} as materialized (select a.c, a.slot, case when a.slot = {last} then ln((coalesce(s, 0) + 1) / ((select sum(n) from t) + {n + 1})) when a.c = 0 and a.slot % 3 = 0 "
-            f"then least(ln((coalesce(s, 0) + 1) / (size + 3)), ln({quality_rules.MOST_WRONG})) else ln((coalesce(s, 0) + 1) / (size + 3)) end as l "
-            f"from (select c, unnest(range(0, {last + 1})) as slot from k) a left join s{i} b on a.c = b.c and a.slot = b.slot left join (select c, s as size from s{i} where slot = {last}) z on z.c = a.c)",
-            f"l{i} as materialized (select v, n, q.c, sum(l) as l from (select v, n, c, unnest(v) as slot from t, k) q join m{i} on m{i}.c = q.c and m{i}.slot = q.slot group by v, n, q.c)",
-            f"p{i + 1} as materialized (select v, n, c, exp(l - max(l) over (partition by v)) / sum(exp(l - top)) over (partition by v) as p from (select *, max(l) over (partition by v) as top from l{i}))",
+            f"s{i} as materialized (select slot, sum(n * p) as g, sum(n * (1 - p)) as b from (select n, p, unnest(v) as slot from p{i}) group by slot)",
+            f"z{i} as materialized (select g, b from s{i} where slot = {last})",
+            f"o{i} as materialized (select slot, case when slot = {last} then ln((z.b + {prior}) / (z.g + {prior})) else ln((s.b + {prior}) / (z.b + 3 * {prior})) - ln((s.g + {prior}) / (z.g + 3 * {prior})) end as o from s{i} s, z{i} z)",
+            f"p{i + 1} as materialized (select v, n, 1 / (1 + exp(sum(o))) as p from (select v, n, unnest(v) as slot from t) join o{i} using (slot) group by v, n)",
         ]
     failed = "(n_words < 10 or 100 * n_repeat_words > 20 * n_words)"
     return (
         "with " + ",\n".join(parts) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} as base_failed, not {failed} and p >= 0.5 as kept "
-        f"from v join p{rounds} using (v) where c = 0"
+        f"from v join p{rounds} using (v)"
     )
 
 

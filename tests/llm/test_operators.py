@@ -246,10 +246,55 @@ def test_quality_learns_kinds_of_junk(spark):
     docs = documents(spark, clean + symbols + capitals)
     kept = quality_rules.keep_good(docs)
     ids = {r["doc_id"] for r in kept.collect()}
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and dict(kept.dtypes) == dict(docs.dtypes)
     assert len(ids & set(range(300))) >= 297 and len([i for i in ids if i >= 1000]) <= 2
 
 
+def plain_posterior(patterns, n_rules, rounds):
+    """The label model by plain loops over (votes, count)."""
+    p = [quality_rules.START[min(2, sum(v == 0 for v in votes))] for votes, _ in patterns]
+    for _ in range(rounds):
+        classes = []
+        for w in (p, [1 - x for x in p]):
+            size = sum(x * n for x, (_, n) in zip(w, patterns))
+            rates = [[(sum(x * n for x, (votes, n) in zip(w, patterns) if votes[k] == v) + 0.1) / (size + 0.3) for v in range(3)] for k in range(n_rules)]
+            classes.append((size + 0.1, rates))
+        p = []
+        for votes, _ in patterns:
+            good, bad = (size * np.prod([rates[k][v] for k, v in enumerate(votes)]) for size, rates in classes)
+            p.append(good / (good + bad))
+    return p
+
+
+def test_quality_label_model(spark):
+    """Against plain loops; a rule that errs is overruled, abstentions alone don't reject."""
+    rng = random.Random(4)
+    counts = collections.Counter()
+    for i in range(4000):
+        bad = i % 10 == 0
+        votes = [(0 if rng.random() < 0.6 else 1 if rng.random() < 0.5 else 2) if bad else (0 if rng.random() < 0.005 else 1 if rng.random() < 0.1 else 2) for _ in range(5)]
+        votes.append(0 if rng.random() < 0.2 else 2)  # votes without regard to the text
+        counts[tuple(votes)] += 1
+    patterns = sorted(counts.items())
+    rows = [([v + 3 * k for k, v in enumerate(votes)] + [18], n) for votes, n in patterns]
+    table = spark.createDataFrame(rows, "votes array<int>, n long")
+    model = quality_rules.fit(table, 6, 8)
+    got = {tuple(s % 3 for s in r["votes"][:6]): r["p"] for r in table.select("votes", quality_rules._posterior(model).alias("p")).collect()}
+    want = plain_posterior(patterns, 6, 8)
+    assert all(abs(got[v] - p) < 1e-9 for (v, _), p in zip(patterns, want))
+    odds = lambda votes: sum(model[1][3 * k + v] - model[0][3 * k + v] for k, v in enumerate(votes)) + model[1][18] - model[0][18]
+    assert odds([2, 2, 2, 2, 2, 0]) < 0  # kept: only the rule that errs votes bad
+    assert odds([1, 1, 2, 2, 2, 0]) < 0  # kept: two abstain, and its weak vote
+    assert odds([0, 0, 1, 2, 2, 2]) > 0  # rejected: two good rules agree
+
+
+def test_quality_verdicts_differ_from_all_must_pass(spark, sf):
+    judged = quality_rules.judge(spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"))
+    against = F.greatest(*(quality_rules.vote(r) == quality_rules.BAD for r in quality_rules.RULES))
+    overruled = judged.where(against & F.col("kept"))
+    assert overruled.count() > 0 and overruled.where("n_words < 20").count() == overruled.count()
+
+
 def test_packing_is_optimal(spark, corpus):
     rng = random.Random(2)
     for _ in range(20):
