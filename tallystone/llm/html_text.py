@@ -3,8 +3,13 @@
 A page is read into a tree. Every node gets the characters and tags of its subtree, and those of its links;
 its density is characters per tag, adjusted by how much of it is linked. A node's density sum is the sum of its
 children's densities. The node of the largest sum is the body of the text; on the path from it up to <body>
-the least density is the threshold below which a node of the body is page furniture. What is furniture by its tag or
-role (menus, headers and footers of the page, forms, ...) is left out before any of this is computed.
+the least density is the threshold. Above the body, blocks beside the path count if they reach the threshold or are
+headings; within it, only lists of links below the threshold go. An <article> or <main> around the body is taken whole.
+
+What is furniture by its tag or role (menus, footers, asides, forms, scripts, ...) has no text. Names (class and id) decide
+nothing by themselves: words like "sidebar" or "advert" lower a node's density, to nothing where the whole name says so,
+and a node whose lowered density is under the threshold goes. They lower no node that holds most of the page's characters, or the largest
+density sum along with a third of them (nine tenths for a block without blocks inside). Reader comments may outweigh an article, so their names count unless hardly anything else is there.
 """
 
 import html
@@ -40,38 +45,68 @@ FURNITURE = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video map nav aside footer form button input select textarea option dialog menu title noembed noframes".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that name furniture; matched as whole words of the name.
+#: Words of class and id that name furniture.
 FURNITURE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar "
-    "comment comments disqus respond reply replies cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login share sharing social related recommended "
-    "widget pagination pager toolbar skip".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar "
+    "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
+    "widget widgets pagination pager toolbar skip".split()
 )
+#: Words that name what readers wrote.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond responses reply replies".split())
+#: Words that say nothing beside those: a name of both kinds only is wholly furniture's.
+NEUTRAL_NAMES = frozenset("area bar block bottom box container content global group holder inner item items layer left link links list main message outer page panel reader readers region right row section site strip text thread top user wrap wrapper".split())
+#: First words of names that tell a state, not what a node is.
+STATES = frozenset("has no not with without is js hide show".split())
+#: What a name that is partly furniture's leaves of a density.
+PARTLY = 0.25
+#: Characters outside of reader comments from which on a page has other text.
+OTHER_TEXT = 140
 
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
 ATTRIBUTE = regex.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", regex.S)
-NAME = regex.compile(r"[a-z]+")
+NAME = regex.compile(r"\p{Lu}?\p{Ll}+|\p{Lu}+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that names which are partly furniture's don't lower.
+PARAGRAPHS = HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "items", "up", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "items", "up", "furniture", "names", "factor", "chars", "tags", "link_chars", "link_tags", "density", "total", "block")
 
-    def __init__(self, tag: str, up: "Node | None", furniture: bool = False):
-        self.tag, self.up, self.furniture = tag, up, furniture
+    def __init__(self, tag: str, up: "Node | None", furniture: bool = False, names: str = ""):
+        self.tag, self.up, self.furniture, self.names, self.factor = tag, up, furniture, names, 1.0
         self.items: list[Node | str] = []
 
 
-def _is_furniture(tag: str, attributes: str, within_article: bool) -> bool:
+def _kind(tag: str, attributes: str, within_article: bool) -> tuple[bool, str]:
+    """Whether an element is furniture by tag, role or being hidden, and its names."""
     if tag in FURNITURE or tag == "header" and not within_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return True, ""
+    if not attributes or tag in ("html", "body"):
+        return False, ""
+    names = ""
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name == "role" and value in FURNITURE_ROLES or name in ("class", "id") and FURNITURE_NAMES.intersection(NAME.findall(value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if name in ("class", "id"):
+            names += " " + value
+            continue
+        value = value.lower()
+        if name == "role" and value in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return True, ""
+    return False, names
+
+
+def _judged(tag: str, names: str) -> tuple[float, bool]:
+    """What the names leave of a density, and whether they name reader comments."""
+    least, comments = 1.0, False
+    for name in names.split():
+        words = [w.lower() for w in NAME.findall(name)]
+        told = [w for w in words if w in FURNITURE_NAMES or w in COMMENT_NAMES]
+        if told and words[0] not in STATES:
+            factor = 0.0 if all(w in NEUTRAL_NAMES for w in words if w not in told) else 1.0 if tag in PARAGRAPHS else PARTLY
+            least = min(least, factor)
+            comments = comments or any(w in COMMENT_NAMES for w in told)
+    return least, comments
 
 
 def parse(page: str) -> Node:
@@ -121,7 +156,7 @@ def parse(page: str) -> Node:
                 if node.tag in close:
                     at = node.up
                 node = node.up
-        made = Node(tag, at, _is_furniture(tag, m[3], articles > 0))
+        made = Node(tag, at, *_kind(tag, m[3], articles > 0))
         at.items.append(made)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -143,6 +178,7 @@ def _measure(root: Node) -> list[Node]:
         stack += [x for x in node.items if isinstance(x, Node) and not x.furniture]
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.block = node.tag in BLOCK
         for x in node.items:
             if isinstance(x, str):
                 node.chars += len(" ".join(x.split()))
@@ -151,17 +187,48 @@ def _measure(root: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags
+                node.block |= x.block
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, 1
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
     for node in order:
         node.density = _density(node, share)
-    for node in order:
-        node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.furniture)
+    _total(order)
+    if named := [(n, *_judged(n.tag, n.names)) for n in order if n.names]:
+        _lower([x for x in named if x[1] < 1], order)
     return order
 
 
+def _total(order: list[Node]) -> None:
+    """Density sums; elements within a line (no block, none inside) are part of it and no children of their own."""
+    for node in order:
+        node.total = sum(x.density * x.factor for x in node.items if isinstance(x, Node) and not x.furniture and x.block)
+
+
+def _path(node: Node | None) -> list[Node]:
+    """A node and those above it."""
+    path = []
+    while node is not None:
+        path.append(node)
+        node = node.up
+    return path
+
+
+def _lower(named: list[tuple[Node, float, bool]], order: list[Node]) -> None:
+    """Lowers the densities of nodes with names of furniture, but for those that hold the page's text."""
+    every = order[0].chars
+    for node, factor, comments in named:
+        if comments and every - node.chars >= OTHER_TEXT:
+            node.factor = factor
+    _total(order)
+    inside = {id(n) for n in _path(max(order, key=lambda n: (n.tag != "html", n.total)))}
+    for node, factor, comments in named:
+        if not comments and not _holds(node, every, id(node) in inside):
+            node.factor = factor
+    _total(order)
+
+
 def _density(node: Node, share: float) -> float:
     """Composite text density; ``share``: the page's linked characters by its characters."""
     if not node.chars:
@@ -172,28 +239,43 @@ def _density(node: Node, share: float) -> float:
     return node.chars / max(node.tags, 1) * max(math.log(max(inner, 1.0)) / math.log(max(base, math.e)), 0.0)
 
 
-def _body(order: list[Node]) -> tuple[Node, float]:
-    """The subtree of the main text and the density below which its nodes are furniture."""
-    articles = [n for n in order if n.tag in ("article", "main") and n.chars]
-    best = max(order, key=lambda n: n.total)
+def _holds(node: Node, every: int, best: bool) -> bool:
+    """Whether a node holds the text of a page of ``every`` characters; one of a single line must hold nearly all."""
+    if not any(isinstance(x, Node) and x.block and not x.furniture for x in node.items):
+        return 10 * node.chars > 9 * every
+    return 2 * node.chars > every or best and 3 * node.chars > every
+
+
+def _body(order: list[Node]) -> tuple[Node, Node, float]:
+    """The subtree to read, the one in it that is taken whole, and the threshold."""
+    dropped: set[int] = set()
+    for n in order:  # parents first
+        if n.factor == 0 or n.up is not None and id(n.up) in dropped:
+            dropped.add(id(n))
+    page = next((n for n in order if n.tag == "body"), order[0])
+    best = max((n for n in order if id(n) not in dropped and n.tag != "html"), key=lambda n: n.total, default=page)
     if not best.total:
-        best = next((n for n in order if n.tag == "body"), order[0])
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.up
-    threshold = min((n.density for n in path if n.tag not in ("html",)), default=0.0)
-    # up to the element that holds the whole text: a parent that adds text as dense as the threshold
-    for n in path[1:]:
-        if n.tag in ("html", "body") and articles:
+        best = page
+    path = _path(best)
+    threshold = min((n.density for n in path if n.tag != "html" and n.chars), default=0.0)
+    top, whole = best, best
+    for node in path[1:]:
+        if node.tag in ("html", "body"):
             break
-        if n.tag in ("article", "main"):
-            best = n
-    return best, threshold
+        if node.tag in ("article", "main"):
+            top = whole = node
+        elif any(isinstance(x, Node) and not x.furniture and x not in path and _beside(x, threshold) for x in node.items):
+            top = node
+    return top, whole, threshold
+
+
+def _beside(node: Node, threshold: float) -> bool:
+    """Whether a block beside the way to the body belongs to the text."""
+    return node.chars > 0 and node.factor > 0 and (node.tag in HEADINGS or node.density * node.factor >= threshold)
 
 
-def _blocks(top: Node, threshold: float) -> str:
-    """The text of a subtree, a line for each block."""
+def _blocks(top: Node, whole: Node, threshold: float) -> str:
+    """The text of a subtree, a line for each block; beside the way to ``whole`` only what belongs to the text."""
     out: list[str] = []
     run: list[str] = []
 
@@ -202,6 +284,15 @@ def _blocks(top: Node, threshold: float) -> str:
             out.append(line)
         run.clear()
 
+    def goes(x: Node) -> bool:
+        if x.furniture or not x.factor or x.factor < 1 and x.density * x.factor < threshold or _linked(x, threshold):
+            return True
+        return x.tag in BLOCK and x.up is not whole and id(x.up) in way and id(x) not in way and not _beside(x, threshold)
+
+    way, node = {id(whole)}, whole
+    while node is not top:
+        node = node.up
+        way.add(id(node))
     stack: list[Node | str | None] = [top]
     while stack:
         x = stack.pop()
@@ -209,7 +300,7 @@ def _blocks(top: Node, threshold: float) -> str:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.furniture or x is not top and _linked(x, threshold):
+        elif x is not top and goes(x):
             if x.tag in BLOCK:
                 flush()
         elif x.tag in ("br", "hr"):
@@ -234,8 +325,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     order = _measure(parse(page))
-    top, threshold = _body(order)
-    return _blocks(top, threshold)
+    return _blocks(*_body(order))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -473,15 +473,91 @@ def test_html_finds_the_body_without_article_tags():
     assert text.split("\n") == [f"This is sentence number {i} of a text that goes on for quite a while." for i in range(6)]
 
 
+def sentences(n, start=0):
+    return "".join(f"<p>This is sentence number {i} of a text that goes on for quite a while.</p>" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="layout has-sidebar"><article>{}</article></div></body>',
+        '<body><div class="site no-comments"><div>{}</div></div></body>',
+        '<body class="with-cookie-notice"><nav>x</nav><div id="page-container"><div class="main-content">{}</div><div class="sidebar"><p>More of this and that, which nobody needs to read here at all.</p></div></div></body>',
+        '<body><div class="modal">{}</div></body>',
+        '<body><div class="overlay promo"><div>{}</div></div><footer>f</footer></body>',
+        '<body><div>{}</div><div id="comments"><p>' + "</p><p>".join(["I read this with joy and can only agree with all that it says, thank you!"] * 12) + "</p></div></body>",
+        '<body><main><article>{}<section class="postComments"><p>Nice post, I liked it a lot, really.</p></section></article></main></body>',
+        '<body><div><div class="ad-box"><p>Buy this now, it is the best that you can buy anywhere these days, really!</p></div><div>{}</div></div></body>',
+        '<body><div><div>{}</div><div class="related links"><ul><li><a href=1>Something else</a></li><li><a href=2>More</a></li></ul></div></div></body>',
+    ],
+)
+def test_html_names_only_lower_scores(page):
+    assert html_text.main_text(page.format(sentences(6))).split("\n") == [f"This is sentence number {i} of a text that goes on for quite a while." for i in range(6)]
+
+
+def test_html_keeps_named_paragraphs_and_headings():
+    inner = sentences(2) + '<p class="notice-para">This paragraph of the article has a name that sounds like a notice.</p>' + sentences(2, 2)
+    assert "sounds like a notice" in html_text.main_text(f"<body><article>{inner}</article></body>")
+    assert "sounds like a notice" in html_text.main_text(f"<body><div>{inner}</div></body>")
+    text = html_text.main_text(f"<body><div class=post><h1>The heading</h1><div>{sentences(5)}</div></div><div><a href=/>Home</a> <a href=/a>A</a></div></body>")
+    assert text.startswith("The heading\nThis is sentence number 0") and text.endswith("while.")
+
+
+def test_html_densities(spark):
+    """Characters, tags, densities and sums of small trees against a plain recursion."""
+    import math
+
+    rng = random.Random(3)
+
+    def build(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                tag = rng.choice(("div", "section", "span", "a", "b"))
+                parts.append((tag, build(depth - 1)))
+            else:
+                parts.append("x" * rng.randint(1, 40))
+        return parts
+
+    def markup(parts):
+        return "".join(p if isinstance(p, str) else f"<{p[0]}>{markup(p[1])}</{p[0]}>" for p in parts)
+
+    def plain(tag, parts, share, out):
+        kids = [plain(p[0], p[1], share, out) if not isinstance(p, str) else (len(p), 0, 0, 0, None, False) for p in parts]
+        chars, tags = sum(k[0] for k in kids), sum(k[1] + (k[4] is not None) for k in kids)
+        linked, links = (chars, 1) if tag == "a" else (sum(k[2] for k in kids), sum(k[3] for k in kids))
+        ratio = max(chars / max(linked, 1) * max(tags, 1) / max(links, 1), 1.0)
+        base = math.log(chars * linked / max(chars - linked, 1) + share * chars + math.e)
+        density = chars / max(tags, 1) * math.log(ratio) / math.log(max(base, math.e)) if chars else 0.0
+        out.append((tag, chars, tags, round(density, 6), round(sum(k[4] for k in kids if k[5]), 6)))
+        return chars, tags, linked, links, density, tag in html_text.BLOCK or any(k[5] for k in kids)
+
+    for _ in range(40):
+        parts = build(4)
+        order = html_text._measure(html_text.parse(f"<body>{markup(parts)}</body>"))
+        body = next(n for n in order if n.tag == "body")
+        want = []
+        plain("body", parts, body.link_chars / body.chars, want)
+        got = [(n.tag, n.chars, n.tags, round(n.density, 6), round(n.total, 6)) for n in order if n is not order[0]]
+        assert sorted(got) == sorted(want)
+
+
 def test_html_pages(spark, sf):
-    rows = spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect()
-    table = spark.createDataFrame([(r["page_id"], r["url"], r["html"], "x") for r in rows] + [(None, None, None, "x"), (7000, "u", "", "x")], "page_id long, url string, html string, text string")
+    """All pages against a regular expression for their articles, with and without the tag that says where the article is."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    table = spark.createDataFrame(
+        [(r["page_id"], r["url"], r["html"], "x") for r in rows]
+        + [(10**6 + r["page_id"], r["url"], r["html"].replace("<article>", "<div>").replace("</article>", "</div>"), "x") for r in rows]
+        + [(None, None, None, "x"), (7000, "u", "", "x")],
+        "page_id long, url string, html string, text string",
+    )
     got = {r["page_id"]: r for r in html_text.extract(table).collect()}
     for r in rows:
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in re.split(r"</?(?:p|h1|br)>", article))
-        assert got[r["page_id"]]["text"] == "\n".join(p for p in parts if p)
+        assert got[r["page_id"]]["text"] == got[10**6 + r["page_id"]]["text"] == "\n".join(p for p in parts if p)
     assert got[None]["text"] == got[7000]["text"] == "" and got[7000]["n_chars"] == 0
+    assert html_text.extract(table.limit(0)).count() == 0
 
 
 def test_digest_columns(spark, sf):
