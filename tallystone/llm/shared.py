@@ -15,14 +15,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one of a local session or one in the warehouse."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    if found := spark.conf.get("tallystone.checkpoint.dir", None):
-        return found
-    own = tempfile.mkdtemp(prefix="tallystone-")
-    spark.conf.set("tallystone.checkpoint.dir", own)
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_tallystone"
+    if not (found := spark.conf.get("tallystone.checkpoint.dir", None)):
+        found = tempfile.mkdtemp(prefix="tallystone-")
+        spark.conf.set("tallystone.checkpoint.dir", found)
+    return found
 
 
 def fresh(columns: list[str], base: str) -> str:
@@ -64,22 +65,61 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Edges from which on components take distributed rounds before one task finishes them; some 100 MB there.
+ONE_TASK = 1 << 20
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges (u, v) the components, each as edges from its members to the least of them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = up = root[up]
+            x = up
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in list(root)]
+        pairs = [(x, y) for x, y in pairs if x != y]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+        if len(root) > 2 * ONE_TASK:
+            yield out()
+    if root:
+        yield out()
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int = ONE_TASK) -> DataFrame:
     """Each node that has an edge, with the smallest node it reaches.
 
-    ``edges`` has two long columns ``a`` and ``b``. Rounds of large-star and small-star replace every
+    ``edges`` has two long columns ``a`` and ``b``. Tasks first reduce their own edges to stars. While there are more than
+    ``one_task`` edges, rounds of large-star and small-star replace every
     edge by edges to smaller nodes until each component is one star, in O(log^2 n) rounds. All is
     relational: minima are aggregated map-side first, the joins on hub nodes are plain equi-joins
-    that adaptive execution may split, and each round is a written table. Nulls and self-loops are ignored.
+    that adaptive execution may split, and each round is a written table. So many edges at most as one task holds
+    are finished by one. Nulls and self-loops are ignored.
 
     Returns ``node``, ``root`` (``root`` <= ``node``); no rows for no edges.
     """
-    hi, lo = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = Table(edges.where("a <> b").select(hi, lo).distinct(), "edges")
+    ddl = "u long, v long"
+    now = Table(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_stars, ddl), "edges")
     before = None
     for _ in range(max_rounds):
-        mark = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+        n = now.df.count()
+        if n <= one_task:
+            following = Table(now.df.coalesce(1).mapInArrow(_stars, ddl), "edges")
+            now.drop()
+            now = following
+            break
+        mark = n, now.df.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
+        if mark == before:
             break
         before = mark
         e = now.df

@@ -155,10 +155,11 @@ def test_similar_keeps_rows_without_ids(spark, corpus):
     assert similar.keep_first(documents(spark, []).limit(0)).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_of_a_chain_and_a_star(spark, one_task):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(1, i) for i in range(2, 60)] + [(500, 500), (7, 7)]
-    got = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(chain + star, "a long, b long"), one_task=one_task).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 1 for i in range(1, 60)}}
 
 
