@@ -64,3 +64,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.round(c, digits))
     return df
+
+
+#: The exact two-sided p-value of discordant counts b and c in SQL.
+MCNEMAR = "least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))))"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import statistics as st
 from ..operators import evaluation as ev
 from ..operators import joins, votes
-from .base import FLAGS, flags, query, rounded, table, wilson_sql
+from .base import MCNEMAR, FLAGS, flags, query, rounded, table, wilson_sql
 
 CELLS = """
   sum(case when p and g then 1 else 0 end)::bigint as tp, sum(case when p and not g then 1 else 0 end)::bigint as fp,
@@ -259,9 +259,14 @@ def _outcomes(spark, sf_dir):
     return lines.join(orders, "l_orderkey")
 
 
-@query("t15_significance")
+@query("t15_significance", f"""
+with u as (select o_orderstatus as lan, l_orderkey, l_returnflag as system, bool_or(l_discount > 0.05) as x from lineitem join orders on o_orderkey = l_orderkey group by all),
+  c as (select a.lan, a.system as system_a, b.system as system_b, count(*) as n, sum((a.x and not b.x)::int)::bigint as b, sum((b.x and not a.x)::int)::bigint as c, sum((a.x and b.x)::int)::bigint as n_both
+    from u a join u b on a.lan = b.lan and a.l_orderkey = b.l_orderkey and a.system < b.system group by all),
+  p as (select *, {MCNEMAR} as p from c), r as (select *, row_number() over (partition by lan order by p, system_a, system_b) as k, count(*) over (partition by lan) as m from p)
+select lan, system_a, system_b, n, b as only_a, c as only_b, n_both, round(p, 6) as p, round(max(least(1.0, (m - k + 1) * p)) over (partition by lan order by k), 6)::double as p_holm from r""")
 def t15_significance(spark, sf_dir):
-    return ev.significance(_outcomes(spark, sf_dir), ["l_orderkey"], "system", "harm", ["lan"])
+    return rounded(ev.significance(_outcomes(spark, sf_dir), ["l_orderkey"], "system", "harm", ["lan"]), "p", "p_holm")
 
 
 @query("j22_discordant_pairs", """

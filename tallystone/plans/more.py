@@ -7,7 +7,7 @@ from ..functions import statistics as st
 from ..functions import text as tx
 from ..operators import models, votes
 from ..operators import sequences as sq
-from .base import FLAGS, TIMELINE, flags, query, table, timeline, wilson_sql
+from .base import FLAGS, MCNEMAR, TIMELINE, flags, query, table, timeline, wilson_sql
 from .texts import HUMAN, MODEL, _spans
 
 
@@ -143,10 +143,10 @@ def t8_span_f1(spark, sf_dir):
     )
 
 
-@query("t11_mcnemar")
+@query("t11_mcnemar", f"select source, round({MCNEMAR}, 6) as p from (select source, sum((quality = 0 and toxic = 0)::int)::bigint as b, sum((quality = 1 and toxic = 1)::int)::bigint as c from {FLAGS} group by source)")
 def t11_mcnemar(spark, sf_dir):
     c = flags(spark, sf_dir).groupBy("source").agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("b"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("c"))
-    return c.select("source", st.mcnemar_exact("b", "c").alias("p"))
+    return c.select("source", F.round(st.mcnemar_exact("b", "c"), 6).alias("p"))
 
 
 @query("t14_holm", f"""

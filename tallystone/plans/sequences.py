@@ -178,17 +178,12 @@ def j23_context(spark, sf_dir):
     return c.select("conv_id", "turn", F.expr("row_number() over (partition by conv_id order by turn, role, text)").cast("long").alias("k"), F.size("before").cast("long").alias("n_before"), F.md5(F.array_join("after", "|")).alias("after_digest"))
 
 
-# Joins of a user's events (value seconds long) with windows of the same user, each 900 seconds from every 25th event on.
-WINDOWS = f"(select user_id, event_id as win, beg as wbeg, beg + 900 as wend from {TIMELINE} where event_id % 25 = 0)"
+# Joins of a user's events (value seconds long) with windows of the same user, each 900 seconds from an event on.
+WINDOWS = f"(select user_id, event_id as win, beg as wbeg, beg + 900 as wend from {TIMELINE})"
 COMMON = "least(fin, wend) - greatest(beg, wbeg)"
 
 
 def _windows(spark, sf_dir):
-    return _every_window(spark, sf_dir).where("win % 25 = 0")
-
-
-def _every_window(spark, sf_dir):
-    """A window from every event on, for the queries _whole; their SQL would compare all pairs of a user."""
     return timeline(spark, sf_dir).select("user_id", F.col("event_id").alias("win"), F.col("beg").alias("wbeg"), (F.col("beg") + 900).alias("wend"))
 
 
@@ -198,50 +193,30 @@ with p as (select user_id, event_id, win, {COMMON} as ov, fin - beg as a, wend -
   m as (select e.user_id, e.event_id, w.win, row_number() over (partition by e.event_id order by round(abs((beg + fin) / 2 - (wbeg + wend) / 2), 6), w.win) as k
     from {TIMELINE} e join {WINDOWS} w using (user_id) where not exists (select 1 from h where h.event_id = e.event_id))
 select * from h union all select user_id, event_id, win, true from m where k = 1""")
-def j9_overlap_or_nearest(spark, sf_dir, windows=_windows):
-    return joins.overlap_or_nearest(timeline(spark, sf_dir), windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), ["event_id"], "win", 900.0, ratio=0.5)
-
-
-@query("j9_overlap_or_nearest_whole")
-def j9_overlap_or_nearest_whole(spark, sf_dir):
-    return j9_overlap_or_nearest(spark, sf_dir, _every_window)
+def j9_overlap_or_nearest(spark, sf_dir):
+    return joins.overlap_or_nearest(timeline(spark, sf_dir), _windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), ["event_id"], "win", 900.0, ratio=0.5)
 
 
 @query("j10_best_overlap", f"""
 with p as (select user_id, event_id, win, {COMMON} as ov from {TIMELINE} join {WINDOWS} using (user_id)),
   k as (select *, row_number() over (partition by event_id order by ov desc, win) as k from p where ov > 0)
 select user_id, event_id, win, round(ov, 3) as overlap from k where k = 1""")
-def j10_best_overlap(spark, sf_dir, windows=_windows):
-    return rounded(joins.best_overlap(timeline(spark, sf_dir), windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), ["event_id"], "win", 900.0), "overlap", digits=3)
-
-
-@query("j10_best_overlap_whole")
-def j10_best_overlap_whole(spark, sf_dir):
-    return j10_best_overlap(spark, sf_dir, _every_window)
+def j10_best_overlap(spark, sf_dir):
+    return rounded(joins.best_overlap(timeline(spark, sf_dir), _windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), ["event_id"], "win", 900.0), "overlap", digits=3)
 
 
 @query("j12_within", f"select user_id, win, count(*) as n, min(event_id) as first from {WINDOWS} w join {TIMELINE} e using (user_id) where beg >= wbeg and fin <= wend group by all")
-def j12_within(spark, sf_dir, windows=_windows):
-    w = joins.within(windows(spark, sf_dir), timeline(spark, sf_dir), ["user_id"], ("wbeg", "wend"), ("beg", "fin"), 900.0)
+def j12_within(spark, sf_dir):
+    w = joins.within(_windows(spark, sf_dir), timeline(spark, sf_dir), ["user_id"], ("wbeg", "wend"), ("beg", "fin"), 900.0)
     return w.groupBy("user_id", "win").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-@query("j12_within_whole")
-def j12_within_whole(spark, sf_dir):
-    return j12_within(spark, sf_dir, _every_window)
-
-
 @query("j13_overlap_pairs", f"select user_id, event_id, win, round({COMMON}, 3) as overlap from {TIMELINE} join {WINDOWS} using (user_id) where {COMMON} > 1e-6")
-def j13_overlap_pairs(spark, sf_dir, windows=_windows):
-    p = joins.overlap_pairs(timeline(spark, sf_dir), windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), 900.0, 1e-6)
+def j13_overlap_pairs(spark, sf_dir):
+    p = joins.overlap_pairs(timeline(spark, sf_dir), _windows(spark, sf_dir), ["user_id"], ("beg", "fin"), ("wbeg", "wend"), 900.0, 1e-6)
     return rounded(p.select("user_id", "event_id", "win", "overlap"), "overlap", digits=3)
 
 
-@query("j13_overlap_pairs_whole")
-def j13_overlap_pairs_whole(spark, sf_dir):
-    return j13_overlap_pairs(spark, sf_dir, _every_window)
-
-
 @query("j15_range_overlap", f"""
 select a.l_orderkey, count(*) as n from {LINES} a join (select o_orderkey, (o_custkey % 60)::int as rlo, (o_custkey % 60 + 5)::int as rhi from orders) on o_orderkey = l_orderkey
 where greatest(lo, rlo) <= least(hi, rhi) group by all""")
@@ -255,10 +230,5 @@ def j15_range_overlap(spark, sf_dir):
 with p as (select e.user_id, e.event_id, w.win, round(e.beg, 2) = round(w.wbeg, 2) as exact from {TIMELINE} e join {WINDOWS} w on w.user_id = e.user_id and abs(e.beg - w.wbeg) <= 120),
   k as (select *, row_number() over (partition by event_id order by (not exact)::int, win) as k from p)
 select e.user_id, e.event_id, k.win, k.exact from {TIMELINE} e left join (select * from k where k = 1) k on k.event_id = e.event_id""")
-def j8_tolerance(spark, sf_dir, windows=_windows):
-    return joins.tolerance(timeline(spark, sf_dir).select("user_id", "event_id", "beg"), windows(spark, sf_dir), ["user_id"], "beg", "wbeg", ["event_id"], "win", 120.0)
-
-
-@query("j8_tolerance_whole")
-def j8_tolerance_whole(spark, sf_dir):
-    return j8_tolerance(spark, sf_dir, _every_window)
+def j8_tolerance(spark, sf_dir):
+    return joins.tolerance(timeline(spark, sf_dir).select("user_id", "event_id", "beg"), _windows(spark, sf_dir), ["user_id"], "beg", "wbeg", ["event_id"], "win", 120.0)

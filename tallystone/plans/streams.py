@@ -22,7 +22,22 @@ def r2_gap_sessions(spark, sf_dir):
     return windows.gap_sessions(e, "user_id", "ts", "1 hour").select("user_id", F.unix_micros("beg").alias("beg"), F.unix_micros("fin").alias("fin"), "n")
 
 
-@query("r3_local_agreement")
+AGREEMENT = """
+with recursive o as (select conv_id, turn::double as et, role = 'assistant' as final, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+') as w, row_number() over (partition by conv_id order by turn, role, text) as k from conversations),
+  s as (select *, final and len(w) > 0 as closes from o),
+  f as (select conv_id, 0::bigint as k, []::varchar[] as prev, []::varchar[] as done, false as had, 0::bigint as revisions, []::varchar[] as new, []::varchar[] as tail, false as told, 0.0::double as et, false as is_final from (select distinct conv_id from s)
+    union all
+    select conv_id, k, case when closes then [] else w end, case when closes then [] else held end, not closes and len(w) > len(held), revisions + (closes and w[:len(done)] <> done)::int,
+      case when closes then w[len(done) + 1:] when same > len(done) then w[len(done) + 1:same] else [] end, case when closes then [] else w[len(held) + 1:] end,
+      closes or had or len(w) > len(held) or same > len(done), et, closes
+    from (select *, case when same > len(done) then w[:same] else done end as held from
+      (select f.conv_id, s.k, s.w, s.closes, s.et, f.prev, f.done, f.had, f.revisions, len(list_filter(range(1, least(len(f.prev), len(s.w)) + 1), lambda i: f.prev[:i] = s.w[:i])) as same from f join s on s.conv_id = f.conv_id and s.k = f.k + 1))),
+  l as (select conv_id, arg_max(prev, k) as prev, arg_max(done, k) as done, max(k) as k, max(et) as et, arg_max(revisions, k) as revisions from f group by conv_id)
+select conv_id, k as step, et as emission_time, array_to_string(new, ' ') as confirmed, array_to_string(tail, ' ') as tail, is_final, revisions from f where told
+union all select conv_id, k + 1, et, array_to_string(prev[len(done) + 1:], ' '), '', true, revisions from l where len(prev) > 0 or len(done) > 0"""
+
+
+@query("r3_local_agreement", AGREEMENT)
 def r3_local_agreement(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     steps = c.select("conv_id", F.expr("row_number() over (partition by conv_id order by turn, role, text)").cast("long").alias("step"), F.col("turn").cast("double").alias("emission_time"), "text", (F.col("role") == "assistant").alias("is_final"))

@@ -134,10 +134,10 @@ def w17_common_prefix(spark, sf_dir):
 
 
 @query("i1_place", """
-with d as (select doc_id, text, substr(text, 11, 8) as w, doc_id % 3 as k from documents where length(text) >= 30)
-select doc_id, case when k = 0 then 10 else instr(text, w) - 1 end::int as beg, case when k = 0 then 18 else instr(text, w) + 7 end::int as fin from d""")
+with d as (select doc_id, text, substr(text, 11, 8) as w, doc_id % 3 = 0 and length(text) >= 18 as there from documents)
+select doc_id, case when there then 10 when w <> '' then instr(text, w) - 1 end::int as beg, case when there then 18 when w <> '' then instr(text, w) - 1 + length(w) end::int as fin from d""")
 def i1_place(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(F.length("text") >= 30).withColumn("w", F.substring("text", 11, 8))
+    d = _docs(spark, sf_dir).withColumn("w", F.substring("text", 11, 8))
     low = F.when(F.col("doc_id") % 3 == 0, 10).otherwise(-1)
     s = sp.place(F.col("text"), low, low + 8, F.col("w"))
     return d.select("doc_id", s["start"].alias("beg"), s["end"].alias("fin"))
@@ -151,10 +151,10 @@ def i3_fuzzy_place(spark, sf_dir):
 
 
 @query("i5_relocate", """
-with d as (select doc_id, text, upper(substr(text, 5, 9)) as n from documents where length(text) >= 40)
-select doc_id, case when instr(substr(text, 1, 30), n) > 0 then instr(substr(text, 1, 30), n) - 1 when instr(text, n) > 0 then instr(text, n) - 1 else instr(lower(text), lower(n)) - 1 end::int as beg from d""")
+with d as (select doc_id, text, upper(substr(text, 5, 9)) as n from documents)
+select doc_id, case when n = '' then null when instr(substr(text, 1, 30), n) > 0 then instr(substr(text, 1, 30), n) - 1 when instr(text, n) > 0 then instr(text, n) - 1 else instr(lower(text), lower(n)) - 1 end::int as beg from d""")
 def i5_relocate(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(F.length("text") >= 40)
+    d = _docs(spark, sf_dir)
     return d.select("doc_id", sp.relocate(F.col("text"), F.upper(F.substring("text", 5, 9)), F.lit(0), F.lit(30))["start"].alias("beg"))
 
 
@@ -206,18 +206,9 @@ def i14_padded(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", p.alias("p")).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("p.start").alias("beg"), F.sum("p.end").alias("fin"))
 
 
-@query("i11_touched_words", r"select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::bigint as n, len(regexp_extract_all(substr(text, 1, 20), '[^ \t\n\r\f\v]+'))::bigint as n_touched from documents where length(text) < 600")
+@query("i11_touched_words", r"select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::bigint as n, len(regexp_extract_all(substr(text, 1, 20), '[^ \t\n\r\f\v]+'))::bigint as n_touched from documents")
 def i11_touched_words(spark, sf_dir):
-    return _touched_words(_docs(spark, sf_dir).where(F.length("text") < 600))
-
-
-@query("i11_touched_words_whole")
-def i11_touched_words_whole(spark, sf_dir):
-    return _touched_words(_docs(spark, sf_dir))
-
-
-def _touched_words(docs):
-    d = docs.select("doc_id", sp.words(F.col("text")).alias("w"))
+    d = _docs(spark, sf_dir).select("doc_id", sp.words(F.col("text")).alias("w"))
     first = F.array(sp.span(F.lit(0), F.lit(20)))
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.filter("w", lambda w: sp.touched(w["start"], w["end"], first))).cast("long").alias("n_touched"))
 

@@ -40,10 +40,9 @@ def append_with_ledger(records: DataFrame, keys: list[str], path: str, ledger: s
 
 
 def changed(wanted: DataFrame, manifest: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The rows of ``wanted`` whose values aren't in the manifest as they are: what must be written anew."""
-    old = manifest.select(*keys, *(F.col(v).alias(f"_old_{v}") for v in values))
-    same = None
+    """The rows of ``wanted`` that the manifest doesn't have, or has with other values: what must be written anew."""
+    old = manifest.select(*keys, *(F.col(v).alias(f"_old_{v}") for v in values), F.lit(True).alias("_known"))
+    same = F.col("_known").isNotNull()
     for v in values:
-        test = F.col(v).eqNullSafe(F.col(f"_old_{v}"))
-        same = test if same is None else same & test
+        same = same & F.col(v).eqNullSafe(F.col(f"_old_{v}"))
     return wanted.join(old, keys, "left").where(~same).select(*wanted.columns)

@@ -14,34 +14,43 @@ OUT = "step long, emission_time double, confirmed string, tail string, is_final
 
 
 class Committer:
-    """The state of one utterance: the previous hypothesis and how much of it is confirmed."""
+    """The state of one utterance: the previous hypothesis and the words confirmed since the last final text.
 
-    def __init__(self, previous: list[str] | None = None, confirmed: int = 0, had_tail: bool = False, revisions: int = 0):
-        self.previous, self.confirmed, self.had_tail, self.revisions = previous or [], confirmed, had_tail, revisions
+    Words of a final text are confirmed as they are; it counts as a revision if it contradicts confirmed words. A final step
+    without words closes nothing: it is a hypothesis of no words.
+    """
+
+    def __init__(self, previous: list[str] | None = None, confirmed: list[str] | None = None, had_tail: bool = False, revisions: int = 0):
+        self.previous, self.confirmed, self.had_tail, self.revisions = previous or [], confirmed or [], had_tail, revisions
 
     def step(self, words: list[str], final: bool) -> tuple[list[str], list[str]] | None:
         """Newly confirmed words and the unconfirmed tail; None if there is nothing to tell."""
+        known = len(self.confirmed)
+        if final and words:
+            self.revisions += words[:known] != self.confirmed
+            self.previous, self.confirmed, self.had_tail = [], [], False
+            return words[known:], []
         same = next((i for i, (a, b) in enumerate(zip(self.previous, words)) if a != b), min(len(self.previous), len(words)))
-        if same < len(self.previous):
-            self.revisions += 1
-        end = len(words) if final else max(self.confirmed, min(same, len(words)))
-        new, tail = words[self.confirmed : end], words[end:]
+        new: list[str] = []
+        if same > known:
+            new, self.confirmed = words[known:same], words[:same]
+        tail = words[len(self.confirmed) :]
         told = bool(new or tail or self.had_tail)
-        self.previous, self.confirmed, self.had_tail = ([], 0, False) if final else (words, end, bool(tail))
+        self.previous, self.had_tail = words, bool(tail)
         return (new, tail) if told else None
 
-    def flush(self) -> list[str]:
-        """What is left at the end of the input."""
-        new = self.previous[self.confirmed :]
-        self.previous, self.confirmed, self.had_tail = [], 0, False
-        return new
+    def flush(self) -> list[str] | None:
+        """What is left at the end of the input; None if no utterance is open."""
+        left = self.previous[len(self.confirmed) :] if self.previous or self.confirmed else None
+        self.previous, self.confirmed, self.had_tail = [], [], False
+        return left
 
 
 def _run(rows: pd.DataFrame, committer: Committer) -> list[tuple]:
     out = []
     for r in rows.sort_values("step").itertuples():
         if (told := committer.step((r.text or "").split(), bool(r.is_final))) is not None:
-            out.append((r.step, r.emission_time, " ".join(told[0]), " ".join(told[1]), bool(r.is_final), committer.revisions))
+            out.append((r.step, r.emission_time, " ".join(told[0]), " ".join(told[1]), bool(r.is_final and (r.text or "").split()), committer.revisions))
     return out
 
 
@@ -51,7 +60,7 @@ def commit(steps: DataFrame, by: str) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         committer = Committer()
         out = _run(rows, committer)
-        if left := committer.flush():
+        if (left := committer.flush()) is not None:
             out.append((int(rows["step"].max()) + 1, float(rows["emission_time"].max()), " ".join(left), "", True, committer.revisions))
         return pd.DataFrame([(key[0], *o) for o in out], columns=[by, "step", "emission_time", "confirmed", "tail", "is_final", "revisions"])
 
@@ -61,10 +70,10 @@ def commit(steps: DataFrame, by: str) -> DataFrame:
 
 class _Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "previous array<string>, confirmed int, had_tail boolean, revisions long")
+        self.state = handle.getValueState("state", "previous array<string>, confirmed array<string>, had_tail boolean, revisions long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        committer = Committer(*((list(s[0]), s[1], s[2], s[3]) if (s := self.state.get()) is not None else ()))
+        committer = Committer(*((list(s[0]), list(s[1]), s[2], s[3]) if (s := self.state.get()) is not None else ()))
         out = _run(pd.concat(list(rows)), committer)
         self.state.update((committer.previous, committer.confirmed, committer.had_tail, committer.revisions))
         yield pd.DataFrame([(key[0], *o) for o in out], columns=["key", "step", "emission_time", "confirmed", "tail", "is_final", "revisions"])

@@ -38,17 +38,6 @@ def test_query(spark, sf, duck, name):
         assert rows == ordered(relation.select(*columns).fetchall())
 
 
-@pytest.mark.parametrize("name", ["j8_tolerance", "j9_overlap_or_nearest", "j10_best_overlap", "j12_within", "j13_overlap_pairs"])
-def test_whole_joins(spark, sf, duck, name):
-    """Every event's window is on the right side, as in the query's SQL without its modulo filter."""
-    sql = catalog.ORACLES[name]
-    assert " where event_id % 25 = 0" in sql
-    relation = duck.sql(sql.replace(" where event_id % 25 = 0", ""))
-    columns = sorted(relation.columns)
-    rows = ordered(catalog.QUERIES[f"{name}_whole"](spark, sf).select(*columns).collect())
-    assert rows == ordered(relation.select(*columns).fetchall())
-
-
 def by_time(words, sentences):
     """The sentence of each word by trying all from two before the last one on."""
     out, j = [], 0
@@ -76,14 +65,6 @@ def test_words_on_every_sentence(spark, sf):
     assert {tuple(r) for r in catalog.QUERIES["j11_words_by_time"](spark, sf).select("user_id", "pos", "sentence").collect()} == want
 
 
-def test_whole_touched_words(spark, sf, duck):
-    sql = catalog.ORACLES["i11_touched_words"]
-    assert " where length(text) < 600" in sql
-    relation = duck.sql(sql.replace(" where length(text) < 600", ""))
-    rows = catalog.QUERIES["i11_touched_words_whole"](spark, sf).select(*relation.columns).collect()
-    assert ordered(rows) == ordered(relation.fetchall())
-
-
 def test_campaign_of_every_document(spark, sf, monkeypatch):
     from tallystone.sources import sinks
 

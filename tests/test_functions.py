@@ -46,6 +46,16 @@ def test_exact_tests(spark):
         want = min(Fraction(1), 2 * sum(Fraction(math.comb(m, i), 2**m) for i in range(min(b, c) + 1)))
         assert p == pytest.approx(float(want), rel=1e-6)
     assert got[-1] is None
+    assert st._mcnemar(50_000_000, 50_000_000) == 1.0 and st._mcnemar(0, 2000) == pytest.approx(2.0**-1999, rel=1e-9)
+    for b, c in ((49_995_000, 50_005_000), (4_000_000, 4_002_000)):  # the normal limit with continuity
+        z = (abs(b - c) - 1) / math.sqrt(b + c)
+        assert st._mcnemar(b, c) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+    for df in (1, 2, 3, 8, 9):  # the density's integral by Simpson's rule
+        x, n = 5.0, 20_000
+        f = lambda t: math.exp((df / 2 - 1) * math.log(t) - t / 2 - math.lgamma(df / 2) - df / 2 * math.log(2))  # noqa: B023, E731
+        h = 200 / n
+        whole = sum((f(x + i * h) + 4 * f(x + (i + 0.5) * h) + f(x + (i + 1) * h)) * h / 6 for i in range(n))
+        assert st._chi_square_tail(x, df) == pytest.approx(whole, rel=1e-9)
     tail = [r["p"] for r in spark.createDataFrame([(3.841459, 1.0), (5.991465, 2.0), (0.0, 3.0), (40.0, 2.0), (1.0, 0.0)], "x double, k double").select(st.chi_square_tail("x", "k").alias("p")).collect()]
     assert tail[:4] == pytest.approx([0.05, 0.05, 1.0, math.exp(-20)], rel=1e-5) and tail[4] is None
 

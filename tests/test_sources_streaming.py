@@ -69,6 +69,8 @@ def test_sinks(spark, tmp_path):
     assert df.join(spark.read.parquet(str(tmp_path / "l")), "k", "left_anti").count() == 0
     old = spark.createDataFrame([("a", 1), ("b", 9)], "k string, n int")
     assert [r["k"] for r in sinks.changed(df, old, ["k"], ["n"]).collect()] == ["b"]
+    fresh = df.union(spark.createDataFrame([("c", None, None)], df.schema))
+    assert sorted(r["k"] for r in sinks.changed(fresh, old, ["k"], ["n"]).collect()) == ["b", "c"]
     items = spark.createDataFrame([(0, 0, 1, "y"), (0, 0, 0, "x"), (0, 1, 0, "z"), (1, 0, 0, "w")], "t int, p int, o int, i string")
     tree = json.loads(sinks.campaign(items, "t", "p", "o", F.col("i"), {"v": "1"}, "c").first()["value"])
     assert tree == {"info": {"v": "1"}, "campaign_id": "c", "data": [[["x", "y"], ["z"]], [["w"]]]}
@@ -83,11 +85,20 @@ KIND = "doc string, step long, emission_time double, text string, is_final boole
 def test_local_agreement(spark):
     got = [tuple(r) for r in commit.commit(spark.createDataFrame(STEPS, KIND), "doc").orderBy("doc", "step").collect()]
     assert got == [
-        ("d", 0, 1.0, "", "a b", False, 0), ("d", 1, 2.0, "a b", "c", False, 0), ("d", 2, 3.0, "", "c", False, 1), ("d", 3, 4.0, "c d", "", True, 1),
+        ("d", 0, 1.0, "", "a b", False, 0), ("d", 1, 2.0, "a b", "c", False, 0), ("d", 2, 3.0, "", "c", False, 0), ("d", 3, 4.0, "c d", "", True, 1),
         ("d", 4, 5.0, "", "e", False, 1), ("d", 5, 5.0, "e", "", True, 1), ("e", 0, 1.0, "", "q", False, 0), ("e", 1, 1.0, "q", "", True, 0),
     ]
 
 
+def test_empty_final_text_closes_nothing():
+    c = commit.Committer()
+    assert c.step(["a", "b"], False) == ([], ["a", "b"]) and c.step(["a", "c"], False) == (["a"], ["c"])
+    assert c.revisions == 0 and c.step([], True) == ([], []) and c.step([], True) is None
+    assert c.step(["a", "d"], False) == ([], ["d"]) and c.flush() == ["d"] and c.flush() is None
+    assert c.step(["x"], False) == ([], ["x"]) and c.step(["x", "y"], False) == (["x"], ["y"])
+    assert c.step(["z", "y"], True) == (["y"], []) and c.revisions == 1 and c.flush() is None
+
+
 def test_streams_equal_batch(spark, tmp_path):
     steps = spark.createDataFrame(STEPS, KIND)
     for i in range(5):  # a file for each step: a micro-batch each
