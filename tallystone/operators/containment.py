@@ -37,12 +37,25 @@ def _scan(needles):
     return run
 
 
+def _marks(gram: int):
+    """The different substrings of ``gram`` characters of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                t = text.as_py() or ""
+                parts = list({t[i : i + gram] for i in range(len(t) - gram + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(parts), pa.int64()), pa.array(parts, pa.string())], ["doc_id", "part"])
+
+    return run
+
+
 def contained(docs: DataFrame, needles: DataFrame, shipped: int = SHIPPED) -> DataFrame:
     """``doc_id``, ``item_id``, ``beg`` (first place, code points from 0) of each (document, needle) where the text holds the needle.
 
     ``docs`` has doc_id and text, ``needles`` item_id and needle; null and empty needles are in no text. Up to
     ``shipped`` bytes of needles (checked) go to every task as one automaton, which reads each text once. Beyond that
-    candidates come from an equi-join on the hash of the needles' first characters and are verified; needles
+    candidates come from an equi-join on the hash of the needles' first characters (with document ids only) and are verified; needles
     shorter than that share their whole length's hash in the same way, a pass for each length.
     """
     needles = needles.where("item_id is not null and needle <> ''")
@@ -56,8 +69,9 @@ def contained(docs: DataFrame, needles: DataFrame, shipped: int = SHIPPED) -> Da
     for gram in [*short, GRAM]:
         own = needles.where(F.length("needle") == gram if gram < GRAM else F.length("needle") >= GRAM)
         marks = own.select("item_id", "needle", F.xxhash64(F.substring("needle", 1, gram)).alias("mark"))
-        places = F.sequence(F.lit(1), F.length("text") - gram + 1)
-        grams = text.where(F.length("text") >= gram).select("doc_id", "text", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(gram)))))).alias("mark"))
-        hits = grams.join(marks, "mark").where(F.instr("text", F.col("needle")) > 0).select("doc_id", "item_id", (F.instr("text", F.col("needle")) - 1).cast("int").alias("beg"))
+        # the marks travel without the texts; only those of candidates are fetched
+        grams = text.mapInArrow(_marks(gram), "doc_id long, part string")
+        hit = grams.select("doc_id", F.xxhash64("part").alias("mark")).join(marks, "mark").select("doc_id", "item_id", "needle").distinct()
+        hits = text.join(hit, "doc_id").where(F.instr("text", F.col("needle")) > 0).select("doc_id", "item_id", (F.instr("text", F.col("needle")) - 1).cast("int").alias("beg"))
         found = hits if found is None else found.union(hits)
     return found

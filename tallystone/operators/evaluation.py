@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
+from . import ranks
 
 
 def in_groups(df: DataFrame, system: Column, translation: Column, out: str = "grp") -> DataFrame:
@@ -53,15 +54,12 @@ def best_threshold(sweep: DataFrame, level: str, least: int = 1) -> DataFrame:
 
 
 def described(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """count, sum, mean, min, exact linear percentiles and max, by group.
-
-    Exact percentiles keep a count for each distinct value of a group.
-    """
+    """count, sum, mean, min, exact linear percentiles and max, by group."""
     shares = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    stats = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.lit(shares)).alias("_q")
-    )
-    return stats.select(*by, "n", "total", "mean", "least", "most", *(F.col("_q")[i].alias(f"p{int(s * 100)}") for i, s in enumerate(shares)))
+    stats = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    found = ranks.percentiles(df, value, by, shares)
+    joined = stats.join(found, by, "left") if by else stats.crossJoin(found)  # one row each
+    return joined.select(*by, "n", "total", "mean", "least", "most", *(F.col("p")[i].alias(f"p{int(s * 100)}") for i, s in enumerate(shares)))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

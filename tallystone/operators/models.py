@@ -71,7 +71,9 @@ def roles(systems: DataFrame, source_language: str) -> DataFrame:
     The first machine system in the source language is asr, the first human one gold, humans in other languages
     are reference, the other machine systems target, all else other.
     """
-    rank = F.expr("row_number() over (partition by document, lan, is_human order by pos)")
+    group = ["document", "lan", "is_human"]
+    firsts = systems.groupBy(*group).agg(F.min("pos").alias("_first"))
+    first = F.col("pos") == F.col("_first")
     src = F.col("lan") == source_language
-    role = F.when(src & ~F.col("is_human") & (F.col("_n") == 1), "asr").when(src & F.col("is_human") & (F.col("_n") == 1), "gold").when(~src & F.col("is_human"), "reference").when(~src, "target").otherwise("other")
-    return systems.withColumn("_n", rank).select("document", "pos", "system", role.alias("role"))
+    role = F.when(src & ~F.col("is_human") & first, "asr").when(src & F.col("is_human") & first, "gold").when(~src & F.col("is_human"), "reference").when(~src, "target").otherwise("other")
+    return systems.join(firsts, group).select("document", "pos", "system", role.alias("role"))

@@ -5,11 +5,15 @@ before decided, it is a fold over the key's ordered array (``aggregate``) or ``a
 documents, speakers or conversations.
 """
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def sessions(df: DataFrame, by: list[str], start: str, end: str, order: list[str], max_gap: float, speaker: str | None = None) -> DataFrame:
     """``df`` with ``gap`` to the previous row's end, ``reason`` of a break and ``session`` (from 0 within ``by``).
@@ -78,15 +82,14 @@ def interpolated(df: DataFrame, by: list[str], anchor: str, order: list[str], ou
 
     The i-th of n rows of a gap (from 0) is at (i + 0.5) / n of it; ``low`` and ``high`` stand in for missing ends.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    out_ = df.withColumn("_n", F.row_number().over(w)).withColumn("_at", F.when(F.col(anchor).isNotNull(), F.col("_n")))
-    last, following = F.last("_at", True).over(back), F.first("_at", True).over(ahead)
-    size = F.count("*").over(W.partitionBy(*by))
-    lo, hi = F.coalesce(F.last(anchor, True).over(back), low), F.coalesce(F.first(anchor, True).over(ahead), high)
-    begin, end = F.coalesce(last, F.lit(0)), F.coalesce(following, size + 1)
+    placed = ranks.numbered(df, by, order, "_n").withColumn("_n", F.col("_n") + 1)
+    near = ranks.neighbours(placed.withColumn("_w", F.when(F.col(anchor).isNotNull(), F.struct(F.col(anchor).alias("v"), F.col("_n").alias("n")))), by, order, "_w")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
+    near = near.join(sizes, by) if by else near.crossJoin(sizes)  # one row
+    lo, hi = F.coalesce(F.col("prior.v"), low), F.coalesce(F.col("next.v"), high)
+    begin, end = F.coalesce(F.col("prior.n"), F.lit(0)), F.coalesce(F.col("next.n"), F.col("_size") + 1)
     share = (F.col("_n") - begin - 1 + 0.5) / (end - begin - 1)
-    return out_.withColumn(out, F.when(F.col(anchor).isNotNull(), F.col(anchor).cast("double")).otherwise(lo + share * (hi - lo))).drop("_n", "_at")
+    return near.withColumn(out, F.when(F.col(anchor).isNotNull(), F.col(anchor).cast("double")).otherwise(lo + share * (hi - lo))).drop("_n", "_w", "_size", "prior", "next")
 
 
 def time_chunks(df: DataFrame, by: list[str], start: str, length: float, out: str = "chunk") -> DataFrame:
@@ -95,19 +98,18 @@ def time_chunks(df: DataFrame, by: list[str], start: str, length: float, out: st
 
 
 def pages(df: DataFrame, by: list[str], order: list[str], size: int, out: str = "page") -> DataFrame:
-    """``df`` with fixed-size page numbers from 0."""
-    return df.withColumn(out, F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / size).cast("long"))
+    """``df`` with fixed-size page numbers from 0; ``order`` begins with a numeric column."""
+    return ranks.numbered(df, by, order, "_n").withColumn(out, F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 
 def dealt(df: DataFrame, order: list[str], n: int, by: list[str], out: str = "part") -> DataFrame:
-    """``df`` dealt round robin to ``n`` parts within ``by``."""
-    return df.withColumn(out, F.pmod(F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, F.lit(n)).cast("int"))
+    """``df`` dealt round robin to ``n`` parts within ``by``; ``order`` begins with a numeric column."""
+    return ranks.numbered(df, by, order, "_n").withColumn(out, F.pmod(F.col("_n"), F.lit(n)).cast("int")).drop("_n")
 
 
 def cumulative_window(df: DataFrame, by: list[str], length: str, order: list[str], begin: float, end: float) -> DataFrame:
-    """The rows whose start in the running total of ``length`` lies in [begin, end), with that ``at``."""
-    before = F.sum(length).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("at", F.coalesce(before, F.lit(0.0))).where((F.col("at") >= begin) & (F.col("at") < end))
+    """The rows whose start in the running total of ``length`` lies in [begin, end), with that ``at``; ``order`` begins with a numeric column."""
+    return ranks.running(df, by, order, {"at": F.col(length).cast("double")}).where((F.col("at") >= begin) & (F.col("at") < end))
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int, out: str = "place") -> DataFrame:
@@ -169,15 +171,26 @@ def merge_short(df: DataFrame, by: list[str], start: str, end: str, least: float
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         segments = [[s, e, 1] for s, e in rows.sort_values([start, end])[[start, end]].itertuples(index=False)]
-        while len(segments) > 1:
-            lengths = [e - s for s, e, _ in segments]
-            if min(lengths) >= least:
-                break
-            i = lengths.index(min(lengths))
-            left = i > 0 and (i == len(segments) - 1 or lengths[i - 1] <= lengths[i + 1])
-            a = i - 1 if left else i
-            segments[a : a + 2] = [[segments[a][0], max(segments[a][1], segments[a + 1][1]), segments[a][2] + segments[a + 1][2]]]
-        return pd.DataFrame([(*key, n, *s) for n, s in enumerate(segments)], columns=[*by, "seg", "start", "end", "parts"])
+        left, right = list(range(-1, len(segments) - 1)), [*range(1, len(segments)), -1]
+        length = lambda i: segments[i][1] - segments[i][0]
+        heap = [(length(i), i) for i in range(len(segments))]
+        heapq.heapify(heap)
+        alive = len(segments)
+        while alive > 1 and heap[0][0] < least:
+            size, i = heapq.heappop(heap)
+            if segments[i] is None or size != length(i):
+                continue  # merged or grown since
+            a, b = left[i], right[i]
+            first = a if b < 0 or a >= 0 and length(a) <= length(b) else i
+            second = right[first]
+            s, e, n = segments[first]
+            segments[first], segments[second] = [s, max(e, segments[second][1]), n + segments[second][2]], None
+            right[first] = right[second]
+            if right[second] >= 0:
+                left[right[second]] = first
+            heapq.heappush(heap, (length(first), first))
+            alive -= 1
+        return pd.DataFrame([(*key, n, *s) for n, s in enumerate(x for x in segments if x is not None)], columns=[*by, "seg", "start", "end", "parts"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return df.groupBy(*by).applyInPandas(run, ", ".join([*(f"{b} {kinds[b]}" for b in by), "seg long, start double, end double, parts long"]))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as sp
 from ..functions import statistics as st
 from ..functions import text as tx
-from ..operators import models, votes
+from ..operators import models, ranks, votes
 from ..operators import sequences as sq
 from .base import FLAGS, MCNEMAR, TIMELINE, flags, query, table, timeline, wilson_sql
 from .texts import HUMAN, MODEL, _spans
@@ -241,9 +241,10 @@ def f27_prompts(spark, sf_dir):
 
 @query("o1_sorted", "select doc_id, row_number() over (order by lang, n_chars desc, doc_id)::int as place from documents")
 def o1_sorted(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("n"), "doc_id"))).alias("x"))
-    before = d.select("lang", "x", F.expr("coalesce(sum(size(x)) over (order by lang rows between unbounded preceding and 1 preceding), 0)").alias("before"))
-    return before.select("before", F.posexplode("x").alias("i", "r")).select("r.doc_id", (F.col("before") + F.col("i") + 1).cast("int").alias("place"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (-F.col("n_chars")).alias("n"))
+    sizes = d.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language
+    before = sizes.select("lang", F.expr("coalesce(sum(size) over (order by lang rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    return ranks.numbered(d, ["lang"], ["n", "doc_id"], "k").join(before, "lang").select("doc_id", (F.col("before") + F.col("k") + 1).cast("int").alias("place"))
 
 
 @query("o7_by_first_appearance", "select doc_id, min(doc_id) over (partition by source) as first from documents")
@@ -255,8 +256,8 @@ def o7_by_first_appearance(spark, sf_dir):
 
 @query("u6_ordered_distinct", "select source, string_agg(lang, ',' order by first) as langs from (select source, lang, min(doc_id) as first from documents group by all) group by source")
 def u6_ordered_distinct(spark, sf_dir):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda r: r["lang"])
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.array_distinct(ordered), ",").alias("langs"))
+    first = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))  # a row for each language
+    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda r: r["lang"]), ",").alias("langs"))
 
 
 @query("j21_jobs", "select o_orderstatus, count(*)::bigint as n from orders, range(3) r(i), range(2) q(j) group by o_orderstatus")
@@ -268,9 +269,9 @@ def j21_jobs(spark, sf_dir):
 @query("j24_by_position", "with a as (select c_nationkey as doc, c_name, row_number() over (partition by c_nationkey order by c_custkey) as k from customer), b as (select s_nationkey as doc, s_name, row_number() over (partition by s_nationkey order by s_suppkey) as k from supplier) select doc, k, c_name, s_name from a join b using (doc, k)")
 def j24_by_position(spark, sf_dir):
     """The k-th line of a document meets its k-th sentence."""
-    a = table(spark, sf_dir, "customer").selectExpr("c_nationkey as doc", "c_name", "cast(row_number() over (partition by c_nationkey order by c_custkey) as long) as k")
-    b = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as doc", "s_name", "cast(row_number() over (partition by s_nationkey order by s_suppkey) as long) as k")
-    return a.join(b, ["doc", "k"]).select("doc", "k", "c_name", "s_name")
+    a = ranks.numbered(table(spark, sf_dir, "customer").selectExpr("c_nationkey as doc", "c_name", "c_custkey"), ["doc"], ["c_custkey"], "k")
+    b = ranks.numbered(table(spark, sf_dir, "supplier").selectExpr("s_nationkey as doc", "s_name", "s_suppkey"), ["doc"], ["s_suppkey"], "k")
+    return a.join(b, ["doc", "k"]).select("doc", (F.col("k") + 1).alias("k"), "c_name", "s_name")
 
 
 @query("m3_dummy_flags", "select doc_id, array_to_string(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')[1:4], ' ') as span from documents")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import votes
+from ..operators import votes, ranks
 from .base import query, table
 
 
@@ -142,7 +142,7 @@ def p8_null_tolerant(spark, sf_dir):
 select doc_id, issue from (select doc_id, unnest(list_filter([case when trim(text, ' ') = '' then 'empty' end, case when n_chars < 50 then 'short' end, case when n_chars < prev then 'smaller' end], lambda x: x is not null)) as issue
   from (select *, lag(n_chars) over (partition by source order by doc_id) as prev from documents))""")
 def p15_quality_issues(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("prev", F.expr("lag(n_chars) over (partition by source order by doc_id)"))
+    d = ranks.previous(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), ["source"], ["doc_id"], "n_chars", "prev")
     issues = F.array_compact(F.array(F.when(F.trim("text") == "", "empty"), F.when(F.col("n_chars") < 50, "short"), F.when(F.col("n_chars") < F.col("prev"), "smaller")))
     return d.select("doc_id", F.explode(issues).alias("issue"))
 

@@ -14,9 +14,15 @@ from . import schemas
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``_file``, ``_line``, ``value`` of every line that isn't blank. A file is read as a whole to number its lines."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("_file"), F.col("value").alias("_all"))
-    return whole.select("_file", F.posexplode(F.split("_all", "\r?\n")).alias("_line", "value")).where(F.trim("value") != "")
+    """``_file``, ``_line``, ``value`` of every line that isn't blank.
+
+    Files are read by splits. Lines are numbered within their split, and the lines of the splits before are added.
+    """
+    raw = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    sizes = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"))  # a row for each split
+    before = sizes.select("_file", "_block", F.expr("coalesce(sum(_n) over (partition by _file order by _block rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    placed = raw.withColumn("_k", F.expr("row_number() over (partition by _file, _block order by _at) - 1")).join(before, ["_file", "_block"])
+    return placed.where(F.trim("value") != "").select("_file", (F.col("_before") + F.col("_k")).cast("int").alias("_line"), "value")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = True) -> DataFrame:
