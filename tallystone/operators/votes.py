@@ -113,3 +113,9 @@ def merged_on_grid(left: DataFrame, right: DataFrame, keys: list[str], entries:
     both = l.join(r, keys, "full_outer")
     origin = F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both")
     return both.select(*keys, F.concat(F.coalesce("_l", none), F.coalesce("_r", none)).alias(entries), origin.alias("origin"))
+
+
+def violations(df: DataFrame, invariants: list[str]) -> DataFrame:
+    """The rows that break an invariant (SQL conditions; null breaks it too), with ``broken``: the conditions, in order."""
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(i), F.lit(False)), i) for i in invariants)))
+    return df.withColumn("broken", broken).where(F.size("broken") > 0)

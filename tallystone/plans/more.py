@@ -6,7 +6,6 @@ from ..functions import spans as sp
 from ..functions import statistics as st
 from ..functions import text as tx
 from ..operators import models, ranks, votes
-from ..operators import sequences as sq
 from .base import FLAGS, MCNEMAR, TIMELINE, flags, query, table, timeline, wilson_sql
 from .texts import HUMAN, MODEL, _spans
 
@@ -34,10 +33,9 @@ def p3_map_filter(spark, sf_dir):
     return m.select("source", F.size("m").alias("kept"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
 
 
-@query("p7_violations", "select count(*) as n from documents where substr(text, 1, 5) <> left(text, 5) or n_chars <> length(text)")
+@query("p7_violations", "select l_orderkey, l_linenumber, l_partkey from lineitem where not (l_quantity between 1 and 40 and l_discount <= 0.08 and (l_returnflag <> 'R' or l_tax > 0.01))")
 def p7_violations(spark, sf_dir):
-    broken = (F.substring("text", 1, 5) != F.left("text", F.lit(5))) | (F.col("n_chars") != F.length("text"))
-    return table(spark, sf_dir, "documents").where(broken).agg(F.count("*").alias("n"))
+    return votes.violations(_lines(spark, sf_dir), ["l_quantity between 1 and 40", "l_discount <= 0.08", "l_returnflag <> 'R' or l_tax > 0.01"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("p9_selected_targets", f"select doc_id from {FLAGS} where (case when level > 1 then level end is null or level >= 3) and lang in ('en', 'de') and quality = 1")
@@ -215,16 +213,19 @@ def f11_quotes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('="([^"]{2,80})"'), F.lit(1))).cast("long").alias("n"))
 
 
-@query("f17_cleaned", "select reason, count(*) as n from (select case when doc_id % 4 = 0 then 'system' when doc_id % 4 = 1 then 'empty' when doc_id % 4 = 2 then 'not found' else 'sound' end as reason from documents where length(text) >= 8) group by reason")
+@query("f17_cleaned", """
+with n as (select doc_id, text, doc_id % 4 as k, substr(text, 2, 4) as own from documents),
+  r as (select *, case when k = 0 then 'system' when k = 1 or trim(own, ' ') = '' then 'empty' when k = 2 then 'not found' end as reason from n)
+select doc_id, coalesce(reason, 'sound') as reason, case when reason is null then (instr(text, own) - 1)::int end as beg, case when reason is null then (instr(text, own) - 1 + length(own))::int end as fin,
+  case when doc_id % 3 = 0 then 'Name' else 'Other' end as types, case doc_id % 3 when 0 then 3 when 1 then 5 end::int as degree from r""")
 def f17_cleaned(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 8)
-    notes = d.select(
-        "text", F.when(k == 0, "other").otherwise("mine").alias("system"), F.when(k == 1, " ").when(k == 2, "\x01\x02").otherwise(F.substring("text", 2, 4)).alias("span"),
-        F.array(F.lit("Name")).alias("harm_types"), F.lit("3").alias("harmfulness"), F.lit("").alias("explanation"),
+    k, j = F.col("doc_id") % 4, F.col("doc_id") % 3
+    notes = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(k == 0, "other").otherwise("mine").alias("system"), F.when(k == 1, " ").when(k == 2, "\x01\x02").otherwise(F.substring("text", 2, 4)).alias("span"),
+        F.when(j == 0, F.array(F.lit("Name"), F.lit("Sort"))).otherwise(F.array(F.lit("Sort"))).alias("harm_types"), F.when(j == 0, "3").when(j == 1, "9").otherwise("much").alias("harmfulness"), F.lit("").alias("explanation"),
     )
     got = models.cleaned(notes, F.create_map(F.lit("mine"), F.col("text")), ["Name"])
-    return got.groupBy(F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
+    return got.select("doc_id", F.coalesce("reason", F.lit("sound")).alias("reason"), F.col("span_start").alias("beg"), F.col("span_end").alias("fin"), F.array_join("types", ",").alias("types"), "degree")
 
 
 @query("f25_language_names", "select doc_id, coalesce(map {'en': 'English', 'de': 'German', 'fr': 'French'}[lang], lang) as language from documents")
@@ -279,16 +280,6 @@ def m3_dummy_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", models.first_words(F.col("text")).alias("span"))
 
 
-@query("k5_campaign", "select count(*) as n from (select distinct source from documents)")
-def k5_campaign(spark, sf_dir):
-    from ..sources.sinks import campaign
-
-    d = sq.pages(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source"], ["doc_id"], 5)
-    d = d.join(table(spark, sf_dir, "documents").select("source").distinct(), "source", "right")
-    tree = campaign(d, "source", "page", "doc_id", F.struct("doc_id", "lang"), {"kind": "documents"}, "all")
-    return tree.select(F.size(F.from_json("value", "data array<array<array<struct<doc_id:long,lang:string>>>>")["data"]).cast("long").alias("n"))
-
-
 @query("g2_disagreements", f"select doc_id, source from {FLAGS} where (quality = 0) <> (toxic = 1)")
 def g2_disagreements(spark, sf_dir):
     return flags(spark, sf_dir).where("(quality = 0) <> (toxic = 1)").select("doc_id", "source")

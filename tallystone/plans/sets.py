@@ -162,8 +162,3 @@ def m9_cosine(spark, sf_dir):
     f = e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda n, z: n + z)
     return e.join(f, "a").select("a", "b", F.round(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")), 5).alias("cosine"))
-
-
-@query("m18_dummy_verifier", "select l_returnflag, case when l_returnflag = 'R' then 'fail' else 'pass' end as verdict, count(*) as n from lineitem group by all")
-def m18_dummy_verifier(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy("l_returnflag", F.when(F.col("l_returnflag") == "R", "fail").otherwise("pass").alias("verdict")).agg(F.count("*").alias("n"))

@@ -25,8 +25,14 @@ def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", "true").option("sep", sep).csv(path)
 
 
+def campaign_pages(items: DataFrame, task: str, page: str, order: str, item: Column) -> DataFrame:
+    """``task``, ``page``, ``items``: a row for each page, for campaigns of any size; a page holds what an annotator sees at once."""
+    rows = items.groupBy(F.col(task).alias("task"), F.col(page).alias("page")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))).alias("x"))
+    return rows.select("task", "page", F.transform("x", lambda x: x["i"]).alias("items"))
+
+
 def campaign(items: DataFrame, task: str, page: str, order: str, item: Column, info: dict, campaign_id: str) -> DataFrame:
-    """One JSON ``value``: {info, campaign_id, data: tasks of pages of items}. A campaign is for human annotators: thousands of items."""
+    """One JSON ``value``: {info, campaign_id, data: tasks of pages of items}. A campaign in one object is for human annotators: thousands of items; see ``campaign_pages`` for more."""
     pages = items.select(task, page, F.struct(F.col(order).alias("o"), item.alias("i")).alias("x")).groupBy(task, page).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["i"]).alias("items"))
     tasks = pages.groupBy(task).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), "items"))), lambda x: x["items"]).alias("pages"))
     whole = tasks.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(task).alias("t"), "pages"))), lambda x: x["pages"]).alias("data"))

@@ -65,15 +65,6 @@ def test_words_on_every_sentence(spark, sf):
     assert {tuple(r) for r in catalog.QUERIES["j11_words_by_time"](spark, sf).select("user_id", "pos", "sentence").collect()} == want
 
 
-def test_campaign_of_every_document(spark, sf, monkeypatch):
-    from tallystone.sources import sinks
-
-    entered, campaign = [], sinks.campaign
-    monkeypatch.setattr(sinks, "campaign", lambda d, *a: entered.append(d) or campaign(d, *a))
-    catalog.QUERIES["k5_campaign"](spark, sf)
-    assert entered[0].where("doc_id is not null").count() == spark.read.parquet(f"{sf}/documents.parquet").count()
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "precision" in df.columns
