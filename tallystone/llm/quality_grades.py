@@ -21,6 +21,8 @@ from .toxicity import held_out
 #: Rated documents that the model is fitted on at most, and their text in bytes.
 SAMPLE, SAMPLE_BYTES = 8000, 40_000_000
 SLOTS, ROUNDS, RATE, DECAY = 1 << 15, 250, 0.1, 1e-4
+#: Rounds without the loss falling by ``LEAST_GAIN``, after which training ends.
+PATIENCE, LEAST_GAIN = 10, 2e-3
 REMEMBERED = 400_000
 SHAPE = ((re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() else "x" if m[0].islower() else "Xx"), (re.compile(r"\d+"), lambda m: "9"))
 
@@ -48,42 +50,64 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+class _Sample:
+    """Rated documents: each one's different slots with their share of its words, and its whole-text features."""
+
+    def __init__(self, texts: list[str], grades: list[int]):
+        known: dict[str, list[int]] = {}
+        slots, share, rows, extra = [np.empty(0, np.int64)], [np.empty(0)], [], []
+        for text in texts:
+            words = text.split()
+            for w in words:
+                if w not in known:
+                    known[w] = slots_of(w)
+            own, times = np.unique(np.array([s for w in words for s in known[w]], np.int64), return_counts=True)
+            slots.append(own)
+            share.append(times / max(len(words), 1))
+            rows.append(len(own))
+            extra.append(_extra(words, [x for x in text.split("\n") if x.strip()]))
+        self.slots, self.share = np.concatenate(slots), np.concatenate(share)
+        self.rows = np.repeat(np.arange(len(texts)), rows)
+        self.extra, self.y = np.array(extra, float).reshape(-1, EXTRA), np.array(grades, int)
+
+
+def _loss(p: np.ndarray, d: _Sample, top: int) -> tuple[float, np.ndarray]:
+    """The mean negative logarithm of the likelihood, with decay, and its gradient.
+
+    ``p`` holds the weights, the first threshold and the logarithms of the steps to the others.
+    """
+    n, y = SLOTS + EXTRA, d.y
+    steps = np.exp(np.minimum(p[n + 1 :], 30))
+    score = np.bincount(d.rows, p[d.slots] * d.share, len(y)) + d.extra @ p[SLOTS:n]
+    cuts = np.concatenate(([-np.inf], np.cumsum(np.concatenate(([p[n]], steps))), [np.inf]))
+    hi, lo = _sigmoid(cuts[y + 1] - score), _sigmoid(cuts[y] - score)
+    like = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
+    of_score = (dhi - dlo) / len(y)
+    g = np.zeros_like(p)
+    g[:SLOTS] = np.bincount(d.slots, of_score[d.rows] * d.share, SLOTS)
+    g[SLOTS:n] = d.extra.T @ of_score
+    of_cut = (np.bincount(y, -dhi, top + 1)[:top] + np.bincount(y, dlo, top + 1)[1:]) / len(y)
+    later = np.cumsum(of_cut[::-1])[::-1]
+    g[n] = later[0]
+    g[n + 1 :] = later[1:] * steps
+    g[:n] += DECAY * p[:n] / 10
+    return float(-np.log(like).mean() + DECAY / 20 * (p[:n] ** 2).sum()), g
+
+
 def train(texts: list[str], grades: list[int], top: int) -> np.ndarray:
-    """Weights of the slots, of the whole text's features, then ``top`` ascending thresholds; Adam on the likelihood."""
-    y = np.array(grades, int)
-    known: dict[str, list[int]] = {}
-    slots, rows, extra, sizes = [], [], [], []
-    for i, text in enumerate(texts):
-        words = text.split()
-        for w in words:
-            if w not in known:
-                known[w] = slots_of(w)
-            slots += known[w]
-        rows.append(4 * len(words))
-        sizes.append(max(len(words), 1))
-        extra.append(_extra(words, [x for x in text.split("\n") if x.strip()]))
-    slots, extra = np.array(slots, np.int32), np.array(extra, float).reshape(-1, EXTRA)
-    rows = np.repeat(np.arange(len(texts), dtype=np.int32), rows)
-    share = 1 / np.array(sizes, float)
+    """Weights of the slots, of the whole text's features, then ``top`` ascending thresholds; Adam until the loss hardly falls."""
+    d = _Sample(texts, grades)
     n = SLOTS + EXTRA
     p = np.zeros(n + top)
     p[n] = -1.0
     m, v = np.zeros_like(p), np.zeros_like(p)
+    best, since = np.inf, 0
     for step in range(1, ROUNDS + 1):
-        score = np.bincount(rows, p[slots], len(texts)) * share + extra @ p[SLOTS:n]
-        cuts = np.concatenate(([-np.inf], np.cumsum(np.concatenate(([p[n]], np.exp(np.minimum(p[n + 1 :], 30))))), [np.inf]))
-        hi, lo = _sigmoid(cuts[y + 1] - score), _sigmoid(cuts[y] - score)
-        like = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
-        of_score = (dhi - dlo) / len(y)  # of the negative logarithm
-        g = np.zeros_like(p)
-        g[:SLOTS] = np.bincount(slots, (of_score * share)[rows], SLOTS)
-        g[SLOTS:n] = extra.T @ of_score
-        of_cut = (np.bincount(y, -dhi, top + 1)[:top] + np.bincount(y, dlo, top + 1)[1:]) / len(y)
-        later = np.cumsum(of_cut[::-1])[::-1]
-        g[n] = later[0]
-        g[n + 1 :] = later[1:] * np.exp(np.minimum(p[n + 1 :], 30))
-        g[:n] += DECAY * p[:n] / 10
+        loss, g = _loss(p, d, top)
+        best, since = (loss, 0) if loss < best * (1 - LEAST_GAIN) else (best, since + 1)
+        if since >= PATIENCE:
+            break
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     p[n:] = np.cumsum(np.concatenate(([p[n]], np.exp(np.minimum(p[n + 1 :], 30)))))
@@ -144,7 +168,11 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 low quality, 1 good but toxic, 2 good; kept if grade 1 or more is likelier than not."""
+    """Grades of use as training text: 0 low quality, 1 well written but toxic, 2 well written; kept if grade 1 or more is likelier than not.
+
+    ``labels`` rates quality by 0 and 1 only. The middle grade comes from its other rating, as a well-written toxic text is of less use than a
+    clean one and of more than junk. Whether a document is kept is the lowest threshold's business, which separates by quality alone.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ratings = read_table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2)).alias("grade"))
     rated = score(docs, fit(docs, ratings, 2))

@@ -170,8 +170,8 @@ def test_topk(spark):
     rows = [(int(i), [float(x) for x in v], 5) for i, v in enumerate(m)]
     rows += [(1000, None, 1), (1001, [None] + [0.0] * 11, 1), (1002, [float("nan")] * 12, 1), (1003, [float("inf")] * 12, 1), (None, [0.5] * 12, 1), (1100, [1.0, 2.0], 0), (1200, [3.0, -1.0], 0), (1300, [], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    for blocks in (64, 4096):
-        got = topk.search(table, table.where("vec_id % 100 = 0"), block_rows=blocks, query_rows=3).collect()
+    for blocks, group in ((64, 9000), (4096, topk.GROUP_BYTES)):
+        got = topk.search(table, table.where("vec_id % 100 = 0"), block_rows=blocks, query_rows=3, group_bytes=group).collect()
         q = np.floor(1024 * m.astype(float)).astype(int)
         want = set()
         for i in range(0, 700, 100):
@@ -184,6 +184,29 @@ def test_topk(spark):
     assert topk.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_reads_no_more_than_it_must():
+    """Skewed vectors: reading stops early, and the answer is that of brute force, ties and huge components included."""
+    rng = np.random.default_rng(2)
+    m = np.floor(1024 * rng.exponential(size=(3000, 6)) ** 3).astype(np.int64)
+    lists = topk.Lists(np.arange(3000), m)
+    looked = []
+    partition = np.partition
+    for q in (np.array([3, 0, 5, 1, 2, 9]), np.array([-1, 2, -3, 4, 0, 1]), np.zeros(6, np.int64)):
+        looked.clear()
+        np.partition = lambda *a: looked.append(1) or partition(*a)
+        try:
+            got = sorted(lists.best(q, 7, 10, -np.inf), key=lambda x: (-x[0], x[1]))[:10]
+        finally:
+            np.partition = partition
+        s = m @ q
+        assert got == [(int(s[i]), int(i)) for i in np.lexsort((np.arange(3000), -s)) if i != 7][:10]
+        if q.max() > 8:
+            assert len(looked) < len(topk.LOOKS)
+    big = np.full((30, 6), 1 << 40)
+    big[3] += 1
+    assert sorted(topk.Lists(np.arange(30), big).best(np.full(6, 1 << 19), -1, 2, -np.inf))[-1] == (6 * ((1 << 40) + 1) * (1 << 19), 3)
+
+
 @pytest.fixture(scope="module")
 def encoders():
     ranks = bpe.load_ranks(bpe.default_vocabulary())
@@ -626,6 +649,63 @@ def test_line_dedup_of_many_lines_is_linear(spark):
     assert len(got[2]["removed"]) == 1 and got[2]["text"].endswith(" 49999")
 
 
+def test_quality_grades_gradient_and_scores(spark, monkeypatch):
+    """The gradient against finite differences; scores and tails against a plain loop over the words."""
+    import math
+
+    monkeypatch.setattr(quality_grades, "SLOTS", 64)
+    rng = np.random.default_rng(5)
+    texts = ["Good words, here!", "bad*** ### bad", "a a a\na a a", "", "Mixed CASE 12 words", "x"]
+    d = quality_grades._Sample(texts, [2, 0, 0, 1, 2, 1])
+    p = rng.normal(size=64 + quality_grades.EXTRA + 2) / 3
+    _, g = quality_grades._loss(p, d, 2)
+    for i in range(len(p)):
+        step = np.zeros_like(p)
+        step[i] = 1e-5
+        assert g[i] == pytest.approx((quality_grades._loss(p + step, d, 2)[0] - quality_grades._loss(p - step, d, 2)[0]) / 2e-5, rel=1e-4, abs=1e-7)
+    monkeypatch.undo()
+    p = np.concatenate((rng.normal(size=quality_grades.SLOTS), rng.normal(size=quality_grades.EXTRA), [-0.5, 0.7])).astype(np.float32)
+    long = "word and more! " * 40_000
+    rows = [(i, t) for i, t in enumerate([*texts, long])] + [(0, texts[0]), (None, texts[1]), (9, None)]
+    got = collections.Counter((r["doc_id"], *(round(x, 5) for x in r["tails"])) for r in quality_grades.score(documents(spark, rows), p.tobytes()).collect())
+
+    def plain(text):
+        words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+        z = sum(float(p[s]) for w in words for s in quality_grades.slots_of(w)) / max(len(words), 1)
+        n = len(words)
+        whole = [len(set(words)) / n, len(set(lines)) / len(lines), math.log1p(n) / 10, 0.0] if n else [0.0, 0.0, 0.0, 1.0]
+        z += sum(x * float(w) for x, w in zip(whole, p[quality_grades.SLOTS :]))
+        return tuple(round(1 / (1 + math.exp(float(c) - z)), 5) for c in p[-2:])
+
+    assert got == collections.Counter((i, *plain(t)) for i, t in rows)
+
+
+def test_toxicity_scores_are_the_noisy_or(spark):
+    """Scores and spans against a plain loop over sentences and word features; very long, repeated and empty texts."""
+    import math
+
+    rng = np.random.default_rng(6)
+    model = np.concatenate((rng.normal(size=toxicity.SLOTS) / 3, [-2.0])).astype(np.float32)
+    texts = ["One sentence here. Another stupid one! A third", "", ". . .", "12 34", "Ünïcode wörds\nin lines", "moderately longish words. " * 3000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[4]), (8, None)]
+    got = toxicity.score(documents(spark, rows).drop("_score"), model.tobytes()).collect()
+
+    def plain(text):
+        clean, spans = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = re.findall(r"[^\W\d_]+", sentence.lower())
+            if words:
+                z = sum(float(model[f]) for w in words for f in toxicity.features_of(w)) - 2.0
+                p = 1 / (1 + math.exp(-min(max(z, -60), 60)))
+                clean *= 1 - p
+                spans += p >= toxicity.THRESHOLD
+        return round(1 - clean, 6), spans
+
+    assert collections.Counter((r["doc_id"], round(r["_score"], 6), len(r["_spans"])) for r in got) == collections.Counter((i, *plain(t)) for i, t in rows)
+    nothing = documents(spark, []).limit(0).drop("_score")
+    assert toxicity.score(nothing, model.tobytes()).count() == 0 and quality_grades.score(nothing, np.zeros(quality_grades.SLOTS + quality_grades.EXTRA + 2, np.float32).tobytes()).count() == 0
+
+
 def test_quality_grades(spark):
     rng = random.Random(4)
     rows, ratings = [], []
