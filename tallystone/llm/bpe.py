@@ -33,7 +33,9 @@ SHORT = 64
 #: Ids of a leaf of the decoding tree.
 RUN = 4096
 #: Encoded chunks that a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Rows that a worker returns at once.
+PART = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -179,12 +181,13 @@ class Encoder:
                 start = m.start()
         return b"".join([*out, self.plain(text[start:])])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, concatenated up a tree."""
-        if len(ids) <= RUN:
-            return b"".join([self.tokens[i] for i in ids.tolist()])
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+def joined(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    """The bytes of ids, concatenated up a tree."""
+    if len(ids) <= RUN:
+        return b"".join([tokens[i] for i in ids.tolist()])
+    half = len(ids) // 2
+    return joined(tokens, ids[:half]) + joined(tokens, ids[half:])
 
 
 #: White space in a line other than single spaces between characters that are no white space.
@@ -193,30 +196,51 @@ UNSAFE = regex.compile(r"\A\s|\s\Z| \s|\s ")
 CUT = regex.compile(r"(?<=\S)[ \n](?=\S)")
 
 
+def _ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines())}
+
+
 @lru_cache(maxsize=2)
 def _encoder(data: bytes, pattern: str) -> Encoder:
-    made = Encoder({base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines())}, pattern)
+    made = Encoder(_ranks(data), pattern)
     made.check()
     return made
 
 
-def _encoded(vocabulary, pattern: str):
+@lru_cache(maxsize=2)
+def _tokens(data: bytes) -> list[bytes]:
+    ranks = _ranks(data)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _encoded(vocabulary, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _encoder(vocabulary.value, pattern)
         for b in batches:
-            ids = [made.encode(t) if (t := x.as_py()) else b"" for x in b.column(1)]
-            counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for i in range(0, b.num_rows, PART):
+                part = b.slice(i, PART)
+                ids = [made.encode(t) if (t := x.as_py()) else b"" for x in part.column(1)]
+                columns = [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                names = ["doc_id", "n_tokens", "ids"]
+                if decoded:
+                    columns.append(pa.array([joined(made.tokens, np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _decoded(vocabulary, pattern: str):
+def _decoded(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _encoder(vocabulary.value, pattern)
+        tokens = _tokens(vocabulary.value)
         for b in batches:
-            texts = [made.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+            for i in range(0, b.num_rows, PART):
+                part = b.slice(i, PART)
+                texts = [joined(tokens, np.frombuffer(x.as_py() or b"", "<u4")) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -238,15 +262,21 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     have no ids. ``path`` names a file of base64 tokens and ranks. Work is per document, without a shuffle.
     """
     known = _shipped(docs.sparkSession, path or default_vocabulary())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(known, pattern), "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(known, pattern, False), "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of ``encode`` with ``decoded``, the bytes of their ids; null ids give no bytes."""
     known = _shipped(encoded.sparkSession, path or default_vocabulary())
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoded(known, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoded(known), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, with one worker a task instead of two."""
+    known = _shipped(docs.sparkSession, path or default_vocabulary())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(known, pattern, True), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(read_table(spark, sf_dir, "documents")))
+    coded = round_trip(read_table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
