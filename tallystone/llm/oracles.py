@@ -65,12 +65,11 @@ def _op4() -> str:
 
 def _op5() -> str:
     """The dynamic programme as a chain of tables: cost and choice for 1, 2, ... buckets over the bins."""
-    k, digits = packing.BUCKETS, packing.DIGITS
+    k = packing.BUCKETS
     n_words = f"len(regexp_extract_all(coalesce(text, ''), '{BLANK}+'))::bigint"
-    shift = f"greatest(length(ltrim(bin(greatest(n_tokens, 1) - 1), '0')) - {digits}, 0)"
     parts = [
         f"l as materialized (select doc_id, {n_words} as n_tokens from documents)",
-        f"z as materialized (select *, (ceil(greatest(n_tokens, 1) / (1::bigint << {shift})::double)::bigint << {shift})::bigint as top from l)",
+        "z as materialized (select *, greatest(n_tokens, 1) as top from l)",
         "b as materialized (select *, row_number() over (order by top) as j, sum(n) over (order by top) as upto from (select top, count(*)::bigint as n from z group by top))",
         "w as materialized (select a.j, b.j as i, a.top * (a.upto - b.upto + b.n) as cost from b a join b on b.j <= a.j)",
         "d1 as materialized (select j, cost, 1 as i from w where i = 1)",
@@ -85,7 +84,7 @@ def _op5() -> str:
     ends = " union ".join(f"select j from e{r}" for r in range(1, k + 1))
     parts += [
         f"f as materialized (select top as bucket_len, (row_number() over (order by top) - 1)::int as bucket, lag(top, 1, 0) over (order by top) as after from b join ({ends}) using (j))",
-        f"o as (select doc_id, n_tokens, bucket, bucket_len, greatest(1, floor({packing.BUDGET} / bucket_len::double))::bigint as batch_size, md5(coalesce(doc_id::varchar, '')) as h, "
+        f"o as (select doc_id, n_tokens, bucket, bucket_len, greatest(1, floor({packing.BUDGET} / bucket_len::double))::bigint as batch_size, md5(concat_ws(':', doc_id, n_tokens)) as h, "
         f"(select greatest(1, ceil(count(*) / {packing.CELL}.0))::bigint from z) as cells from z join f on z.top > f.after and z.top <= f.bucket_len)",
         "q as (select *, row_number() over (partition by bucket order by ('0x' || substr(h, 1, 15))::bigint % cells, h, doc_id, n_tokens) - 1 as n from o)",
     ]

@@ -1,8 +1,8 @@
 """Packing into optimal length buckets.
 
 A global histogram of lengths gives the bucket boundaries that minimise padding, by dynamic programming; batches of
-a token budget are then formed inside each bucket. The histogram is small for any corpus: lengths up to 512
-are kept as they are, longer ones are rounded up to nine leading binary digits (by less than 0.4 %).
+a token budget are then formed inside each bucket. The histogram has a bin for each length that occurs, so it is
+bounded by the longest text, however large the corpus is; the programme's choices ascend, which keeps it near linear in the bins.
 """
 
 import numpy as np
@@ -14,8 +14,6 @@ from .shared import Table, read_table
 
 #: Tokens of a padded batch, and buckets.
 BUDGET, BUCKETS = 16384, 12
-#: Leading binary digits of a bin's top.
-DIGITS = 9
 #: Rows of a numbering cell on average.
 CELL = 20_000
 
@@ -26,14 +24,6 @@ def n_words(text: str = "text"):
     return F.when(body == "", 0).otherwise(F.size(F.split(body, r"\s+"))).cast("long")
 
 
-def bin_top(length):
-    """The least multiple of a power of two with ``DIGITS`` leading binary digits that isn't below ``length``; 1 at least."""
-    length = F.greatest(length, F.lit(1)).cast("long")
-    shift = F.greatest(F.length(F.bin(length - 1)) - DIGITS, F.lit(0))
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-    return (F.floor((length + step - 1) / step) * step).cast("long")
-
-
 def boundaries(tops: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """The padded lengths, ascending, of ``buckets`` buckets at most that minimise the sum of padded lengths.
 
@@ -50,10 +40,19 @@ def boundaries(tops: list[int], counts: list[int], buckets: int = BUCKETS) -> li
     for _ in range(min(buckets, n) - 1):
         cost, choice = np.empty(n), np.empty(n, np.int64)
         previous = np.concatenate(([0.0], best))
-        for j in range(n):
-            over = previous[: j + 1] + top[j] * (below[j + 1] - below[: j + 1])
-            choice[j] = i = int(over.argmin())
-            cost[j] = over[i]
+        # the best choice of a bin is never before that of a smaller bin, so halves bound each other
+        spans = [(0, n - 1, 0, n - 1)]
+        while spans:
+            low, high, first, last = spans.pop()
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j) + 1)
+            over = previous[i] + top[j] * (below[j + 1] - below[i])
+            at = int(over.argmin())
+            choice[j], cost[j] = first + at, over[at]
+            if low < j:
+                spans.append((low, j - 1, first, int(choice[j])))
+            if j < high:
+                spans.append((j + 1, high, int(choice[j]), last))
         choices.append(choice)
         best = cost
     out, j = [], n - 1
@@ -75,12 +74,12 @@ def pack(docs: DataFrame, length=None, budget: int = BUDGET, buckets: int = BUCK
     times batch_size is within ``budget``, or batch_size is 1 where one document alone is over it. Documents
     are never cut. Each bucket's batches but its last are full.
 
-    Null and empty texts have 0 tokens and are in the first bucket. Order in a bucket is by a hash of doc_id, so
+    Null and empty texts have 0 tokens and are in the first bucket. Order in a bucket is by a hash of doc_id and length, so
     neighbours in the table are spread over the batches; repeated and null doc_ids are rows of their own.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_words() if length is None else F.coalesce(length.cast("long"), F.lit(0))).alias("n_tokens"))
-    sized = Table(sized.withColumn("top", bin_top(F.col("n_tokens"))), "lengths").df
-    bins = sized.groupBy("top").agg(F.count("*").alias("n")).orderBy("top").collect()  # some hundred bins for each doubling of the longest text
+    sized = Table(sized.withColumn("top", F.greatest("n_tokens", F.lit(1).cast("long"))), "lengths").df
+    bins = sized.groupBy("top").agg(F.count("*").alias("n")).orderBy("top").collect()  # as many as there are lengths
     ends = boundaries([b["top"] for b in bins], [b["n"] for b in bins], buckets)
     total = sum(b["n"] for b in bins)
     if not ends:
@@ -91,7 +90,7 @@ def pack(docs: DataFrame, length=None, budget: int = BUDGET, buckets: int = BUCK
         bucket = F.when(F.col("top") <= ends[k], k).otherwise(bucket)
         padded = F.when(F.col("top") <= ends[k], ends[k]).otherwise(padded)
     placed = sized.select(
-        "doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("long").alias("bucket_len"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")
+        "doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("long").alias("bucket_len"), F.md5(F.concat_ws(":", "doc_id", "n_tokens")).alias("h")
     )
     placed = placed.withColumn("cell", F.conv(F.substring("h", 1, 15), 16, 10).cast("long") % max(1, -(-total // CELL)))
     # rows are numbered within cells of bounded size; a cell starts where the cells before it end

@@ -323,7 +323,7 @@ def test_quality_verdicts_differ_from_all_must_pass(spark, sf):
 def test_packing_is_optimal(spark, corpus):
     rng = random.Random(2)
     for _ in range(20):
-        tops = sorted(rng.sample(range(1, 60), rng.randint(1, 9)))
+        tops = sorted(rng.sample(range(1, 2000), rng.randint(1, 11)))
         n = [rng.randint(1, 9) for _ in tops]
         k = rng.randint(1, 4)
 
