@@ -726,3 +726,98 @@ def test_quality_grades(spark):
     assert {900, 901, 902} <= set(got)
     empty = spark.createDataFrame([], "doc_id long, grade int")
     assert {r["expected_grade"] for r in quality_grades.score(docs, quality_grades.fit(docs, empty, 2)).limit(3).collect()} == {1.0}
+
+
+def test_pipeline_against_plain_stages(spark, sf):
+    """``run()`` on the smallest tables against plain loops for each stage: rules, noisy-or, near copies, repeats, buckets."""
+    import math
+
+    import regex
+
+    import corpus_pipeline
+
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    # quality rules
+    seen = {}
+    for i, text in docs:
+        n, chars, symbols, dups, repeats_ = counts(text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        f = dict(n_words=n, word_chars=chars, n_symbols=symbols, n_dup_lines=dups, n_repeat_words=repeats_, n_distinct=len(set(words)), n_marks=len(re.findall("[.!?]", text)))
+        f |= dict(n_lines=sum(bool(x.strip(quality_rules.BLANKS)) for x in text.split("\n")), n_letters=len(regex.findall(r"\p{L}", text)), n_capitals=len(regex.findall(r"\p{Lu}", text)))
+        votes = tuple(0 if eval(r.bad, {}, f) else 2 if eval(r.good, {}, f) else 1 for r in quality_rules.RULES)
+        seen[i] = votes, n < 10 or 100 * repeats_ > 20 * n
+    patterns = sorted(collections.Counter(v for v, _ in seen.values()).items())
+    posterior = dict(zip((v for v, _ in patterns), plain_posterior(patterns, len(quality_rules.RULES), quality_rules.ROUNDS)))
+    docs = [(i, t) for i, t in docs if not seen[i][1] and posterior[seen[i][0]] >= 0.5]
+    assert len(docs) < len(seen)
+    # toxicity
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    model = np.frombuffer(toxicity.fit(table("documents"), table("labels")), np.float32)
+
+    def toxic(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text):
+            if words := re.findall(r"[^\W\d_]+", sentence.lower()):
+                z = sum(float(model[k]) for w in words for k in toxicity.features_of(w)) + float(model[-1])
+                clean *= 1 - 1 / (1 + math.exp(-min(max(z, -60), 60)))
+        return 1 - clean
+
+    docs = sorted((i, t) for i, t in docs if toxic(t) < toxicity.THRESHOLD)
+    # near copies: the smallest id of each component of similarity 0.8
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, x) in enumerate(docs):
+        for j, y in docs[:n]:
+            if 0.7 < (len(x) + 9) / (len(y) + 9) < 1.5 and jaccard(x, y) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = [(i, t) for i, t in docs if find(i) == i]
+    # repeats, in whole characters
+    first = {}
+    for i, t in docs:
+        b = t.encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    lengths = {}
+    for i, t in docs:
+        b = t.encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = [True] * 50
+        kept, at = [], 0
+        for c in t:
+            size = len(c.encode())
+            if not all(gone[at : at + size]):
+                kept.append(c)
+            at += size
+        lengths[i] = len(re.findall(r"[^\x20\x09-\x0D]+", "".join(kept)))
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == lengths
+    tops = collections.Counter(max(1, n) for n in lengths.values())
+    ends = packing.boundaries(sorted(tops), [tops[x] for x in sorted(tops)])
+    for i, r in got.items():
+        assert r["bucket_len"] == next(e for e in ends if e >= lengths[i]) and r["bucket"] == ends.index(r["bucket_len"])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty tables, null ids and texts, and clashing columns go through all stages."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    rng = random.Random(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    good = ". ".join(prose(rng, 8) for _ in range(12))
+    for name, rows in (("none", []), ("some", [(None, None, None, None, None), (None, good, "en", "s", 5), (1, good, "en", "s", 5), (2, "", None, None, 0)])):
+        folder = str(tmp_path / name)
+        docs = spark.createDataFrame(rows, kind).withColumn("kept_id", F.lit(1)).withColumn("row", F.lit("x"))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.limit(len(rows)).write.parquet(f"{folder}/labels.parquet")
+        for stage in (corpus_pipeline.quality, corpus_pipeline.civility, corpus_pipeline.near_copies, corpus_pipeline.passages):
+            assert stage(spark, docs, folder).columns == docs.columns
+        assert corpus_pipeline.run(spark, folder).count() <= len(rows)
