@@ -2,7 +2,8 @@
 
 Two 64-bit fingerprints that differ in at most three bits differ in at most one bit of one of their two
 32-bit segments. So each distinct fingerprint is indexed under 64 keys: each segment with each one of its
-bits masked. Fingerprints that share a key are candidates; the full distance is then verified. A key with
+bits masked. Fingerprints that share a key are candidates; the full distance is then verified. Equal keys meet as in a
+merge join of the index with itself: rows are dealt by key and sorted, and one scan compares neighbours of equal key, so that no pair is ever a row. A key with
 more than ``GROUP`` fingerprints is not compared as a whole: its members are indexed again by the two
 16-bit halves of the other segment, then by the two 8-bit quarters of what remains, in the same way. After
 the third level at most 11 bits are free, so no group can have more than 2,048 members: the bound holds for
@@ -196,7 +197,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
     """
     if distance > 3:
         raise ValueError("one-bit variants of two segments find distances up to 3")
-    rows, parts = fps.select("fp"), []
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, parts = fps.select("fp").repartition(tasks), []  # each row becomes 64: not by as few tasks as there are files
     for level in (1, 2, 3):
         keys = _keys(rows, level).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
         found = Table(keys.mapInArrow(_links(distance, group if level < 3 else max(group, GROUP)), "a long, b long, k1 long, k2 long"), "links")

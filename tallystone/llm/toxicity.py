@@ -115,8 +115,8 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def held_out():
-    """Whether a row's label is never learnt from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    """Whether a row's label is never learnt from; false for a null doc_id, whose label isn't learnt from either."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
