@@ -78,8 +78,8 @@ def p19_same_language(spark, sf_dir):
 
 
 @query("p5_unified_manifests", """
-select 'c' || c_custkey as id, case when c_custkey % 5 = 0 then 'unknown' else c_mktsegment end as session, null::varchar as speaker, c_custkey::double as start, c_custkey + 2.0 as "end", c_name as text from customer
-union all select 's' || s_suppkey, n_name, 'sp' || s_nationkey, case when n_nationkey is not null then s_suppkey end, case when n_nationkey is not null then s_suppkey + 1 end, s_name from supplier left join nation on n_nationkey = s_nationkey and n_nationkey % 4 > 0""")
+select 'c' || c_custkey as id, case when c_custkey % 5 = 0 then 'unknown' else c_mktsegment end as session, null::varchar as speaker, c_custkey::double as start, (c_custkey + 2)::double as "end", c_name as text from customer
+union all select 's' || s_suppkey, n_name, 'sp' || s_nationkey, case when n_nationkey is not null then s_suppkey::double end, case when n_nationkey is not null then (s_suppkey + 1)::double end, s_name from supplier left join nation on n_nationkey = s_nationkey and n_nationkey % 4 > 0""")
 def p5_unified_manifests(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     timed = c.select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).otherwise("").alias("video_id"), F.col("c_custkey").alias("start_seconds"), (F.col("c_custkey") + 2).alias("end_seconds"), F.col("c_name").alias("text"))
