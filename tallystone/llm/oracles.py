@@ -1,6 +1,6 @@
 """DuckDB SQL with the same rows as the queries that SQL can express."""
 
-from . import line_dedup, packing, quality_rules, suffix_dedup, topk
+from . import centroids, conversations, decontamination, line_dedup, packing, quality_rules, suffix_dedup, topk
 
 OP2 = f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::double)::bigint) as q from embeddings
@@ -109,3 +109,82 @@ with p as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts fro
   z as (select doc_id, count(*) as n, string_agg(start::bigint || '-' || (start + length(part))::bigint, ',' order by start) as removed from g where gone and (i = 0 or not whole) group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed, sha256(coalesce(kept, '')) as kept_sha256
   from documents d left join x using (doc_id) left join z using (doc_id)"""
+
+PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11 = f"""
+with d as materialized (select row_number() over () as r, doc_id, {PLAIN_WORDS} as w from documents),
+  i as materialized (select item_id, {PLAIN_WORDS} as w from benchmark),
+  p as materialized (select distinct item_id, least(len(w), {decontamination.WINDOW}) as n, array_to_string(w[b:b + least(len(w), {decontamination.WINDOW}) - 1], ' ') as s
+    from (select item_id, w, unnest(range(1, greatest(len(w) - {decontamination.WINDOW - 1}, 1) + 1)) as b from i where len(w) > 0)),
+  g as materialized (select r, n, b, array_to_string(w[b:b + n - 1], ' ') as s from (select r, w, n, unnest(range(1, len(w) - n + 2)) as b from d, (select distinct n from p) where len(w) >= n)),
+  f as materialized (select r, n, b, item_id from g join p using (n, s)),
+  h as (select r, count(distinct k)::bigint as n_hit from (select r, unnest(range(b, b + n)) as k from f) group by r),
+  x as (select r, count(*)::bigint as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct r, item_id::varchar as item_id from f where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join x using (r)"""
+
+
+def _op12() -> str:
+    cost = lambda s, c, letter: f"lpad((substr({s}, 1, 12)::bigint + {c})::varchar, 12, '0') || substr({s}, 13) || '{letter}'"
+    insert = lambda s: cost(s, conversations.INSERT, "I")
+    user = lambda p: f"least({p}2, {insert(p + '0')}, {insert(p + '1')}, {insert(p + '3')})"
+    gone = lambda s: cost(s, conversations.DELETE, "D")
+    taken = lambda s, own: f"case when able then case when {own} then {cost(s, 'extra', 'K')} else {cost(s, f'extra + {conversations.REROLE}', 'R')} end end"
+    never = str(conversations.NEVER % 10**12).zfill(12)
+    blank = r"[^\x20\x09-\x0D]"
+    return rf"""
+with recursive o as materialized (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+  c as materialized (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 8 * length(k)), lambda i: ((ord(k[(i // 8 + 1)::int]) >> (i % 8)::int) & 1)::bigint)),
+      lambda a, b: xor(a >> 1, 3988292384::bigint * xor(a & 1, b))), 4294967295::bigint) % 20 as kind from o),
+  t as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from (select *, unnest(case when kind = 3 then [0, 1] else [0] end) from c where kind <> 0)),
+  n as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, substr(role, 1, 1) as ini from t),
+  f as materialized (select *, case when not regexp_matches(text, '{blank}') then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' end as fault, lag(ini) over (partition by conv_id order by pos) || ini as pair from n),
+  g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+      count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+  s as (select distinct conv_id, 0::bigint as pos, lpad('0', 12, '0') as x0, '{never}' as x1, '{never}' as x2, '{never}' as x3 from f
+    union all
+    select conv_id, pos, {gone('y0')} as x0, case when able and ini = 's' then least({gone('y1')}, {taken('y0', 'true')}) else {gone('y1')} end as x1,
+      least({gone('y2')}, {taken('y0', "ini = 'u'")}, {taken('y1', "ini = 'u'")}, {taken('y3', "ini = 'u'")}) as x2, least({gone('y3')}, {taken('y2', "ini = 'a'")}) as x3
+    from (select conv_id, pos, able, ini, extra, y0, y1, y2, least(x3, {insert('y2')}) as y3 from (select s.conv_id, f.pos, coalesce(fault, '') not in ('blank', 'duplicate') as able, ini,
+        case when fault = 'truncated' then {conversations.TRUNCATED} else 0 end as extra, x0 as y0, x1 as y1, {user('x')} as y2, x3 from s join f on s.conv_id is not distinct from f.conv_id and f.pos = s.pos + 1))),
+  l as (select s.conv_id, least(x0, x3, {insert(user('x'))}) as best from s join (select conv_id, max(pos) as last from f group by conv_id) m on s.conv_id is not distinct from m.conv_id and s.pos = m.last),
+  e as materialized (select conv_id, substr(best, 1, 12)::bigint as cost, substr(best, 13) as audit from l),
+  a as (select conv_id, i, audit[i] as letter from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as i from e)),
+  p as (select conv_id, letter, case when letter <> 'I' then count(*) filter (letter <> 'I') over (partition by conv_id order by i) end as pos, count(*) filter (letter <> 'D') over (partition by conv_id order by i) - 1 as place from a),
+  q as (select p.conv_id, letter, place, role, coalesce(text, '') as text, max(case when place = 0 and letter = 'K' and ini = 's' then 1 else 0 end) over (partition by p.conv_id) as lead
+    from p left join f on p.conv_id is not distinct from f.conv_id and p.pos = f.pos where letter <> 'D'),
+  r as (select conv_id, sha256(string_agg(case when letter = 'K' then role when (place - lead) % 2 = 0 then 'user' else 'assistant' end || ':' || text, chr(10) order by place)) as h from q group by conv_id)
+select z.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) z left join g on z.conv_id is not distinct from g.conv_id left join e on z.conv_id is not distinct from e.conv_id left join r on z.conv_id is not distinct from r.conv_id"""
+
+
+OP12 = _op12()
+
+
+def _op13() -> str:
+    dims, k = centroids.DIMENSIONS, centroids.CLUSTERS
+    away = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    parts = [
+        f"""v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as v from embeddings
+    where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})""",
+        f"c0 as materialized (select row_number() over (order by sha256('{centroids.SEED}:' || vec_id), v) - 1 as k, v as c from v where vec_id is not null qualify k < {k})",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"a{i} as materialized (select r, arg_min(k, (d, k)) as k, min(d) as d from (select r, k, {away} as d from v, c{i}) group by r)")
+        if i < centroids.ROUNDS:
+            parts.append(
+                f"""m{i} as (select k, list((s - ((s % n) + n) % n) // n order by j)::bigint[] as c from (select k, j, sum(x)::hugeint as s, count(*)::hugeint as n from (select k, unnest(v) as x, unnest(range({dims})) as j from a{i} join v using (r)) group by k, j) group by k)"""
+            )
+            parts.append(f"c{i + 1} as materialized (select k, coalesce(m.c, o.c) as c from c{i} o left join m{i} m using (k))")
+    n = centroids.ROUNDS
+    return (
+        "with "
+        + ",\n  ".join(parts)
+        + f"\nselect vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from a{n} join v using (r) join c{n} using (k)"
+    )
+
+
+OP13 = _op13()

@@ -2,6 +2,9 @@
 
 from . import oracles
 from .bpe import op3_byte_bpe
+from .centroids import op13_centroids
+from .conversations import op12_conversations
+from .decontamination import op11_decontamination
 from .html_text import op10_html_text
 from .line_dedup import op7_line_dedup
 from .packing import op5_packing
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_quality_grades": op8_quality_grades,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_decontamination": op11_decontamination,
+    "op12_conversations": op12_conversations,
+    "op13_centroids": op13_centroids,
 }
 ORACLES = {
     "op2_topk": oracles.OP2,
@@ -30,4 +36,7 @@ ORACLES = {
     "op5_packing": oracles.OP5,
     "op6_suffix_dedup": oracles.OP6,
     "op7_line_dedup": oracles.OP7,
+    "op11_decontamination": oracles.OP11,
+    "op12_conversations": oracles.OP12,
+    "op13_centroids": oracles.OP13,
 }
