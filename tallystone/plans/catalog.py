@@ -1,6 +1,6 @@
 """The registered queries over the provided tables, and the SQL that checks them."""
 
-from . import base, evaluation, files, more, records, sequences, sets, streams, texts  # noqa: F401  importing registers
+from . import alignments, base, evaluation, files, more, records, sequences, sets, streams, texts  # noqa: F401  importing registers
 
 FLAGSHIP = "a1_confusion"
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -1,24 +1,13 @@
 """Queries that write files from the provided tables and read them again: the sources and sinks of the inventory."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequences as sq
 from ..sources import readers, sinks
+from ..sources.written import fresh_path as scratch
 from .base import query, table
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path that driver and executors share; a temporary one only in a local session without a checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tallystone-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/files/{name}-{uuid.uuid4().hex}"
-
-
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
 
