@@ -25,8 +25,8 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 256
 LOOKS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)
 #: Bytes of vectors, and of queries, that meet in one group.
 GROUP_BYTES = 32_000_000
-#: Components whose products and sums are exact as doubles.
-LARGEST = 1 << 22
+#: Sums of products, and of their differences, below this are exact as doubles.
+EXACT = 1 << 53
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -79,22 +79,30 @@ def _blocks(rows: int):
     return run
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0
+
+
 class Lists:
     """A block's sorted lists."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.matrix = ids[order], np.ascontiguousarray(matrix[order])
-        exact = not matrix.size or max(abs(int(matrix.min())), abs(int(matrix.max()))) <= LARGEST
-        self.exact = self.matrix.astype(np.float64) if exact else None
+        self.largest = _largest(matrix)
+        self.doubles = self.matrix.astype(np.float64)
         up = np.argsort(self.matrix, axis=0, kind="stable")
         self.rows = np.ascontiguousarray(up.T)  # a row for each list, ascending
         self.sorted = np.ascontiguousarray(np.take_along_axis(self.matrix, up, axis=0).T).astype(np.float64)
 
+    def exact(self, query: np.ndarray) -> bool:
+        """Whether all sums of a query's products are exact as doubles, those of differences to a list's least product included."""
+        return 2 * max(len(query), 1) * self.largest * _largest(query) < EXACT
+
     def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
         """Exact scores; sums beyond 64 bits raise OverflowError."""
-        if self.exact is not None and max((abs(int(query.min())), abs(int(query.max()))) if query.size else (0,)) <= LARGEST:
-            return (self.exact[rows] @ query.astype(np.float64)).astype(np.int64).tolist()
+        if self.exact(query):
+            return (self.doubles[rows] @ query.astype(np.float64)).astype(np.int64).tolist()
         return [sum(int(a) * int(b) for a, b in zip(self.matrix[r], query)) for r in rows]
 
     def best(self, query: np.ndarray, own: int, k: int, at_least: float) -> list[tuple[int, int]]:
@@ -104,7 +112,7 @@ class Lists:
         """
         n, dims = self.matrix.shape
         others = self.ids != own
-        if n <= 2 * k or not dims or self.exact is None or max(abs(int(query.min())), abs(int(query.max()))) > LARGEST:
+        if n <= 2 * k or not dims or not self.exact(query):
             rows = np.flatnonzero(others)  # too few to skip any, or sums that need integers beyond doubles
             return list(zip(self.scores(rows, query), self.ids[rows].tolist()))
         q = query.astype(np.float64)

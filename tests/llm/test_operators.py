@@ -207,6 +207,19 @@ def test_topk_reads_no_more_than_it_must():
     assert sorted(topk.Lists(np.arange(30), big).best(np.full(6, 1 << 19), -1, 2, -np.inf))[-1] == (6 * ((1 << 40) + 1) * (1 << 19), 3)
 
 
+@pytest.mark.parametrize("rows", [15, 200])
+def test_topk_is_exact_for_many_dimensions(rows):
+    """Single products are exact as doubles, their sums aren't."""
+    rng = np.random.default_rng(4)
+    m, q = rng.integers((1 << 22) - 9, 1 << 22, (rows, 4096)), rng.integers((1 << 22) - 9, 1 << 22, 4096)
+    lists = topk.Lists(np.arange(rows), m)
+    want = [sum(int(a) * int(b) for a, b in zip(v, q)) for v in m]
+    assert not lists.exact(q) and lists.scores(np.arange(rows), q) == want
+    best = sorted(lists.best(q, -1, 10, -np.inf), key=lambda x: (-x[0], x[1]))[:10]
+    assert best == sorted(((s, i) for i, s in enumerate(want)), key=lambda x: (-x[0], x[1]))[:10]
+    assert lists.exact(np.ones(4096, np.int64))
+
+
 @pytest.fixture(scope="module")
 def encoders():
     ranks = bpe.load_ranks(bpe.default_vocabulary())
