@@ -264,3 +264,12 @@ def _retokenised(words: list[str], edited: str) -> list[str]:
 def retokenised(words: pd.Series, edited: pd.Series) -> pd.Series:
     """An edited text cut into the words it was joined from; words that have vanished are left out."""
     return pd.Series([None if w is None or e is None else _retokenised(list(w), e) for w, e in zip(words, edited)])
+
+
+# The pairs of quotation marks in explanations, and what may stand between them.
+QUOTED = ["'([^'\"‘’“”]{2,80})'", '"([^\'"‘’“”]{2,80})"', "‘([^‘’]{2,80})’", "“([^“”]{2,80})”"]
+
+
+def quoted(explanation: Column) -> Column:
+    """All quoted parts of an explanation, by kind of quotation mark: straight single, straight double, curly single, curly double."""
+    return F.coalesce(F.concat(*(F.regexp_extract_all(explanation, F.lit(p), F.lit(1)) for p in QUOTED)), F.array().cast("array<string>"))

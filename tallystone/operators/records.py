@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+
 EPS = 1e-6
 WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
 
@@ -76,7 +78,8 @@ def prefilled(items: DataFrame, rules: DataFrame) -> DataFrame:
     """
     keyed = rules.join(items.select("key").distinct(), "key", "left_semi").select("key", "rule")
     rest = rules.join(items.select("key").distinct(), "key", "left_anti").withColumn("seg", F.regexp_replace("rule_id", r"\.r\d+$", "")).select("seg", "spans", "rule")
-    return keyed.unionByName(items.join(rest, "seg").where(F.array_contains("spans", F.col("span"))).select("key", "rule"))
+    each = rest.select("seg", F.explode(F.array_distinct("spans")).alias("span"), "rule")
+    return keyed.unionByName(items.join(each, ["seg", "span"]).select("key", "rule"))
 
 
 def same_language(texts: Column, languages: Column, reference: Column, skip: list[str]) -> Column:
@@ -246,10 +249,29 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return each.select("document", "model", F.col("s.index").alias("segment"), F.posexplode(flat).alias("ordinal", "e")).where(F.coalesce(F.trim("e.quote"), F.lit("")) != "").select("document", "model", "segment", "ordinal", "e.type", "e.quote")
 
 
-def best_quote(quotes: Column, text: Column) -> Column:
-    """Of quotes those that the text holds, the longest (of equals the first); null if it holds none."""
-    held = F.filter(F.transform(quotes, lambda q, i: F.struct((-F.length(q)).alias("n"), i.alias("i"), q.alias("q"))), lambda s: (F.length(s["q"]) > 0) & F.contains(text, s["q"]))
-    return F.array_min(held)["q"]
+def best_quote(quotes: Column, text: Column, least: int = 3, share: float = 0.7) -> Column:
+    """Of quotes (trimmed) the one whose longest part in the text is longest, of equals the first; null if none has enough of it there.
+
+    A part counts from ``share`` of the quote's characters on, rounded down, ``least`` of them at the least. Only parts that long are looked for.
+    """
+    held = F.coalesce(text, F.lit(""))
+
+    def part(q: Column) -> Column:
+        n = F.length(q)
+        low = F.greatest(F.lit(least), F.floor(n * share).cast("int"))
+        fits = lambda size: F.exists(F.sequence(F.lit(1), n - size + 1), lambda i: F.contains(held, F.substring(q, i, size)))
+        sizes = F.when(low <= n, F.sequence(low, n))
+        return F.when(F.contains(held, q) & (n >= low), n).otherwise(F.coalesce(F.array_max(F.filter(sizes, fits)), F.lit(0)))
+
+    trimmed = F.filter(F.transform(quotes, lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != ""))
+    told = F.filter(F.transform(trimmed, lambda q, i: F.struct((-part(q)).alias("n"), i.alias("i"), q.alias("q"))), lambda s: s["n"] < 0)
+    return F.array_min(told)["q"]
+
+
+def annotated(renderings: Column, explanation: Column) -> Column:
+    """Renderings (array of struct with ``text`` and ``correct``) with a ``quote``: for incorrect ones the explanation's quote that fits the text best, else null."""
+    quotes = tx.quoted(explanation)
+    return F.transform(renderings, lambda r: r.withField("quote", F.when(~F.coalesce(r["correct"], F.lit(True)), best_quote(quotes, r["text"]))))
 
 
 def report(df: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:

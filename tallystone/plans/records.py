@@ -41,14 +41,14 @@ def f33_parts_named(spark, sf_dir):
 
 @query("j25_contexts", """
 with w as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as pos, turn::double as et, role, text from conversations),
-  r as (select conv_id, pos as ident, pos as first, pos + 2 as last from w where pos % 3 = 1),
+  r as (select conv_id, pos as ident, pos as first, pos + 2 as last from w),
   s as (select conv_id, role as lang, pos as index, pos as first, pos + (pos % 2) as last, md5(text) as text from w),
   t as (select r.*, a.et as start, b.et + 1 as end_ from r left join w a on a.conv_id = r.conv_id and a.pos = r.first left join w b on b.conv_id = r.conv_id and b.pos = r.last),
   c as (select r.conv_id, r.ident, s.lang, string_agg(s.text, ' ' order by s.index) as context from r join s on s.conv_id = r.conv_id and s.first <= r.last and r.first <= s.last group by all)
 select t.conv_id, t.ident, case when end_ is not null then start end as start, end_ as "end", lang, md5(context) as context from t left join c using (conv_id, ident)""")
 def j25_contexts(spark, sf_dir):
     w = table(spark, sf_dir, "conversations").withColumn("pos", F.expr("row_number() over (partition by conv_id order by turn, role, text)").cast("long"))
-    ranges = w.where("pos % 3 = 1").select("conv_id", F.col("pos").alias("ident"), F.col("pos").alias("first"), (F.col("pos") + 2).alias("last"))
+    ranges = w.select("conv_id", F.col("pos").alias("ident"), F.col("pos").alias("first"), (F.col("pos") + 2).alias("last"))
     words = w.select("conv_id", "pos", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"))
     segments = w.select("conv_id", F.col("role").alias("lang"), F.col("pos").alias("index"), F.col("pos").alias("first"), (F.col("pos") + F.col("pos") % 2).alias("last"), F.md5("text").alias("text"))
     return rc.contexts(ranges, words, segments, ["conv_id"], "ident").withColumn("context", F.md5("context"))
@@ -229,15 +229,33 @@ def a34_occurrences(spark, sf_dir):
     return rc.occurrences(d)
 
 
-@query("f11_best_quote", """
-with q as (select doc_id, text, [substr(text, 3, 5), substr(text, 20, 12), 'not in any text', substr(text, 40, 12)] as q from documents)
-select doc_id, (select x from (select unnest(q) as x, unnest(range(1, 5)) as i) where length(x) > 0 and contains(text, x) order by length(x) desc, i limit 1) as quote from q""")
+BEST_QUOTE = """
+select doc_id, text, (select q from (select q, i, max(n) as n from (select trim(q) as q, i, unnest(range(greatest(3, floor(length(trim(q)) * 0.7)::int), length(trim(q)) + 1)) as n from (select unnest(qs) as q, unnest(range(1, len(qs) + 1)) as i))
+  where len(list_filter(range(1, length(q) - n + 2), lambda b: contains(coalesce(text, ''), substr(q, b::int, n::int)))) > 0 group by q, i) order by n desc, i limit 1) as quote from q"""
+
+
+@query("f11_best_quote", f"""
+with q as (select doc_id, text, [substr(text, 3, 5), substr(text, 20, 12) || '##', 'not in any text', ' ' || substr(text, 40, 14) || substr(text, 1, 3)] as qs from documents)
+select doc_id, quote from ({BEST_QUOTE})""")
 def f11_best_quote(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    quotes = F.array(F.substring("text", 3, 5), F.substring("text", 20, 12), F.lit("not in any text"), F.substring("text", 40, 12))
+    quotes = F.array(F.substring("text", 3, 5), F.concat(F.substring("text", 20, 12), F.lit("##")), F.lit("not in any text"), F.concat(F.lit(" "), F.substring("text", 40, 14), F.substring("text", 1, 3)))
     return d.select("doc_id", rc.best_quote(quotes, F.col("text")).alias("quote"))
 
 
+EXPLAINED = "concat('It says ', chr(39), substr(text, 5, 18), 'x', chr(39), ', not “', substr(text, 30, 25), '” or \"', substr(text, 2, 4), '\".')"
+
+
+@query("f11_annotated", f"""
+with e as (select doc_id, text, {EXPLAINED} as e from documents),
+  q as (select doc_id, text, regexp_extract_all(e, '''([^''"‘’“”]{{2,80}})''', 1) || regexp_extract_all(e, '"([^''"‘’“”]{{2,80}})"', 1) || regexp_extract_all(e, '‘([^‘’]{{2,80}})’', 1) || regexp_extract_all(e, '“([^“”]{{2,80}})”', 1) as qs from e)
+select doc_id, case when doc_id % 3 > 0 then quote end as quote from ({BEST_QUOTE})""")
+def f11_annotated(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(EXPLAINED).alias("e"))
+    renderings = F.array(F.struct("text", (F.col("doc_id") % 3 == 0).alias("correct")))
+    return d.select("doc_id", rc.annotated(renderings, F.col("e"))[0]["quote"].alias("quote"))
+
+
 @query("k10_report", """
 select lang, grouping(lang) = 1 as whole, '{"n":' || count(*) || ',"longest":' || max(n_chars) || '}' as stats from documents group by grouping sets ((lang), ())""")
 def k10_report(spark, sf_dir):

@@ -22,7 +22,7 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     sizes = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"))  # a row for each split
     before = sizes.select("_file", "_block", F.expr("coalesce(sum(_n) over (partition by _file order by _block rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
     placed = raw.withColumn("_k", F.expr("row_number() over (partition by _file, _block order by _at) - 1")).join(before, ["_file", "_block"])
-    return placed.where(F.trim("value") != "").select("_file", (F.col("_before") + F.col("_k")).cast("int").alias("_line"), "value")
+    return placed.where(F.trim("value") != "").select("_file", (F.col("_before") + F.col("_k")).cast("long").alias("_line"), "value")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from tallystone.functions import spans as sp
 from tallystone.functions import statistics as st
 from tallystone.functions import text as tx
 from tallystone.operators import alignment, models, votes
+from tallystone.operators import records as rc
 from tallystone.operators import evaluation as ev
 from tallystone.operators import sequences as sq
 from tallystone.operators.containment import contained
@@ -164,6 +165,10 @@ def test_contained_both_ways(spark):
     d, n = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(needles, "item_id long, needle string")
     want = {(i, j, t.find(w)) for i, t in docs if t for j, w in needles if w and w in t}
     assert {tuple(r) for r in contained(d, n).collect()} == want == {tuple(r) for r in contained(d, n, shipped=0).collect()}
+    # null and repeated ids keep their rows in both ways
+    ids = spark.createDataFrame([(None, docs[0][1]), (7, docs[0][1]), (7, docs[0][1]), (7, docs[1][1])], "doc_id long, text string")
+    rows = [sorted(map(repr, contained(ids, n, shipped=k).collect())) for k in (16_000_000, 0)]
+    assert rows[0] == rows[1] and len([r for r in rows[0] if "doc_id=None" in r]) == 2
 
 
 def test_model_boundary(spark):
@@ -191,3 +196,39 @@ def test_sentences_and_answers(spark):
     assert value(spark, tx.clock(F.lit(3725.9))) == "1:02:05"
     rows = spark.createDataFrame([(["Hello", " wrold", " uh"], "Hello, world"), ([], "x"), (None, "x")], "w array<string>, e string")
     assert [r["v"] for r in rows.select(tx.retokenised("w", "e").alias("v")).collect()] == [["Hello,", " world"], [], None]
+
+
+def test_best_quote(spark):
+    """The quote that shares its longest part with the text, if that is enough of it."""
+    rng = random.Random(6)
+
+    def plain(text, quotes):
+        best, most = None, 0
+        for q in (q.strip(" ") for q in quotes if q is not None):
+            block = difflib.SequenceMatcher(None, text or "", q, autojunk=False).find_longest_match(0, len(text or ""), 0, len(q))
+            if q and block.size >= max(3, int(0.7 * len(q))) and block.size > most:
+                best, most = q, block.size
+        return best
+
+    rows = [("The ship left the harbour at dawn", ["the harbour at dusk", "a ship"]), ("abc", ["ab", "abcd", " abc "]), (None, ["abc"]), ("abc", []), ("abc", [None, "", " "])]
+    for _ in range(300):
+        text = "".join(rng.choice("ab c") for _ in range(40))
+        rows.append((text, ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 9))) for _ in range(4)] + [text[5:15] + "zz"]))
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, q array<string>").select("i", rc.best_quote(F.col("q"), F.col("t")).alias("b")).collect()
+    assert {r["i"]: r["b"] for r in got} == {i: plain(t, q) for i, (t, q) in enumerate(rows)}
+    assert got[0]["b"] == "the harbour at dusk"
+    told = value(spark, tx.quoted(F.lit("It has 'bad news' and \"no\" or ‘fine’ “as is” 'x'")))
+    assert told == ["bad news", "x", "no", "fine", "as is"] and value(spark, tx.quoted(F.lit(None).cast("string"))) == []
+
+
+def test_statistics_of_many_rows(spark):
+    """Counts whose products pass 64 bits."""
+    many = 4_000_000_000
+    levels = spark.range(2).select((F.col("id") == 1).alias("p"), F.col("id").cast("double").alias("s"))
+    big = lambda c: F.when(c, F.lit(many)).otherwise(F.lit(0))
+    count = F.count_if
+    F.count_if = lambda c: F.sum(big(c))
+    try:
+        assert st.auc(levels, "s", "p").first()["auc"] == 1.0
+    finally:
+        F.count_if = count
