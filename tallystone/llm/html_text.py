@@ -14,6 +14,7 @@ density sum along with a third of them (nine tenths for a block without blocks i
 
 import html
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,7 +63,8 @@ PARTLY = 0.25
 #: Characters outside of reader comments from which on a page has other text.
 OTHER_TEXT = 140
 
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
+OPEN = regex.compile(r"<(?:!|\?|(/?)([a-zA-Z][^\s/>]*))")
+QUOTE_OR_END = regex.compile(r"[>\"']")
 ATTRIBUTE = regex.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", regex.S)
 NAME = regex.compile(r"\p{Lu}?\p{Ll}+|\p{Lu}+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -71,29 +73,34 @@ PARAGRAPHS = HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcap
 
 
 class Node:
-    __slots__ = ("tag", "items", "up", "furniture", "names", "factor", "chars", "tags", "link_chars", "link_tags", "density", "total", "block")
+    __slots__ = ("tag", "items", "up", "furniture", "names", "ids", "factor", "chars", "tags", "link_chars", "link_tags", "density", "total", "block", "heading", "between", "open_p")
 
-    def __init__(self, tag: str, up: "Node | None", furniture: bool = False, names: str = ""):
-        self.tag, self.up, self.furniture, self.names, self.factor = tag, up, furniture, names, 1.0
+    def __init__(self, tag: str, up: "Node | None", furniture: bool = False, names: str = "", ids: str = ""):
+        self.tag, self.up, self.furniture, self.names, self.ids, self.factor, self.between = tag, up, furniture, names, ids, 1.0, False
         self.items: list[Node | str] = []
+        #: The nearest open <p> with no block between.
+        self.open_p: Node | None = None if up is None else up if up.tag == "p" else None if up.tag in BLOCK else up.open_p
 
 
-def _kind(tag: str, attributes: str, within_article: bool) -> tuple[bool, str]:
-    """Whether an element is furniture by tag, role or being hidden, and its names."""
-    if tag in FURNITURE or tag == "header" and not within_article:
-        return True, ""
+def _kind(tag: str, attributes: str) -> tuple[bool, str, str]:
+    """Whether an element is furniture by tag, role or being hidden, and the names of its class and id."""
+    if tag in FURNITURE:
+        return True, "", ""
     if not attributes or tag in ("html", "body"):
-        return False, ""
-    names = ""
+        return False, "", ""
+    names = ids = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name in ("class", "id"):
+        if name == "class":
             names += " " + value
             continue
+        if name == "id":
+            ids += " " + value
+            continue
         value = value.lower()
         if name == "role" and value in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True, ""
-    return False, names
+            return True, "", ""
+    return False, names, ids
 
 
 def _judged(tag: str, names: str) -> tuple[float, bool]:
@@ -109,68 +116,127 @@ def _judged(tag: str, names: str) -> tuple[float, bool]:
     return least, comments
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes and attributes of each tag, in order; comments and declarations have no name.
+
+    The page is read once: > within quotes ends no tag, unless the quotes of some tag never end; from there on the first > does. Where no > is left no tag is.
+    """
+    position, last, quotes = 0, page.rfind(">"), True
+    while (m := OPEN.search(page, position)) is not None:
+        start, at = m.span()
+        if start > last and not page.startswith("<!--", start):
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            position = len(page) if end < 0 else end + 3
+            yield start, position, "", False, ""
+            continue
+        if not m[2]:
+            position = page.find(">", start) + 1
+            yield start, position, "", False, ""
+            continue
+        end = -1
+        if quotes:
+            look = at
+            while (q := QUOTE_OR_END.search(page, look)) is not None:
+                if q[0] == ">":
+                    end = q.start()
+                    break
+                if (look := page.find(q[0], q.end()) + 1) == 0:
+                    break
+            quotes = end >= 0
+        if end < 0:
+            end = page.find(">", at)
+        position = end + 1
+        yield start, position, m[2].lower(), bool(m[1]), page[at:end]
+
+
 def parse(page: str) -> Node:
     """The tree of a page; misnested, unclosed and stray tags are taken as browsers do in the common cases."""
     root = at = Node("html", None)
-    end = 0
-    position, size = 0, len(page)
-    articles = 0
-    while position < size:
-        m = TOKEN.search(page, position)
-        if m is None:
-            at.items.append(page[position:])
-            break
-        if m.start() > end:
-            at.items.append(page[end : m.start()])
-        position = end = m.end()
-        tag = m[2]
+    root.heading = False  # until densities are taken: whether there is a <header>
+    end = skip = 0
+    open_: dict[str, int] = defaultdict(int)
+    has_body = False
+    for start, stop, tag, closes, attributes in _tokens(page):
+        if start < skip:
+            continue
+        if start > end:
+            at.items.append(page[end:start])
+        end = stop
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is None or node is root or node.tag != tag:
+        if closes:
+            if not open_[tag]:
                 continue  # nothing of this name is open
-            while at is not node:
-                articles -= at.tag == "article"
+            while at.tag != tag:
+                open_[at.tag] -= 1
                 at = at.up
-            articles -= node.tag == "article"
-            at = node.up
+            open_[tag] -= 1
+            at = at.up
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(x, Node) and x.tag == "body" for x in root.items):
+            if tag == "body" and not has_body:
+                has_body = True
+                open_.clear()
                 at = Node("body", root)
                 root.items.append(at)
             continue
-        if tag in CLOSE_P:
-            node = at
-            while node is not None and node.tag != "p" and node.tag not in BLOCK:
-                node = node.up
-            if node is not None and node.tag == "p":
-                at = node.up
+        if tag in CLOSE_P and (p := at if at.tag == "p" else None if at.tag in BLOCK else at.open_p) is not None:
+            while at is not p.up:
+                open_[at.tag] -= 1
+                at = at.up
         if close := CLOSES.get(tag):
-            node = at
-            while node is not None and node.tag not in CONTAINERS - close:
+            node, last = at, None
+            stops = CONTAINERS - close
+            while node is not None and node.tag not in stops:
                 if node.tag in close:
-                    at = node.up
+                    last = node
                 node = node.up
-        made = Node(tag, at, *_kind(tag, m[3], articles > 0))
+            while last is not None and at is not last.up:
+                open_[at.tag] -= 1
+                at = at.up
+        if tag == "header":
+            root.heading = True
+        made = Node(tag, at, *_kind(tag, attributes))
         at.items.append(made)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            stop = regex.compile(rf"</{tag}\s*>", regex.I).search(page, position)
-            position = end = stop.end() if stop else size
+            found = regex.compile(rf"</{tag}\s*>", regex.I).search(page, stop)
+            skip = end = found.end() if found else len(page)
             continue
-        articles += tag == "article"
+        open_[tag] += 1
         at = made
+    if end < len(page):
+        at.items.append(page[end:])
     return root
 
 
+def _headers(root: Node) -> None:
+    """A <header> is furniture, but for one within <article> or <main>, and one with the page's only <h1> and no link."""
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    headers, titles = [], 0
+    while stack:
+        node, inside = stack.pop()
+        if node.tag == "header" and not inside and not node.furniture:
+            headers.append(node)
+        titles += node.tag == "h1"
+        inside = inside or node.tag in ("article", "main")
+        stack += [(x, inside) for x in node.items if isinstance(x, Node)]
+    for node in headers:
+        tags, todo = Counter(), [node]
+        while todo:
+            x = todo.pop()
+            tags[x.tag] += 1
+            todo += [y for y in x.items if isinstance(y, Node)]
+        node.furniture = not (tags["h1"] == titles == 1 and not tags["a"] and not tags["nav"] and tags["header"] == 1)
+
+
 def _measure(root: Node) -> list[Node]:
     """All nodes outside furniture, parents first, with their densities."""
+    if root.heading:
+        _headers(root)
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -179,8 +245,9 @@ def _measure(root: Node) -> list[Node]:
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         node.block = node.tag in BLOCK
+        node.heading = node.tag in HEADINGS
         for x in node.items:
-            if isinstance(x, str):
+            if x.__class__ is str:
                 node.chars += len(" ".join(x.split()))
             elif not x.furniture:
                 node.chars += x.chars
@@ -188,18 +255,31 @@ def _measure(root: Node) -> list[Node]:
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags
                 node.block |= x.block
+                node.heading |= x.heading
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, 1
     body = next((n for n in order if n.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
     for node in order:
-        node.density = _density(node, share)
+        node.density = _density(node, share) if node.chars else 0.0
     _total(order)
-    if named := [(n, *_judged(n.tag, n.names)) for n in order if n.names]:
+    for node in order:
+        if node.link_tags > 1:
+            _neighbours(node)
+    if named := [(n, *_judged(n.tag, f"{n.names} {n.ids}")) for n in order if n.names or n.ids]:
         _lower([x for x in named if x[1] < 1], order)
     return order
 
 
+def _neighbours(node: Node) -> None:
+    """Marks the blocks of a node that stand between text."""
+    parts = [x for x in node.items if (not x.furniture and x.block and x.chars if isinstance(x, Node) else not x.isspace())]
+    told = [isinstance(x, str) or 2 * x.link_chars <= x.chars for x in parts]
+    for before, x, after in zip(told, parts[1:], told[2:]):
+        if before and after and isinstance(x, Node):
+            x.between = True
+
+
 def _total(order: list[Node]) -> None:
     """Density sums; elements within a line (no block, none inside) are part of it and no children of their own."""
     for node in order:
@@ -216,23 +296,37 @@ def _path(node: Node | None) -> list[Node]:
 
 
 def _lower(named: list[tuple[Node, float, bool]], order: list[Node]) -> None:
-    """Lowers the densities of nodes with names of furniture, but for those that hold the page's text."""
+    """Lowers the densities of nodes with names of furniture, but for those that hold the page's text, and sections like others."""
     every = order[0].chars
     for node, factor, comments in named:
         if comments and every - node.chars >= OTHER_TEXT:
             node.factor = factor
     _total(order)
-    inside = {id(n) for n in _path(max(order, key=lambda n: (n.tag != "html", n.total)))}
+    best = max(order, key=lambda n: (n.tag != "html", n.total))
+    inside = {id(n) for n in _path(best)}
+    suspects = {id(n) for n, *_ in named}
+    peers: dict[tuple[int, str], list[Node]] = {}
+    for n in order:
+        if n.up is not None and n.tag in ("section", "div") and n.heading and id(n) not in suspects and 2 * n.link_chars <= n.chars:
+            peers.setdefault((id(n.up), n.tag), []).append(n)
     for node, factor, comments in named:
-        if not comments and not _holds(node, every, id(node) in inside):
+        if not comments and not _holds(node, every, id(node) in inside) and not _section(node, peers.get((id(node.up), node.tag), [])):
             node.factor = factor
     _total(order)
 
 
+def _section(node: Node, peers: list[Node]) -> bool:
+    """Whether a node is a section of a text, named by its subject: only its id says otherwise, and it has a heading and text as its peers have.
+
+    One other <section> is enough, of <div> two, as a page's columns are such too.
+    """
+    if not node.heading or 2 * node.link_chars > node.chars or len(peers) < (1 if node.tag == "section" else 2) or _judged(node.tag, node.names)[0] < 1:
+        return False
+    return 2 * node.density >= min(p.density for p in peers[:64])
+
+
 def _density(node: Node, share: float) -> float:
     """Composite text density; ``share``: the page's linked characters by its characters."""
-    if not node.chars:
-        return 0.0
     plain = max(node.chars - node.link_chars, 1)
     base = math.log(node.chars * node.link_chars / plain + share * node.chars + math.e)
     inner = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
@@ -257,21 +351,29 @@ def _body(order: list[Node]) -> tuple[Node, Node, float]:
     if not best.total:
         best = page
     path = _path(best)
+    way = {id(n) for n in path}
     threshold = min((n.density for n in path if n.tag != "html" and n.chars), default=0.0)
     top, whole = best, best
     for node in path[1:]:
         if node.tag in ("html", "body"):
+            if node.tag == "body" and any(isinstance(x, Node) and not x.furniture and id(x) not in way and _title(x) for x in node.items):
+                top = node
             break
         if node.tag in ("article", "main"):
             top = whole = node
-        elif any(isinstance(x, Node) and not x.furniture and x not in path and _beside(x, threshold) for x in node.items):
+        elif any(isinstance(x, Node) and not x.furniture and id(x) not in way and _beside(x, threshold) for x in node.items):
             top = node
     return top, whole, threshold
 
 
+def _title(node: Node) -> bool:
+    """Whether a block is a title that may stand alone at the page's top level."""
+    return node.chars > 0 and node.factor > 0 and node.tag in ("h1", "header")
+
+
 def _beside(node: Node, threshold: float) -> bool:
     """Whether a block beside the way to the body belongs to the text."""
-    return node.chars > 0 and node.factor > 0 and (node.tag in HEADINGS or node.density * node.factor >= threshold)
+    return node.chars > 0 and node.factor > 0 and (node.tag in HEADINGS or node.tag == "header" or node.density * node.factor >= threshold)
 
 
 def _blocks(top: Node, whole: Node, threshold: float) -> str:
@@ -280,14 +382,18 @@ def _blocks(top: Node, whole: Node, threshold: float) -> str:
     run: list[str] = []
 
     def flush() -> None:
+        if not run:
+            return
         if line := " ".join(html.unescape("".join(run)).split()):
             out.append(line)
         run.clear()
 
     def goes(x: Node) -> bool:
-        if x.furniture or not x.factor or x.factor < 1 and x.density * x.factor < threshold or _linked(x, threshold):
+        if x.furniture or x.block and not x.chars or not x.factor or x.factor < 1 and x.density * x.factor < threshold or _linked(x, threshold):
             return True
-        return x.tag in BLOCK and x.up is not whole and id(x.up) in way and id(x) not in way and not _beside(x, threshold)
+        if x.tag not in BLOCK or x.up is whole or id(x.up) not in way or id(x) in way:
+            return False
+        return not (_title(x) if x.up.tag == "body" else _beside(x, threshold))
 
     way, node = {id(whole)}, whole
     while node is not top:
@@ -316,7 +422,9 @@ def _blocks(top: Node, whole: Node, threshold: float) -> str:
 
 
 def _linked(node: Node, threshold: float) -> bool:
-    """Whether a block of the body is a list of links thinner than the threshold."""
+    """Whether a block of the body is a list of links thinner than the threshold, and not between paragraphs."""
+    if node.between or node.tag == "li" and node.up is not None and node.up.between:
+        return False
     return node.tag in BLOCK and node.link_tags >= 2 and 2 * node.link_chars > node.chars and node.density < threshold
 
 

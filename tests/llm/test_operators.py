@@ -834,3 +834,62 @@ def test_pipeline_of_nothing(spark, tmp_path):
         for stage in (corpus_pipeline.quality, corpus_pipeline.civility, corpus_pipeline.near_copies, corpus_pipeline.passages):
             assert stage(spark, docs, folder).columns == docs.columns
         assert corpus_pipeline.run(spark, folder).count() <= len(rows)
+
+
+LINES = [f"This is sentence number {i} of a text that goes on for quite a while." for i in range(9)]
+MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>"
+FOOT = "<footer><p>© 2024 Somebody. All rights reserved.</p></footer>"
+
+
+def told(a, b):
+    return "".join(f"<p>{x}</p>" for x in LINES[a:b])
+
+
+def sectioned(name, tag="section"):
+    return f"<body>{MENU}<article><h1>The title</h1><{tag} id=intro><h2>One</h2>{told(0, 3)}</{tag}><{tag} id={name}><h2>Two</h2>{told(3, 6)}</{tag}><{tag} id=rest><h2>Three</h2>{told(6, 9)}</{tag}></article>{FOOT}</body>"
+
+
+SECTIONS = ["The title", "One", *LINES[:3], "Two", *LINES[3:6], "Three", *LINES[6:]]
+LINKS = "<ul><li><a href=1>first link</a></li><li><a href=2>second link</a></li></ul>"
+RELATED = "<div class=related><h3>Related</h3><ul><li><a href=1>Some other story</a></li><li><a href=2>And a third one</a></li></ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        *((sectioned(n), SECTIONS) for n in ("navigation", "advertising", "consent", "sharing", "social", "cookies")),
+        (sectioned("notice", "div"), SECTIONS),
+        (f"<body>{MENU}<main><header><h1>The title</h1></header>{told(0, 9)}</main>{FOOT}</body>", ["The title", *LINES]),
+        (f"<body><header><h1>The title</h1></header><div>{told(0, 9)}</div>{FOOT}</body>", ["The title", *LINES]),
+        (f"<body><header><a href=/><h1>Site</h1></a>{MENU}</header><article><h1>The title</h1>{told(0, 9)}</article></body>", ["The title", *LINES]),
+        (f"<body>{MENU}<article>{told(0, 4)}{LINKS}{told(4, 9)}</article>{FOOT}</body>", [*LINES[:4], "first link", "second link", *LINES[4:]]),
+        (f"<body>{MENU}<div><div>{told(0, 4)}{LINKS}{told(4, 9)}</div></div>{FOOT}</body>", [*LINES[:4], "first link", "second link", *LINES[4:]]),
+        (f"<body>{MENU}<article>{told(0, 4)}<div class=ad>Buy one and get one for free, this week only.</div>{told(4, 9)}</article>{RELATED}</body>", LINES),
+        (f"<body>{MENU}<article>{told(0, 9)}{RELATED}</article><aside><p>Aside text</p></aside></body>", LINES),
+        (f"<body><div id=wrapper><div id=main><h2>The title</h2>{told(0, 9)}</div><div id=sidebar><h2>About</h2><p>Somebody writes here, now and then, about this and that.</p></div></div></body>", ["The title", *LINES]),
+        (f"<body>{MENU}<table><tr><td>{LINKS}</td><td><div>{told(0, 9)}</div></td></tr></table></body>", LINES),
+        (f"<body><div class=cookie-banner><p>We use cookies.</p><button>OK</button></div><main><h1>The title</h1>{told(0, 9)}</main><div id=comments><p>Nice!</p></div></body>", ["The title", *LINES]),
+        (f"<body>{MENU}<main><h1>The title</h1><div class=post-content>{told(0, 9)}</div><form><p>Your mail</p></form></main></body>", ["The title", *LINES]),
+    ],
+)
+def test_html_layouts(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div>", "<span>", '<a ">"', "<li>", "</x><div>", "<span><hr>", "<p>", "<tr><td>", "<!--", "<a '\"", "<ul><li>", "<section id=ad>", "<a href=1>x</a>"])
+def test_html_takes_time_in_proportion(unit):
+    import time
+
+    def seconds(n):
+        page = unit * (n // len(unit))
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    seconds(20_000)
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.02)  # sixteen times for quadratic work
+
+
+def test_html_deep_stray_tags():
+    page = "<span>" * 20_000 + "<hr>" * 20_000 + "</x>" * 20_000 + "<p>text</p>"
+    assert html_text.main_text(page) == "text"
