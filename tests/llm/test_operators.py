@@ -146,6 +146,44 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(rows))})
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK, 4000])
+def test_similar_links_a_family_in_blocks(spark, block):
+    """Copies changed so much that some pairs are similar and others just not, among documents that share a passage only."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for _ in range(70):
+        w = list(base)
+        for i in rng.sample(range(len(w)), rng.randint(1, 6)):
+            w[i] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join([*base[:100], *(word() for _ in range(60))]) for _ in range(40)]
+    texts = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").select(F.xxhash64("text").alias("digest"), "text")
+    made = texts.select("digest", "digest", "text").toDF("doc_id", "digest", "text").mapInArrow(similar._nodes(5), "doc_id long, digest long, node long, keys array<bigint>, size long").drop("doc_id")
+    edges = similar.links(made, texts, block=block)
+    roots = {r["node"]: r["root"] for r in shared.connected_components(edges).collect()}
+    nodes = {r["text"]: r["node"] for r in made.join(texts, "digest").collect()}
+    got = collections.defaultdict(set)
+    for t, n in nodes.items():
+        got[roots.get(n, n)].add(t)
+    root = {t: t for t in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if jaccard(x, y) >= 0.8:
+                root[find(x)] = find(y)
+    want = collections.defaultdict(set)
+    for t in nodes:
+        want[find(t)].add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 1 < len(want) < 105
+
+
 def test_similar_keeps_rows_without_ids(spark, corpus):
     docs = documents(spark, corpus)
     kept = similar.keep_first(docs)
