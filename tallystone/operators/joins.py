@@ -1,30 +1,51 @@
 """Joins on intervals and tolerances.
 
-A join on overlap within a key alone compares all rows of the key. Here both sides are cut into cells of a stated
-width, so that the equi-join is on key and cell and a hot key is spread over its cells; a pair that shares
-several cells is kept in the first of them only.
+A join on overlap within a key alone compares all rows of the key. Here the axis is cut into cells, of a stated width at the finest level and twice as wide at each next. An
+interval lives at the level whose cells are no shorter than it, so in two cells at most, however long it is. Intervals of one side look for partners of the other at their own level and above: of
+each pair the shorter looks, in two cells at most of each level that the other side has. The equi-join is on key, level and cell, so a hot key is
+spread over its cells, and a cell holds intervals of half its width at least; a pair that shares two cells is kept in the first of them only.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def _cells(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
-    low, high = F.floor(start / width).cast("long"), F.floor(F.greatest(start, end) / width).cast("long")
-    return df.withColumn("_first", low).withColumn("_cell", F.explode(F.sequence(low, high)))
+
+def _levelled(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Rows with both bounds, their ``_low``, ``_high`` end and ``_level``."""
+    low, high = F.col(start).cast("double"), F.greatest(start, end).cast("double")
+    level = F.greatest(F.ceil(F.log2((high - low) / width)), F.lit(0))
+    return df.dropna(subset=[start, end]).withColumn("_low", low).withColumn("_high", high).withColumn("_level", F.when(high - low <= width, F.lit(0)).otherwise(level).cast("int"))
+
+
+def _within_cells(df: DataFrame, level: Column, width: float) -> DataFrame:
+    """A row for each cell of ``level`` that an interval meets, with ``_first``, the first of them."""
+    size = F.lit(width) * F.pow(F.lit(2.0), level)
+    cell = lambda x: F.floor(F.col(x) / size).cast("long")
+    return df.withColumn("_first", cell("_low")).withColumn("_cell", F.explode(F.sequence("_first", cell("_high"))))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], width: float, slack: float = 0.0, closed: bool = False) -> DataFrame:
     """Pairs of rows that overlap by more than ``slack`` (or, closed, touch), with that ``overlap``.
 
-    ``a`` and ``b`` name start and end on each side; names other than ``on`` must differ. ``width`` is the width of a
-    cell, best near a usual interval's. Rows with a null bound have no pair.
+    ``a`` and ``b`` name start and end on each side; names other than ``on`` must differ. ``width`` is the width of the finest
+    cells, best near a usual interval's. Rows with a null bound have no pair.
     """
-    l = _cells(left.dropna(subset=list(a)), F.col(a[0]), F.col(a[1]), width).withColumnRenamed("_first", "_lfirst")
-    r = _cells(right.dropna(subset=list(b)), F.col(b[0]), F.col(b[1]), width).withColumnRenamed("_first", "_rfirst")
+    l, r = _levelled(left, *a, width), _levelled(right, *b, width)
     common = F.least(a[1], b[1]) - F.greatest(a[0], b[0])
-    pairs = l.join(r, [*on, "_cell"]).where(F.col("_cell") == F.greatest("_lfirst", "_rfirst")).withColumn("overlap", common)
-    return pairs.where(F.col("overlap") >= 0 if closed else F.col("overlap") > slack).drop("_cell", "_lfirst", "_rfirst")
+
+    def met(short: DataFrame, long: DataFrame, strictly: bool) -> DataFrame:
+        """Pairs whose ``long`` one is of a higher level (or the same one, unless ``strictly``)."""
+        levels = sorted(x[0] for x in long.select("_level").distinct().collect())  # some 60 at most
+        at = F.filter(F.lit(levels) if levels else F.array().cast("array<int>"), lambda x: x > F.col("_level") if strictly else x >= F.col("_level"))
+        look = _within_cells(short.withColumn("_at", F.explode(at)), F.col("_at"), width).withColumnRenamed("_first", "_sfirst").drop("_low", "_high", "_level")
+        live = _within_cells(long.withColumn("_at", F.col("_level")), F.col("_at"), width).drop("_low", "_high", "_level")
+        return look.join(live, [*on, "_at", "_cell"]).where(F.col("_cell") == F.greatest("_sfirst", "_first"))
+
+    columns = [*on, *(c for c in left.columns if c not in on), *(c for c in right.columns if c not in on)]
+    pairs = met(l, r, False).select(*columns).unionByName(met(r, l, True).select(*columns)).withColumn("overlap", common)
+    return pairs.where(F.col("overlap") >= 0 if closed else F.col("overlap") > slack)
 
 
 def best_overlap(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], left_id: list[str], right_id: str, width: float) -> DataFrame:
@@ -57,8 +78,7 @@ def tolerance(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str,
 def overlap_or_nearest(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], left_id: list[str], right_id: str, width: float, ratio: float = 0.0, least: float = 0.0) -> DataFrame:
     """Overlapping pairs of at least ``ratio`` of either side; left rows with none get the right row of the nearest middle.
 
-    Columns: ``on``, ``left_id``, ``right_id``, ``nearest``. The nearest is found from each key's sorted middles:
-    the last not after and the first after, by running windows over both sides together.
+    Columns: ``on``, ``left_id``, ``right_id``, ``nearest``. The nearest is the last middle not after a row's, or the first after, of both sides in one order.
     """
     size = lambda s: F.col(s[1]) - F.col(s[0])
     pairs = overlap_pairs(left, right, on, a, b, width, least)
@@ -67,16 +87,13 @@ def overlap_or_nearest(left: DataFrame, right: DataFrame, on: list[str], a: tupl
     hits = pairs.select(*on, *left_id, right_id).withColumn("nearest", F.lit(False))
     alone = left.join(hits.select(*on, *left_id).distinct(), [*on, *left_id], "left_anti")
     middle = lambda s: (F.col(s[0]) + F.col(s[1])) / 2
-    both = alone.select(*on, *left_id, middle(a).alias("_m"), F.lit(None).cast(right.schema[right_id].dataType).alias(right_id)).unionByName(
-        right.groupBy(*on, middle(b).alias("_m")).agg(F.min(right_id).alias(right_id)), allowMissingColumns=True
-    )
-    keys = ", ".join(on)
-    seen = f"case when {right_id} is not null then struct(_m, {right_id} as id) end"
-    back = F.expr(f"last({seen}, true) over (partition by {keys} order by _m range between unbounded preceding and current row)")
-    ahead = F.expr(f"first({seen}, true) over (partition by {keys} order by _m range between current row and unbounded following)")
-    found = both.withColumn("_b", back).withColumn("_a", ahead).where(F.col(right_id).isNull() & F.coalesce("_b", "_a").isNotNull())
+    right_rows = right.groupBy(*on, middle(b).alias("_m")).agg(F.min(right_id).alias(right_id)).withColumn("_seek", F.lit(0))
+    both = alone.select(*on, *left_id, middle(a).alias("_m"), F.lit(1).alias("_seek")).unionByName(right_rows, allowMissingColumns=True).where("_m is not null")
+    seen = both.withColumn("_t", F.when(F.col(right_id).isNotNull(), F.struct("_m", F.col(right_id).alias("id"))))
+    # rows that are looked for come before seekers at the same place
+    found = ranks.neighbours(seen, on, ["_m", "_seek", *left_id], "_t").where((F.col("_seek") == 1) & F.coalesce("prior", "next").isNotNull())
     away = lambda c: F.struct(F.abs(F.col(f"{c}._m") - F.col("_m")).alias("d"), F.col(f"{c}.id").alias("id"))
-    best = F.array_min(F.filter(F.array(away("_b"), away("_a")), lambda x: x["d"].isNotNull()))
+    best = F.array_min(F.filter(F.array(away("prior"), away("next")), lambda x: x["d"].isNotNull()))
     return hits.unionByName(found.select(*on, *left_id, best["id"].alias(right_id), F.lit(True).alias("nearest")))
 
 

@@ -1,104 +1,143 @@
-"""Numbers, running totals and percentiles within keys of any size.
+"""Numbers, running values, neighbours and percentiles within keys of any size.
 
-A key may hold a third of all rows, so no window runs over a whole key. The ordered values are cut into cells at
-quantiles of the first order column; windows run within a cell, and small tables of a row for each key and cell carry what the
-cells before add.
+A key may hold a third of all rows, so no window runs over a whole key. Rows are range-partitioned by key and the whole order, so a hot key, and a
+hot first value of the order, is dealt over as many partitions as its rows need; a partition is a cell. Windows run within a key's cell; of each
+key and cell one row sums up what later cells (or earlier ones) must know, and a window over these few rows carries it on.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from ..sources.written import written
+
+#: Columns made one after the other from the window over a key's cell in order.
+Local = dict[str, Callable[[WindowSpec], Column]]
+
 
-CELLS = 64
+def celled(df: DataFrame, by: list[str], order: list[str], local: Local) -> DataFrame:
+    """``df`` with ``_cell`` (ascending in the order) and ``local`` columns, written once. ``order`` is total within a key; nulls come first."""
+    placed = df.repartitionByRange(*by, *order).withColumn("_cell", F.spark_partition_id())
+    w = W.partitionBy(*by, "_cell").orderBy(*order)
+    for name, make in local.items():
+        placed = placed.withColumn(name, make(w))
+    return written(placed, "cells")
 
 
-def with_cells(df: DataFrame, order: str, cells: int = CELLS) -> DataFrame:
-    """``df`` with ``_cell``, ascending with the numeric column ``order``; equal values share a cell, nulls are in the first."""
-    cuts = sorted(set(df.approxQuantile(order, [i / cells for i in range(1, cells)], 1 / (4 * cells)))) if cells > 1 else []
-    if not cuts:
-        return df.withColumn("_cell", F.lit(0))
-    above = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order).cast("double")))
-    return df.withColumn("_cell", F.coalesce(above, F.lit(0)))
+def cells(done: DataFrame, by: list[str], summary: dict[str, Column]) -> DataFrame:
+    """A row for each key and cell."""
+    return done.groupBy(*by, "_cell").agg(*(c.alias(n) for n, c in summary.items()))
 
 
-def _over(by: list[str], *also: str):
-    return W.partitionBy(*(by or [F.lit(1)]), *also)
+def along(by: list[str]) -> WindowSpec:
+    """The cells of a key in order."""
+    return W.partitionBy(*(by or [F.lit(1)])).orderBy("_cell")
 
 
-def _carried(celled: DataFrame, by: list[str], totals: dict[str, Column], ahead: dict[str, Column] | None = None) -> DataFrame:
-    """By key and cell, what the given expressions over the key's cells are; a row for each key and cell."""
-    return celled.groupBy(*by, "_cell").agg(*(c.alias(n) for n, c in totals.items()), *(c.alias(n) for n, c in (ahead or {}).items()))
+def earlier(by: list[str]) -> WindowSpec:
+    return along(by).rowsBetween(W.unboundedPreceding, -1)
 
 
-def _joined(celled: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+def later(by: list[str]) -> WindowSpec:
+    return along(by).rowsBetween(1, W.unboundedFollowing)
+
+
+def joined(done: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what is known of their key's cell; null keys are keys."""
     keys = [*by, "_cell"]
+    right = small.select(*(F.col(k).alias(f"_rk_k{i}") for i, k in enumerate(keys)), *(c for c in small.columns if c not in keys))
     same = None
-    right = small.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in small.columns if c not in keys))
     for i, k in enumerate(keys):
-        test = celled[k].eqNullSafe(right[f"_k{i}"])
+        test = done[k].eqNullSafe(right[f"_rk_k{i}"])
         same = test if same is None else same & test
-    return celled.join(right, same).drop(*(f"_k{i}" for i in range(len(keys))))
+    return done.join(right, same).drop(*(f"_rk_k{i}" for i in range(len(keys))))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], cells: int = CELLS) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """``df`` with the sums of ``values`` over the rows before each in its key; 0 for the first.
 
-    ``order`` begins with a numeric column and is total within a key; a null value counts as 0. With ``F.lit(1)`` as value the
-    sum is the row's number from 0.
+    ``order`` is total within a key; a null value counts as 0. With ``F.lit(1)`` as value the sum is the row's number from 0.
     """
-    celled = with_cells(df.select("*", *(v.alias(f"_v{i}") for i, v in enumerate(values.values()))), order[0], cells)
-    small = _carried(celled, by, {f"_s{i}": F.sum(f"_v{i}") for i in range(len(values))})
-    before = _over(by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
-    small = small.select(*by, "_cell", *(F.coalesce(F.sum(f"_s{i}").over(before), zero).alias(f"_b{i}") for i in range(len(values))))
-    inner = _over(by, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    done = _joined(celled, small, by)
+    ready = df.select("*", *(v.alias(f"_rk_v{i}") for i, v in enumerate(values.values())))
+    local: Local = {f"_rk_s{i}": lambda w, i=i: F.coalesce(F.sum(f"_rk_v{i}").over(w.rowsBetween(W.unboundedPreceding, -1)), zero) for i in range(len(values))}
+    done = celled(ready, by, order, local)
+    small = cells(done, by, {f"_rk_t{i}": F.sum(f"_rk_v{i}") for i in range(len(values))})
+    small = small.select(*by, "_cell", *(F.coalesce(F.sum(f"_rk_t{i}").over(earlier(by)), zero).alias(f"_rk_b{i}") for i in range(len(values))))
+    done = joined(done, small, by)
     for i, n in enumerate(values):
-        done = done.withColumn(n, F.col(f"_b{i}") + F.coalesce(F.sum(f"_v{i}").over(inner), zero))
-    return done.drop("_cell", *(f"_{x}{i}" for i in range(len(values)) for x in "vb"))
+        done = done.withColumn(n, F.col(f"_rk_b{i}") + F.col(f"_rk_s{i}"))
+    return done.drop("_cell", *(f"_rk_{x}{i}" for i in range(len(values)) for x in "vsb"))
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "n", cells: int = CELLS) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "n") -> DataFrame:
     """``df`` with each row's number in its key, from 0."""
-    return running(df, by, order, {out: F.lit(1).cast("long")}, cells)
+    return running(df, by, order, {out: F.lit(1).cast("long")})
+
+
+def extremes(df: DataFrame, by: list[str], order: list[str], value: str, out: str, least: bool = False, ahead: bool = False, own: bool = True) -> DataFrame:
+    """``df`` with the largest (or least) ``value`` of the rows up to each in its key, or from it on (``ahead``); without ``own``, of the others there."""
+    best, pick = (F.min, F.least) if least else (F.max, F.greatest)
+    edge = 0 if own else 1
+    span = (edge, W.unboundedFollowing) if ahead else (W.unboundedPreceding, -edge)
+    done = celled(df, by, order, {"_rk_x": lambda w: best(value).over(w.rowsBetween(*span))})
+    small = cells(done, by, {"_rk_m": best(value)}).withColumn("_rk_c", best("_rk_m").over(later(by) if ahead else earlier(by))).drop("_rk_m")
+    return joined(done, small, by).withColumn(out, pick("_rk_x", "_rk_c")).drop("_rk_x", "_rk_c", "_cell")
 
 
-def neighbours(df: DataFrame, by: list[str], order: list[str], value: str, cells: int = CELLS) -> DataFrame:
+def neighbours(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """``df`` with ``prior`` and ``next``: the last non-null ``value`` at or before a row of its key, and the first at or after it."""
-    celled = with_cells(df.withColumn("_x", F.struct(F.col(value).alias("v"))).withColumn("_x", F.when(F.col(value).isNotNull(), F.col("_x"))), order[0], cells)
-    place = F.struct(*order)
-    small = _carried(celled, by, {"_l": F.max_by("_x", F.when(F.col(value).isNotNull(), place)), "_f": F.min_by("_x", F.when(F.col(value).isNotNull(), place))})
-    w = _over(by).orderBy("_cell")
-    small = small.select(*by, "_cell", F.last("_l", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_b"), F.first("_f", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_a"))
-    done = _joined(celled, small, by)
-    w = _over(by, "_cell").orderBy(*order)
-    prior = F.coalesce(F.last("_x", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_b"))
-    following = F.coalesce(F.first("_x", True).over(w.rowsBetween(0, W.unboundedFollowing)), F.col("_a"))
-    return done.withColumn("prior", prior["v"]).withColumn("next", following["v"]).drop("_x", "_a", "_b", "_cell")
-
-
-def previous(df: DataFrame, by: list[str], order: list[str], value: str, out: str, cells: int = CELLS) -> DataFrame:
+    ready = df.withColumn("_rk_x", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))))
+    local: Local = {
+        "_rk_p": lambda w: F.last("_rk_x", True).over(w.rowsBetween(W.unboundedPreceding, 0)),
+        "_rk_n": lambda w: F.first("_rk_x", True).over(w.rowsBetween(0, W.unboundedFollowing)),
+    }
+    done = celled(ready, by, order, local)
+    place = F.when(F.col("_rk_x").isNotNull(), F.struct(*order))
+    small = cells(done, by, {"_rk_l": F.max_by("_rk_x", place), "_rk_f": F.min_by("_rk_x", place)})
+    small = small.select(*by, "_cell", F.last("_rk_l", True).over(earlier(by)).alias("_rk_b"), F.first("_rk_f", True).over(later(by)).alias("_rk_a"))
+    done = joined(done, small, by)
+    return done.withColumn("prior", F.coalesce("_rk_p", "_rk_b")["v"]).withColumn("next", F.coalesce("_rk_n", "_rk_a")["v"]).drop("_rk_x", "_rk_p", "_rk_n", "_rk_a", "_rk_b", "_cell")
+
+
+def beside(df: DataFrame, by: list[str], order: list[str], before: dict[str, str], after: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with values of the row before each in its key (``before``: new name to column) and of the row after it; null where there is none."""
+    after = after or {}
+    rows = F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(dict.fromkeys([*before.values(), *after.values()]))))
+    at = {c: f"v{i}" for i, c in enumerate(dict.fromkeys([*before.values(), *after.values()]))}
+    ready = df.withColumn("_rk_row", rows)
+    done = celled(ready, by, order, {"_rk_p": lambda w: F.lag("_rk_row").over(w), "_rk_n": lambda w: F.lead("_rk_row").over(w)})
+    small = cells(done, by, {"_rk_l": F.max_by("_rk_row", F.struct(*order)), "_rk_f": F.min_by("_rk_row", F.struct(*order))})
+    small = small.select(*by, "_cell", F.lag("_rk_l").over(along(by)).alias("_rk_b"), F.lead("_rk_f").over(along(by)).alias("_rk_a"))
+    done = joined(done, small, by)
+    for n, c in before.items():
+        done = done.withColumn(n, F.coalesce("_rk_p", "_rk_b")[at[c]])
+    for n, c in after.items():
+        done = done.withColumn(n, F.coalesce("_rk_n", "_rk_a")[at[c]])
+    return done.drop("_rk_row", "_rk_p", "_rk_n", "_rk_a", "_rk_b", "_cell")
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``df`` with the ``value`` of the row before each in its key, null where it is or where there is none."""
-    celled = with_cells(df, order[0], cells)
-    small = _carried(celled, by, {"_l": F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))})
-    small = small.select(*by, "_cell", F.last("_l").over(_over(by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
-    done = _joined(celled, small, by)
-    w = _over(by, "_cell").orderBy(*order)
-    mine = F.when(F.row_number().over(w) == 1, F.col("_b")["v"]).otherwise(F.lag(value).over(w))
-    return done.withColumn(out, mine).drop("_b", "_cell")
+    return beside(df, by, order, {out: value})
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], shares: list[float], cells: int = CELLS) -> DataFrame:
+def percentiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
     """The keys and ``p``, an array of the exact linear percentiles of ``value`` at ``shares``; nulls don't count.
 
     Values are counted first; of the counts those that hold a wanted rank are kept.
     """
-    levels = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    placed = running(levels, by, [value], {"_from": F.col("_c")}, cells)
-    totals = levels.groupBy(*by).agg(F.sum("_c").alias("_all"))
-    joined = placed.join(totals, by) if by else placed.crossJoin(totals)  # without keys one row
-    at = lambda rank: F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c")), F.col(value).cast("double")))
-    ranks = [F.lit(s) * (F.col("_all") - 1) for s in shares]
-    found = joined.groupBy(*by).agg(F.max("_all").alias("_all"), *(at(F.floor(r)).alias(f"_l{i}") for i, r in enumerate(ranks)), *(at(F.ceil(r)).alias(f"_h{i}") for i, r in enumerate(ranks)))
-    between = [F.col(f"_l{i}") + (r - F.floor(r)) * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i, r in enumerate(ranks)]
+    levels = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_rk_c"))
+    done = celled(levels, by, [value], {"_rk_s": lambda w: F.sum("_rk_c").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    small = cells(done, by, {"_rk_t": F.sum("_rk_c")})
+    whole = W.partitionBy(*(by or [F.lit(1)]))
+    small = small.select(*by, "_cell", F.coalesce(F.sum("_rk_t").over(earlier(by)), F.lit(0)).alias("_rk_b"), F.sum("_rk_t").over(whole).alias("_rk_all"))
+    placed = joined(done, small, by).withColumn("_rk_upto", F.col("_rk_b") + F.col("_rk_s"))
+    at = lambda rank: F.max(F.when((F.col("_rk_upto") - F.col("_rk_c") <= rank) & (rank < F.col("_rk_upto")), F.col(value).cast("double")))
+    ranks = [F.lit(s) * (F.col("_rk_all") - 1) for s in shares]
+    found = placed.groupBy(*by).agg(F.max("_rk_all").alias("_rk_all"), *(at(F.floor(r)).alias(f"_rk_l{i}") for i, r in enumerate(ranks)), *(at(F.ceil(r)).alias(f"_rk_h{i}") for i, r in enumerate(ranks)))
+    between = [F.col(f"_rk_l{i}") + (r - F.floor(r)) * (F.col(f"_rk_h{i}") - F.col(f"_rk_l{i}")) for i, r in enumerate(ranks)]
     return found.select(*by, F.array(*between).alias("p"))

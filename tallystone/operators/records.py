@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .joins import overlap_pairs
 
 EPS = 1e-6
 WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
@@ -66,7 +67,7 @@ def contexts(ranges: DataFrame, words: DataFrame, segments: DataFrame, by: list[
     both = F.col("start").isNotNull() & F.col("end").isNotNull()
     timed = timed.select(*by, ident, "first", "last", F.when(both, F.col("start")).alias("start"), F.when(both, F.col("end")).alias("end"))
     s = segments.select(*by, "lang", "index", F.col("first").alias("_f"), F.col("last").alias("_l"), "text")
-    met = timed.select(*by, ident, "first", "last").join(s, by).where((F.col("_f") <= F.col("last")) & (F.col("first") <= F.col("_l")))
+    met = overlap_pairs(timed.select(*by, ident, "first", "last"), s, by, ("first", "last"), ("_f", "_l"), 8.0, closed=True)
     texts = met.groupBy(*by, ident, "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), " ").alias("context"))
     return timed.join(texts, [*by, ident], "left").select(*by, ident, "start", "end", "lang", "context")
 

@@ -1,16 +1,19 @@
 """Operators on ordered rows within a key.
 
-Where a rule needs only neighbours or running values it is a window; where each step depends on what the steps
-before decided, it is a fold over the key's ordered array (``aggregate``) or ``applyInPandas`` per key. Keys are
-documents, speakers or conversations.
+Where a rule needs only neighbours or running values, keys may have any size (``ranks``); where each step depends on what the steps
+before decided, a key is one Arrow or pandas group. Such keys are documents, speakers or conversations.
 """
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ranks
 
@@ -19,54 +22,70 @@ def sessions(df: DataFrame, by: list[str], start: str, end: str, order: list[str
     """``df`` with ``gap`` to the previous row's end, ``reason`` of a break and ``session`` (from 0 within ``by``).
 
     A session breaks where the speaker differs from the previous row's (null equals null), else where
-    the gap is ``max_gap`` at least. ``reason`` is first, speaker, gap or null.
+    the gap is ``max_gap`` at least. ``reason`` is first, speaker, gap or null. A cell of a key is summed up by its first row, its last row and the breaks after its first row.
     """
-    w = W.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("gap", F.col(start) - F.lag(end).over(w)).withColumn("_n", F.row_number().over(w))
-    changed = ~F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) if speaker else F.lit(False)
-    reason = F.when(F.col("_n") == 1, "first").when(changed, "speaker").when(F.col("gap") >= max_gap, "gap")
-    out = out.withColumn("reason", reason)
-    return out.withColumn("session", (F.count("reason").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("long")).drop("_n")
+    said = F.col(speaker) if speaker else F.lit(None).cast("string")
+    ready = df.withColumn("_row", F.struct(F.col(start).alias("start"), F.col(end).alias("end"), said.alias("speaker")))
+
+    def why(row: Column, last: Column) -> Column:
+        changed = ~row["speaker"].eqNullSafe(last["speaker"])
+        return F.when(last.isNull(), "first").when(changed, "speaker").when(row["start"] - last["end"] >= max_gap, "gap")
+
+    local: ranks.Local = {
+        "_last": lambda w: F.lag("_row").over(w),
+        "_inner": lambda w: F.when(F.col("_last").isNotNull(), why(F.col("_row"), F.col("_last"))),
+        "_count": lambda w: F.count("_inner").over(w.rowsBetween(W.unboundedPreceding, 0)),
+    }
+    done = ranks.celled(ready, by, order, local)
+    place = F.struct(*order)
+    small = ranks.cells(done, by, {"_f": F.min_by("_row", place), "_l": F.max_by("_row", place), "_n": F.max("_count")})
+    small = small.withColumn("_before", F.lag("_l").over(ranks.along(by))).withColumn("_why", why(F.col("_f"), F.col("_before")))
+    breaks = F.coalesce(F.sum(F.col("_n") + F.col("_why").isNotNull().cast("long")).over(ranks.earlier(by)), F.lit(0))
+    small = small.select(*by, "_cell", "_before", "_why", breaks.alias("_b"))
+    done = ranks.joined(done, small, by)
+    first = F.col("_last").isNull()
+    prior = F.when(first, F.col("_before")).otherwise(F.col("_last"))
+    session = F.col("_b") + F.col("_why").isNotNull().cast("long") + F.col("_count") - 1
+    out = done.withColumn("gap", F.col(start) - prior["end"]).withColumn("reason", F.when(first, F.col("_why")).otherwise(F.col("_inner"))).withColumn("session", session.cast("long"))
+    return out.drop("_row", "_last", "_inner", "_count", "_before", "_why", "_b", "_cell")
 
 
 def timeline(df: DataFrame, by: list[str], start: str, end: str, order: list[str]) -> DataFrame:
     """``df`` with ``silence`` and ``trim`` against the largest end so far, and ``offset`` of its untrimmed part in the joined whole."""
-    w = W.partitionBy(*by).orderBy(*order)
-    before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    zero = F.lit(0.0)
-    out = df.withColumn("silence", F.coalesce(F.greatest(F.col(start) - before, zero), zero)).withColumn("trim", F.coalesce(F.greatest(F.least(before - F.col(start), F.col(end) - F.col(start)), zero), zero))
+    reached = ranks.extremes(df, by, order, end, "_reach", own=False)
+    before, zero = F.col("_reach"), F.lit(0.0)
+    out = reached.withColumn("silence", F.coalesce(F.greatest(F.col(start) - before, zero), zero)).withColumn("trim", F.when(before > F.col(start), F.greatest(F.least(before, F.col(end)) - F.col(start), zero)).otherwise(zero)).drop("_reach")
     length = F.col("silence") + F.col(end) - F.col(start) - F.col("trim")
-    return out.withColumn("offset", F.coalesce(F.sum(length).over(w.rowsBetween(W.unboundedPreceding, -1)), zero) + F.col("silence"))
+    return ranks.running(out, by, order, {"offset": length}).withColumn("offset", F.col("offset") + F.col("silence"))
 
 
 def halfway(df: DataFrame, by: list[str], start: str, end: str, order: list[str]) -> DataFrame:
     """``df`` with ``seg_start`` and ``seg_end``: inner boundaries move to the middle of the gap to the neighbour."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn("seg_start", F.coalesce((F.lag(end).over(w) + F.col(start)) / 2, F.col(start))).withColumn("seg_end", F.coalesce((F.col(end) + F.lead(start).over(w)) / 2, F.col(end)))
+    near = ranks.beside(df, by, order, {"_e": end}, {"_s": start})
+    return near.withColumn("seg_start", F.coalesce((F.col("_e") + F.col(start)) / 2, F.col(start))).withColumn("seg_end", F.coalesce((F.col(end) + F.col("_s")) / 2, F.col(end))).drop("_e", "_s")
 
 
 def clusters(df: DataFrame, by: list[str], low: str, high: str, order: list[str], tolerance: float) -> DataFrame:
     """``df`` with ``cluster`` (from 0 within ``by``): a row joins while its low is within ``tolerance`` of the largest high so far."""
-    w = W.partitionBy(*by).orderBy(low, *order)
-    reach = F.max(high).over(w.rowsBetween(W.unboundedPreceding, -1))
-    apart = F.when(reach.isNull() | (F.col(low) > reach + tolerance), 1).otherwise(0)
-    return df.withColumn("_apart", apart).withColumn("cluster", (F.sum("_apart").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("long")).drop("_apart")
+    reached = ranks.extremes(df, by, [low, *order], high, "_reach", own=False)
+    apart = F.when(F.col("_reach").isNull() | (F.col(low) > F.col("_reach") + tolerance), 1).otherwise(0)
+    counted = ranks.running(reached.withColumn("_apart", apart), by, [low, *order], {"_before": F.col("_apart")})
+    return counted.withColumn("cluster", (F.col("_before") + F.col("_apart") - 1).cast("long")).drop("_apart", "_before", "_reach")
 
 
 def running_maximum(df: DataFrame, by: list[str], value: str, order: list[str], out: str) -> DataFrame:
     """``df`` with the largest value so far; a null carries the last."""
-    return df.withColumn(out, F.max(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return ranks.extremes(df, by, order, value, out)
 
 
 def suffix_minimum(df: DataFrame, by: list[str], value: str, order: list[str], out: str) -> DataFrame:
     """``df`` with the smallest value from the row on."""
-    return df.withColumn(out, F.min(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(0, W.unboundedFollowing)))
+    return ranks.extremes(df, by, order, value, out, least=True, ahead=True)
 
 
 def backward_steps(df: DataFrame, by: list[str], start: str, end: str, order: list[str], slack: float = 0.01) -> DataFrame:
     """By group, ``n_backward`` rows that start before the previous one by more than ``slack``, and ``n_overlap`` that start before its end."""
-    w = W.partitionBy(*by).orderBy(*order)
-    seen = df.withColumn("_s", F.lag(start).over(w)).withColumn("_e", F.lag(end).over(w))
+    seen = ranks.beside(df, by, order, {"_s": start, "_e": end})
     return seen.groupBy(*by).agg(F.count_if(F.col(start) < F.col("_s") - slack).alias("n_backward"), F.count_if(F.col(start) < F.col("_e")).alias("n_overlap"))
 
 
@@ -117,14 +136,24 @@ def shuffled(df: DataFrame, keys: list[str], seed: int, out: str = "place") -> D
     return df.withColumn(out, F.xxhash64(F.lit(seed), *keys))
 
 
-def _folded(df: DataFrame, by: list[str], order: list[str], size: Column, close, out: str) -> DataFrame:
-    """``df`` with the number of the group of each row, from a fold over the key's ordered rows."""
-    keyed = df.withColumn("_row", F.struct(*order, *(c for c in df.columns if c not in (*by, *order)))).withColumn("_size", size)
-    lists = keyed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_row", "_size"))).alias("_rows"))
-    start = F.struct(F.lit(0).cast("long").alias("group"), F.lit(0.0).alias("filled"), F.lit(0).cast("long").alias("count"), F.array().cast("array<bigint>").alias("groups"))
-    folded = F.aggregate("_rows", start, lambda s, r: close(s, r["_size"]), lambda s: s["groups"])
-    rows = lists.withColumn("_groups", folded).select(*by, F.explode(F.arrays_zip("_rows", "_groups")).alias("_z"))
-    return rows.select(*by, *(F.col(f"_z._rows._row.{c}").alias(c) for c in df.columns if c not in by), F.col("_z._groups").alias(out))
+def _folded(df: DataFrame, by: list[str], order: list[str], size: Column, close: Callable[[float, int, float], tuple[bool, float, int]], out: str) -> DataFrame:
+    """``df`` with the number of the group of each row. ``close`` tells of what a group has filled and counts, and of a row's size, whether a new group begins, and what it then has.
+
+    Each step depends on those before; a key's sizes are one column in one task, its other columns stay where they are.
+    """
+    keyed = df.withColumn("_size", size)
+    schema = T.StructType([*(f for f in keyed.schema.fields if f.name != "_size"), T.StructField(out, T.LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        groups, group, filled, count = [], 0, 0.0, 0
+        for x in table.column("_size").to_pylist():
+            begins, filled, count = close(filled, count, x or 0.0)
+            group += begins
+            groups.append(group)
+        return table.drop_columns(["_size"]).append_column(out, pa.array(groups, pa.int64()))
+
+    return keyed.groupBy(*by).applyInArrow(run, schema)
 
 
 def packed(df: DataFrame, by: list[str], order: list[str], size: Column, limit: float, max_count: int, joint: float = 0, out: str = "bin") -> DataFrame:
@@ -133,15 +162,10 @@ def packed(df: DataFrame, by: list[str], order: list[str], size: Column, limit:
     ``joint`` is added for each row but a bin's first. A row over the limit stands alone.
     """
 
-    def close(s, size):
-        full = (s["count"] > 0) & ((s["count"] >= max_count) | (s["filled"] + joint + size > limit))
-        group = F.when(full, s["group"] + 1).otherwise(s["group"])
-        return F.struct(
-            group.alias("group"),
-            F.when(full | (s["count"] == 0), size).otherwise(s["filled"] + joint + size).alias("filled"),
-            F.when(full, F.lit(1).cast("long")).otherwise(s["count"] + 1).alias("count"),
-            F.array_append(s["groups"], group).alias("groups"),
-        )
+    def close(filled: float, count: int, own: float) -> tuple[bool, float, int]:
+        if count and (count >= max_count or filled + joint + own > limit):
+            return True, own, 1
+        return False, own if not count else filled + joint + own, count + 1
 
     return _folded(df, by, order, size.cast("double"), close, out)
 
@@ -149,15 +173,9 @@ def packed(df: DataFrame, by: list[str], order: list[str], size: Column, limit:
 def paginated(df: DataFrame, by: list[str], order: list[str], seconds: Column, limit: float, out: str = "page") -> DataFrame:
     """Pages that close after reaching ``limit`` seconds; 0 never closes."""
 
-    def close(s, size):
-        filled = s["filled"] + size
-        full = (F.lit(limit) > 0) & (filled >= limit)
-        return F.struct(
-            F.when(full, s["group"] + 1).otherwise(s["group"]).alias("group"),
-            F.when(full, F.lit(0.0)).otherwise(filled).alias("filled"),
-            s["count"].alias("count"),
-            F.array_append(s["groups"], s["group"]).alias("groups"),
-        )
+    def close(filled: float, count: int, own: float) -> tuple[bool, float, int]:
+        full = limit > 0 and filled >= limit
+        return full, own if full else filled + own, count + 1
 
     return _folded(df, by, order, seconds.cast("double"), close, out)
 

@@ -37,7 +37,7 @@ def w1_break_reasons(spark, sf_dir):
 
 @query("w2_timeline", f"""
 with m as (select *, max(fin) over (partition by user_id order by beg, event_id rows between unbounded preceding and 1 preceding) as reach from {TIMELINE}),
-  x as (select *, coalesce(greatest(beg - reach, 0), 0) as silence, coalesce(greatest(least(reach - beg, fin - beg), 0), 0) as trim from m)
+  x as (select *, coalesce(greatest(beg - reach, 0), 0) as silence, case when reach > beg then greatest(least(reach, fin) - beg, 0) else 0 end as trim from m)
 select event_id, round(silence, 3) as silence, round(trim, 3) as trim,
   round(coalesce(sum(silence + fin - beg - trim) over (partition by user_id order by beg, event_id rows between unbounded preceding and 1 preceding), 0) + silence, 2) as placed_at from x""")
 def w2_timeline(spark, sf_dir):
