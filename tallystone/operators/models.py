@@ -77,3 +77,30 @@ def roles(systems: DataFrame, source_language: str) -> DataFrame:
     src = F.col("lan") == source_language
     role = F.when(src & ~F.col("is_human") & first, "asr").when(src & F.col("is_human") & first, "gold").when(~src & F.col("is_human"), "reference").when(~src, "target").otherwise("other")
     return systems.join(firsts, group).select("document", "pos", "system", role.alias("role"))
+
+
+def in_rounds(prompts: DataFrame, make: Callable[[int], Backend], path: str, rounds: int = 3, batch: int = 64) -> DataFrame:
+    """``key``, ``status`` (ok or ERROR), ``answer`` and ``round`` (null for errors) of prompts (distinct ``key``, ``prompt``), those that failed asked again.
+
+    ``make(n)`` makes the backend of round n, from 1. Each round asks what has no answer under ``path`` and adds its answers there when all are known, so a run that
+    was lost goes on with the round it died in. After the last round what is still missing is an ERROR row; a later call asks it again, from the first round on.
+    """
+    spark = prompts.sparkSession
+    kind = "key string, answer string, round int"
+
+    def known() -> DataFrame:
+        try:
+            return spark.read.schema(kind).parquet(path)
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return spark.createDataFrame([], kind)
+
+    for n in range(1, rounds + 1):
+        missing = prompts.select("key", "prompt").join(known(), "key", "left_anti")
+        if missing.isEmpty():
+            break
+        fresh = generate(missing, lambda n=n: make(n), batch).where("answer is not null")
+        fresh.select("key", "answer", F.lit(n).alias("round")).write.mode("append").parquet(path)
+    status = F.when(F.col("answer").isNotNull(), "ok").otherwise("ERROR")
+    return prompts.select("key").join(known(), "key", "left").select("key", status.alias("status"), "answer", "round")
