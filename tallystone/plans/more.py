@@ -6,6 +6,7 @@ from ..functions import spans as sp
 from ..functions import statistics as st
 from ..functions import text as tx
 from ..operators import models, ranks, votes
+from ..operators import selections as se
 from .base import FLAGS, MCNEMAR, TIMELINE, flags, query, table, timeline, wilson_sql
 from .texts import HUMAN, MODEL, _spans
 
@@ -41,19 +42,18 @@ def p7_violations(spark, sf_dir):
 @query("p9_selected_targets", f"select doc_id from {FLAGS} where (case when level > 1 then level end is null or level >= 3) and lang in ('en', 'de') and quality = 1")
 def p9_selected_targets(spark, sf_dir):
     rated = flags(spark, sf_dir).withColumn("rating", F.when(F.col("level") > 1, F.col("level")))
-    return rated.where("(rating is null or rating >= 3) and lang in ('en', 'de') and quality = 1").select("doc_id")
+    return rated.where(se.wanted(F.col("rating"), language=F.col("lang"), source=F.col("quality"), least=3, languages=["en", "de"], sources=[1])).select("doc_id")
 
 
 @query("p13_implicated", "select l_orderkey, bool_or(l_returnflag = 'R' or contains(lower(l_linestatus), 'o')) as implicated from lineitem group by l_orderkey")
 def p13_implicated(spark, sf_dir):
     t = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_linestatus")).alias("t"))
-    return t.select("l_orderkey", F.exists("t", lambda x: (x["l_returnflag"] == "R") | F.contains(F.lower(x["l_linestatus"]), F.lit("o"))).alias("implicated"))
+    return t.select("l_orderkey", se.implicated(F.col("t"), "l_returnflag", "l_linestatus", F.lit("R"), "O").alias("implicated"))
 
 
 @query("p14_valid_spans", f"select count(*) as n, sum((beg is not null and fin is not null and beg >= 0 and fin > beg and fin <= 1706572800 + 1.0)::int)::bigint as valid from {TIMELINE}")
 def p14_valid_spans(spark, sf_dir):
-    good = F.col("beg").isNotNull() & F.col("fin").isNotNull() & (F.col("beg") >= 0) & (F.col("fin") > F.col("beg")) & (F.col("fin") <= F.lit(1706572800) + 1.0)
-    return timeline(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(good).alias("valid"))
+    return timeline(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(se.valid_span(F.col("beg"), F.col("fin"), F.lit(1706572800))).alias("valid"))
 
 
 @query("p17_roles", """
@@ -88,7 +88,7 @@ def a28_distinct_sets(spark, sf_dir):
 
 @query("a30_failure_reasons", "select event_type as reason, count(*) as n, min(event_id) as first from events where value < 10 group by event_type")
 def a30_failure_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value < 10").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    return se.reasons(table(spark, sf_dir, "events").where("value < 10"), "event_type", "event_id")
 
 
 @query("a31_violated_conditions", """
@@ -96,14 +96,12 @@ select l_orderkey, array_to_string(list_filter([case when count(*) < 2 then 'few
 from lineitem group by l_orderkey""")
 def a31_violated_conditions(spark, sf_dir):
     g = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.max("l_tax").alias("t"))
-    problems = F.array_compact(F.array(F.when(F.col("n") < 2, "few"), F.when(~F.col("r"), "no return"), F.when(F.col("t") > 0.07, "taxed")))
-    return g.select("l_orderkey", F.array_join(problems, ", ").alias("problems"))
+    return g.select("l_orderkey", F.array_join(se.violated({"few": F.col("n") >= 2, "no return": F.col("r"), "taxed": F.col("t") <= 0.07}), ", ").alias("problems"))
 
 
 @query("a33_first_appearance", "select source, min(doc_id) as first, row_number() over (order by min(doc_id))::int as place from documents group by source")
 def a33_first_appearance(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
-    return g.withColumn("place", F.expr("row_number() over (order by first)").cast("int"))
+    return se.in_order_of_appearance(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
 CI = "select source, case when n > 0 then {lo} end as lo, case when n > 0 then {hi} end as hi from (select source, sum((toxic = 1)::int) as k, count(*) as n from {flags} group by source)"
@@ -167,38 +165,43 @@ def t17_kappa_matrix(spark, sf_dir):
     return st.agreement(p, "v_a", "v_b", ["rater_a", "rater_b"]).select(F.col("rater_a").alias("a"), F.col("rater_b").alias("b"), F.round("kappa", 6).alias("kappa"))
 
 
-@query("t18_universe", "select count(*) as n from ((select l_orderkey from lineitem where l_returnflag = 'R') intersect (select l_orderkey from lineitem where l_returnflag = 'A'))")
+@query("t18_universe", """
+with g as (select distinct l_orderkey from lineitem where l_tax > 0.05), d as (select l_orderkey from lineitem where l_returnflag = 'R' intersect select l_orderkey from lineitem where l_returnflag = 'A'),
+  f as (select distinct l_orderkey from lineitem where l_returnflag = 'R' or l_returnflag = 'N' and l_tax > 0.03)
+select 'input' as way, count(*) as n, sum(l_orderkey)::bigint as total from g union all select 'ledgers', count(*), sum(l_orderkey)::bigint from d union all select 'flagged', count(*), sum(l_orderkey)::bigint from f""")
 def t18_universe(spark, sf_dir):
-    side = lambda f: _lines(spark, sf_dir).where(F.col("l_returnflag") == f).select("l_orderkey")
-    return side("R").intersect(side("A")).agg(F.count("*").alias("n"))
+    side = lambda f: _lines(spark, sf_dir).where(F.col("l_returnflag") == f)
+    every = lambda name, df: df.agg(F.lit(name).alias("way"), F.count("*").alias("n"), F.sum("l_orderkey").alias("total"))
+    given = se.universe(["l_orderkey"], _lines(spark, sf_dir).where("l_tax > 0.05"), [side("R")], [side("N")])
+    done = se.universe(["l_orderkey"], None, [side("R"), side("A")], [side("N")])
+    flagged = se.universe(["l_orderkey"], None, None, [side("R"), side("N").where("l_tax > 0.03")])
+    return every("input", given).union(every("ledgers", done)).union(every("flagged", flagged))
 
 
 @query("t19_late_words", f"select user_id, sum((fin >= 1705276800)::int)::bigint as late, count(*) as n from {TIMELINE} group by user_id")
 def t19_late_words(spark, sf_dir):
-    return timeline(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("fin") >= 1705276800).alias("late"), F.count("*").alias("n"))
+    return se.lateness(timeline(spark, sf_dir), ["user_id"], "fin", F.lit(1705276800))
 
 
 @query("w21_proportional_split", """
 with c as (select conv_id, turn, role, text, length(text) as n, sum(length(text)) over (partition by conv_id order by turn, role, text rows unbounded preceding) - length(text) / 2.0 as middle, sum(length(text)) over (partition by conv_id) as total from conversations)
 select conv_id, turn, n, least(2, floor(3 * middle / total))::int as part from c where total > 0""")
 def w21_proportional_split(spark, sf_dir):
-    w = "over (partition by conv_id order by turn, role, text rows unbounded preceding)"
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.length("text").cast("long")).withColumn("middle", F.expr(f"sum(n) {w} - n / 2.0D")).withColumn("total", F.expr("sum(n) over (partition by conv_id)"))
-    return c.where("total > 0").select("conv_id", "turn", "n", F.least(F.lit(2), F.floor(3 * F.col("middle") / F.col("total"))).cast("int").alias("part"))
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.length("text").cast("long"))
+    return se.proportional_parts(c, ["conv_id"], ["turn", "role", "text"], F.col("n"), 3).select("conv_id", "turn", "n", "part")
 
 
 @query("w22_prefix_walk", """
 with c as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as k, sum(length(text) + 1) over (partition by conv_id order by turn, role, text rows unbounded preceding) - 1 as upto from conversations)
 select conv_id, min(k) as k from c where upto >= 800 group by conv_id""")
 def w22_prefix_walk(spark, sf_dir):
-    w = "over (partition by conv_id order by turn, role, text"
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.expr(f"row_number() {w})").cast("long").alias("k"), F.expr(f"sum(length(text) + 1) {w} rows unbounded preceding) - 1").alias("upto"))
-    return c.where("upto >= 800").groupBy("conv_id").agg(F.min("k").alias("k"))
+    return se.prefix_walk(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], "text", 800)
 
 
 @query("i15_widened", f"select user_id, round(min(beg), 3) as lo, round(max(fin), 3) as hi from {TIMELINE} group by user_id")
 def i15_widened(spark, sf_dir):
-    return timeline(spark, sf_dir).groupBy("user_id").agg(F.round(F.min("beg"), 3).alias("lo"), F.round(F.max("fin"), 3).alias("hi"))
+    w = se.widened(timeline(spark, sf_dir), ["user_id"], "beg", "fin")
+    return w.select("user_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
 @query("i16_unmatched_spans", f"with {HUMAN}, {MODEL} select count(*) as n from h where not exists (select 1 from m where m.l_orderkey = h.l_orderkey and m.lo < h.hi and h.lo < m.hi)")
@@ -236,8 +239,7 @@ def f25_language_names(spark, sf_dir):
 @query("f27_prompts", "select conv_id, md5(string_agg('[' || k || '] ' || role || ': ' || text, chr(10) order by k)) as prompt from (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations) group by conv_id")
 def f27_prompts(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    body = F.transform(rows, lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), r["role"], F.lit(": "), r["text"]))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(body, "\n")).alias("prompt"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.md5(se.chat(F.col("rows"), "role", "text")).alias("prompt"))
 
 
 @query("o1_sorted", "select doc_id, row_number() over (order by lang, n_chars desc, doc_id)::int as place from documents")
@@ -261,10 +263,12 @@ def u6_ordered_distinct(spark, sf_dir):
     return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda r: r["lang"]), ",").alias("langs"))
 
 
-@query("j21_jobs", "select o_orderstatus, count(*)::bigint as n from orders, range(3) r(i), range(2) q(j) group by o_orderstatus")
+@query("j21_jobs", "select 's' || i as span, t as target, 'r' || k as rule, count(*) as n, min(o_orderkey) as first from orders, range(1, 4) a(i), (values ('a'), ('b')) b(t), range(1, 5) c(k) where k <= o_custkey % 5 group by all")
 def j21_jobs(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").select("o_orderstatus", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("o_orderstatus", "i", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("j"))
-    return jobs.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    many = lambda n, what: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit(what), i.cast("string")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    done = se.jobs(o, many(F.lit(3), "s"), F.array(F.lit("a"), F.lit("b")), F.when(F.col("o_custkey") % 5 > 0, many((F.col("o_custkey") % 5).cast("int"), "r")))
+    return done.groupBy("span", "target", "rule").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("j24_by_position", "with a as (select c_nationkey as doc, c_name, row_number() over (partition by c_nationkey order by c_custkey) as k from customer), b as (select s_nationkey as doc, s_name, row_number() over (partition by s_nationkey order by s_suppkey) as k from supplier) select doc, k, c_name, s_name from a join b using (doc, k)")

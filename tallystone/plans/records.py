@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import selections as se
 from ..operators import models
 from ..operators import records as rc
 from .base import TIMELINE, flags, query, rounded, table, timeline
@@ -295,13 +296,13 @@ def m18_dummy_verifier(spark, sf_dir):
 @query("p1_projected", "select source, string_agg(lang || ':' || n, ',' order by lang) as kept from (select source, lang, count(*) as n from documents where lang in ('de', 'en') group by all) group by source")
 def p1_projected(spark, sf_dir):
     m = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
-    kept = F.map_filter("m", lambda k, _: k.isin("de", "en"))
-    return m.where(F.size(kept) > 0).select("source", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("kept"))
+    kept = m.select("source", se.projected(F.col("m"), ["de", "xx", "en"]).alias("kept")).where(F.size("kept") > 0)
+    return kept.select("source", F.array_join(F.transform("kept", lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("kept"))
 
 
 @query("p11_vote_counts", "select l_orderkey, count(distinct l_suppkey) as voters from lineitem where l_tax > 0.03 group by l_orderkey having count(distinct l_suppkey) >= 2")
 def p11_vote_counts(spark, sf_dir):
-    return _lines(spark, sf_dir).where("l_tax > 0.03").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("voters")).where("voters >= 2")
+    return se.voted(_lines(spark, sf_dir).where("l_tax > 0.03"), ["l_orderkey"], "l_suppkey", 2)
 
 
 @query("p21_usable_times", "select l_orderkey, l_orderkey % 3 > 0 as usable from (select distinct l_orderkey from lineitem)")
@@ -311,34 +312,34 @@ def p21_usable_times(spark, sf_dir):
     return w.select("l_orderkey", rc.usable_times(F.col("words")).alias("usable"))
 
 
-@query("p22_provenance", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag not in ('A', 'N'))")
+@query("p22_provenance", """
+with c as (select conv_id, turn, (conv_id + turn) % 7 as h, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') as t from conversations)
+select conv_id, turn, h > 0 as found from c where h = 0 or h = 2""")
 def p22_provenance(spark, sf_dir):
-    """Records with a value from elsewhere than the sources allowed."""
-    l = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_returnflag").alias("from"))  # noqa: E741
-    return l.where(~F.forall("from", lambda x: x.isin("A", "N"))).select("o_orderkey")
+    """Turns whose text isn't that of their line in the transcript, which lacks some lines and has others with more or other words."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    h = F.col("conv_id") + F.col("turn")
+    lines = c.where(h % 7 > 0).select("conv_id", "turn", F.when(h % 7 == 1, F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "))).when(h % 7 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("line_text"))
+    return se.unlike_source(c, lines, ["conv_id", "turn"]).select("conv_id", "turn", "found")
 
 
 @query("o2_by_rate", "select source, row_number() over (order by round(avg(toxic), 9) desc, source)::int as place from (select l.toxic, d.source from labels l join documents d using (doc_id)) group by source")
 def o2_by_rate(spark, sf_dir):
-    r = flags(spark, sf_dir).groupBy("source").agg(F.round(F.avg("toxic"), 9).alias("rate"))  # a row for each source
-    return r.select("source", F.expr("row_number() over (order by rate desc, source)").cast("int").alias("place"))
+    return se.by_rate(flags(spark, sf_dir), "source", F.round(F.avg("toxic"), 9))
 
 
 @query("o4_first_documents", "select conv_id, turn, role from conversations where conv_id in (select distinct conv_id from conversations order by conv_id limit 3)")
 def o4_first_documents(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.join(F.broadcast(c.select("conv_id").distinct().orderBy("conv_id").limit(3)), "conv_id").select("conv_id", "turn", "role")  # three rows
+    return se.first_documents(table(spark, sf_dir, "conversations"), "conv_id", 3).select("conv_id", "turn", "role")
 
 
 @query("o6_by_list", "select distinct l_linestatus, case l_linestatus when 'F' then 1 when 'X' then 2 else 3 end as place from lineitem")
 def o6_by_list(spark, sf_dir):
-    order = F.array(F.lit("F"), F.lit("X"))
-    at = F.array_position(order, F.col("l_linestatus"))
-    return _lines(spark, sf_dir).select("l_linestatus").distinct().select("l_linestatus", F.when(at > 0, at).otherwise(3).cast("int").alias("place"))
+    return se.placed_by_list(_lines(spark, sf_dir).select("l_linestatus").distinct(), "l_linestatus", ["F", "X"])
 
 
 @query("u9_updated", "select c_custkey, case when c_custkey % 4 = 0 then 'new' else c_mktsegment end as segment, case when c_custkey % 6 = 0 then 'name ' || c_custkey else c_name end as name from customer")
 def u9_updated(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
-    given = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "new").alias("_segment"), F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("name "), "c_custkey")).alias("_name"))
-    return c.join(given, "c_custkey", "left").select("c_custkey", F.coalesce("_segment", "segment").alias("segment"), F.coalesce("_name", "name").alias("name"))
+    given = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "new").alias("segment"), F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("name "), "c_custkey")).alias("name"))
+    return se.updated(c, given, ["c_custkey"], ["segment", "name"])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import selections as se
 from ..operators import joins
 from ..operators import sequences as sq
 from .base import TIMELINE, query, rounded, table, timeline
@@ -161,7 +162,7 @@ def w18_suffix_minimum(spark, sf_dir):
 @query("w20_rule_numbers", "select l_orderkey, l_partkey, l_suppkey, count(*) as n, l_orderkey || '.r' || row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) as rule from lineitem group by l_orderkey, l_partkey, l_suppkey")
 def w20_rule_numbers(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return r.withColumn("rule", F.expr("l_orderkey || '.r' || row_number() over (partition by l_orderkey order by l_partkey, l_suppkey)"))
+    return se.numbered_rules(r, "l_orderkey", ["l_partkey", "l_suppkey"])
 
 
 @query("w23_shuffled")
