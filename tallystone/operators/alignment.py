@@ -120,3 +120,21 @@ def locate_quotes(quotes: list[list[str]], text: list[str], slack: int = 10) ->
         out.append((start, min(len(text), start + len(quote))))
         position += block.b
     return out
+
+
+def located_quotes(quotes: DataFrame, texts: DataFrame, by: list[str], slack: int = 10) -> DataFrame:
+    """``by``, ``pos``, ``first`` and ``last`` word (from 0, both included; null where nothing matches) of quotes (``by``, ``pos``, ``quote``) in texts (``by``, ``text``), searched forward.
+
+    Where a quote is sought depends on the ones before it, so a document's quotes are one group. Documents without a text find nothing.
+    """
+
+    def run(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        q = q.sort_values("pos")
+        text = (t["text"].iloc[0] or "").split() if len(t) else []
+        found = locate_quotes([(x or "").split() for x in q["quote"]], text, slack)
+        first, last = ([None if f is None or f[1] <= f[0] else f[0] + (f[1] - f[0] - 1) * k for f in found] for k in (0, 1))
+        return pd.DataFrame({**dict(zip(by, ([k] * len(q) for k in key))), "pos": q["pos"].to_numpy(), "first": pd.array(first, "Int64"), "last": pd.array(last, "Int64")})
+
+    kinds = dict(quotes.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "pos long, first long, last long"])
+    return quotes.select(*by, "pos", "quote").groupBy(*by).cogroup(texts.select(*by, "text").groupBy(*by)).applyInPandas(run, schema)

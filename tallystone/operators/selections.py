@@ -158,3 +158,31 @@ def chat(rows: Column, role: str, text: str) -> Column:
     """A prompt of an array of turns, a line each: number in brackets, role and text; missing texts are empty."""
     told = lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(r[role], F.lit("")), F.lit(": "), F.coalesce(r[text], F.lit("")))
     return F.array_join(F.transform(rows, told), "\n")
+
+
+def stratum(confidence: Column, which: str, sure: float = 1.0, borderline: float = 0.5) -> Column:
+    """Whether a confidence is in a stratum: ``all``, ``harmful`` (``sure`` at least) or ``borderline`` (``borderline`` at least, less than ``sure``). An unknown confidence is in ``all`` only."""
+    within = {"all": F.lit(True), "harmful": confidence >= sure, "borderline": (confidence >= borderline) & (confidence < sure)}
+    return F.coalesce(within[which], F.lit(False))
+
+
+def shown_to(system: Column, asr_system: Column, language: Column, languages: list[str] | None, with_asr: bool = True) -> Column:
+    """Whether a target is wanted: the transcript's by ``with_asr`` alone, translations by their language, if any is asked for."""
+    other = F.coalesce(language.isin(*languages), F.lit(False)) if languages else F.lit(True)
+    return F.when(F.coalesce(system == asr_system, F.lit(False)), F.lit(with_asr)).otherwise(other)
+
+
+def plain_segments(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """Machine translations as segments: ``segment``, trimmed, and ``id`` where there is one; null and blank texts stay as empty segments."""
+    return rows.select(F.trim(F.coalesce(text, F.lit(""))).alias("segment"), F.col(ident).alias("id"))
+
+
+def sentence_text(words: Column, word: str, offset: str) -> Column:
+    """The words of an array joined as they were spaced: with a space where a word begins later than the last one ended, with single spaces where offsets are unknown."""
+
+    def joined(s: Column, w: Column) -> Column:
+        known = s["end"].isNotNull() & w[offset].isNotNull()
+        gap = F.when(s["text"] == "", "").when(known & (w[offset] <= s["end"]), "").otherwise(" ")
+        return F.struct(F.concat(s["text"], gap, w[word]).alias("text"), (w[offset] + F.length(w[word])).cast("int").alias("end"))
+
+    return F.aggregate(words, F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("end")), joined, lambda s: s["text"])

@@ -280,3 +280,18 @@ def test_dense_and_relational_vectors_agree(spark):
         assert np.allclose(row, [sparse[i].get(k, 0.0) for k in range(128)], atol=1e-6)
     encoded = {r["text"]: r["vector"] for r in encoders.encoded(rows.union(rows), lambda: encoders.trigram_encoder(128, 3)).collect()}
     assert len(encoded) == 5 and np.allclose(encoded["A"], dense[2])
+
+
+def test_located_quotes(spark, sf):
+    from tallystone.plans import parsers
+
+    docs = {r["doc_id"]: (r["text"] or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in parsers.i17_located_quotes(spark, sf).collect():
+        got[r["doc_id"], r["pos"]] = (r["first"], r["last"])
+    for i, w in docs.items():
+        quotes = [w[2:6], [*w[8:11], "##", *w[12:14]], ["##"]]
+        found = alignment.locate_quotes(quotes, w)
+        assert [got[i, k] for k in range(3)] == [(None, None) if f is None or f[1] <= f[0] else (f[0], f[1] - 1) for f in found]
+    long = [i for i, w in docs.items() if len(set(w[:14])) == 14]
+    assert sum(got[i, 0] == (2, 5) and got[i, 1] == (8, 13) for i in long) > 0.9 * len(long) > 5
