@@ -12,6 +12,11 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
 
 
+def _ordered_files(df, part, order, value, path):
+    """Text files, one for each value of ``part``, their lines in order."""
+    df.withColumn("part", part).repartition("part").sortWithinPartitions("part", *order).select("part", value.alias("value")).write.partitionBy("part").text(path)
+
+
 @query("s1_jsonl", "select doc_id, lang, md5(text) as digest from documents")
 def s1_jsonl(spark, sf_dir):
     """Written as JSON lines with nulls kept, read strictly."""
@@ -20,12 +25,13 @@ def s1_jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-@query("s2_line_numbers", "select count(*) as n, sum(line)::bigint as total, max(line)::bigint as last from (select row_number() over (order by o_orderkey) - 1 as line from orders)")
+@query("s2_line_numbers", "select part::bigint as part, count(*) as n, sum(line)::bigint as total, max(line)::bigint as last from (select o_orderkey % 16 as part, row_number() over (partition by o_orderkey % 16 order by o_orderkey) - 1 as line from orders) group by part")
 def s2_line_numbers(spark, sf_dir):
-    """Lines of one file keep their numbers, whatever its splits."""
+    """Lines keep their numbers within their file, whatever its splits."""
     path = scratch(spark, "lines")
-    table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.to_json(F.struct("o_orderkey")).alias("value")).coalesce(1).write.text(path)
-    return readers.lines(spark, path).agg(F.count("*").alias("n"), F.sum("_line").alias("total"), F.max("_line").cast("long").alias("last"))
+    _ordered_files(table(spark, sf_dir, "orders"), F.col("o_orderkey") % 16, ["o_orderkey"], F.to_json(F.struct("o_orderkey")), path)
+    part = F.regexp_extract("_file", r"part=(\d+)", 1).cast("long")
+    return readers.lines(spark, path).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("_line").alias("total"), F.max("_line").alias("last"))
 
 
 @query("s3_lossy_jsonl", "select o_orderkey from orders where o_orderkey % 5 > 0")
@@ -56,20 +62,22 @@ def s6_shards_read(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
 
 
-@query("s10_order_file", "select p_partkey, row_number() over (order by p_partkey desc)::int as place from part where p_size % 3 = 0")
+@query("s10_order_file", "select p_size % 8 as part, p_partkey, row_number() over (partition by p_size % 8 order by p_partkey desc)::int as place from part")
 def s10_order_file(spark, sf_dir):
-    """Keys in the order of a file."""
+    """Keys in the order of their file."""
     path = scratch(spark, "order")
-    table(spark, sf_dir, "part").where("p_size % 3 = 0").orderBy(F.desc("p_partkey")).select(F.col("p_partkey").cast("string").alias("value")).coalesce(1).write.text(path)
-    placed = readers.lines(spark, path)
-    return placed.select(F.col("value").cast("long").alias("p_partkey"), (F.col("_line") + 1).cast("int").alias("place"))
+    p = table(spark, sf_dir, "part").withColumn("down", -F.col("p_partkey"))
+    _ordered_files(p, F.col("p_size") % 8, ["down"], F.col("p_partkey").cast("string"), path)
+    part = F.regexp_extract("_file", r"part=(\d+)", 1).cast(p.schema["p_size"].dataType)
+    return readers.lines(spark, path).select(part.alias("part"), F.col("value").cast("long").alias("p_partkey"), (F.col("_line") + 1).cast("int").alias("place"))
 
 
 @query("s15_latest_of_log", "select l_orderkey as k, arg_max(l_quantity, l_linenumber::double * 1000000000 + l_partkey * 1000.0 + l_quantity) as v from lineitem group by l_orderkey")
 def s15_latest_of_log(spark, sf_dir):
-    """Of a log's lines for a key the last one counts."""
+    """Of a log's lines for a key the last one counts; a key's lines are in one of the log's files."""
     path = scratch(spark, "log")
-    table(spark, sf_dir, "lineitem").orderBy("l_linenumber", "l_partkey", "l_quantity").select(F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"))).alias("value")).coalesce(1).write.text(path)
+    value = F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v")))
+    _ordered_files(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 16, ["l_linenumber", "l_partkey", "l_quantity"], value, path)
     return readers.latest_by_key(readers.read_jsonl(spark, path, "k long, v double"), ["k"]).select("k", "v")
 
 

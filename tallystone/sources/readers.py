@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ranks
 from . import schemas
 
 
@@ -56,7 +57,7 @@ def read_words(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     timed = F.transform("_r.words", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end")))
     each = rows.select("_file", F.col("_line").alias("_seg"), F.posexplode(F.coalesce(timed, plain)).alias("_pos", "w")).where(F.trim("w.word") != "")
-    return each.select("_file", "_seg", F.expr("row_number() over (partition by _file order by _seg, _pos) - 1").alias("pos"), "w.word", "w.start", "w.end")
+    return ranks.numbered(each, ["_file"], ["_seg", "_pos"], "pos").select("_file", "_seg", "pos", "w.word", "w.start", "w.end")
 
 
 def read_voice_activity(spark: SparkSession, paths: str | list[str]) -> DataFrame:
