@@ -14,19 +14,34 @@ def span(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
+#: Spans that are merged by themselves before their results are joined, so that a list of n is copied n / CHUNK times.
+CHUNK = 128
+
+
+def _run(spans: Column) -> Column:
+    """The union of sorted spans, one after the other."""
+    start = F.struct(F.array().cast(KIND).alias("done"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    state = lambda done, low, high: F.struct(done.alias("done"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    closed = lambda s: F.when(s["high"].isNull(), s["done"]).otherwise(F.array_append(s["done"], span(s["low"], s["high"])))
+    step = lambda s, x: F.when(x["start"] < s["high"], state(s["done"], s["low"], F.greatest(s["high"], x["end"]))).otherwise(state(closed(s), x["start"], x["end"]))
+    return F.aggregate(spans, start, step, closed)
+
+
+def _after(done: Column, part: Column) -> Column:
+    """The union of two lists, each merged and sorted, the second not beginning before the first one's last span."""
+    last = F.try_element_at(done, F.lit(-1))
+    eaten = F.filter(part, lambda x: x["start"] < last["end"])
+    high = F.greatest(last["end"], F.try_element_at(eaten, F.lit(-1))["end"])
+    joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(span(last["start"], high)), F.slice(part, F.size(eaten) + 1, F.size(part)))
+    return F.when(F.size(done) == 0, part).when(F.size(eaten) == 0, F.concat(done, part)).otherwise(joined)
+
+
 def merged(spans: Column) -> Column:
     """The union of spans, sorted. Spans that only touch stay apart; nulls count as no spans."""
-    return F.aggregate(
-        F.array_sort(F.filter(F.coalesce(spans, F.array().cast(KIND)), lambda s: s.isNotNull())),
-        F.array().cast(KIND),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(span(F.try_element_at(done, F.lit(-1))["start"], F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]))),
-            ),
-        ).otherwise(F.concat(done, F.array(span(s["start"], s["end"])))),
-    )
+    ordered = F.array_sort(F.filter(F.coalesce(spans, F.array().cast(KIND)), lambda s: s.isNotNull()))
+    chunks = F.transform(F.array(ordered), lambda x: F.transform(F.sequence(F.lit(1), F.size(x), F.lit(CHUNK)), lambda at: F.slice(x, at, F.lit(CHUNK))))[0]
+    parts = F.transform(F.when(F.size(ordered) > 0, chunks), _run)
+    return F.coalesce(F.aggregate(parts, F.array().cast(KIND), _after), F.array().cast(KIND))
 
 
 def total(spans: Column) -> Column:
@@ -35,9 +50,8 @@ def total(spans: Column) -> Column:
 
 
 def shared(a: Column, b: Column) -> Column:
-    """The length common to two merged lists of spans."""
-    inner = lambda s: F.aggregate(b, F.lit(0), lambda n, t: n + F.greatest(F.lit(0), F.least(s["end"], t["end"]) - F.greatest(s["start"], t["start"])))
-    return F.coalesce(F.aggregate(a, F.lit(0), lambda n, s: n + inner(s)), F.lit(0))
+    """The length common to two merged lists of spans: what their lengths have beyond that of the union. 0 for null."""
+    return F.coalesce(total(a) + total(b) - total(merged(F.concat(a, b))), F.lit(0))
 
 
 def touched(start: Column, end: Column, spans: Column) -> Column:

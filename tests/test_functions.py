@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -232,3 +233,31 @@ def test_statistics_of_many_rows(spark):
         assert st.auc(levels, "s", "p").first()["auc"] == 1.0
     finally:
         F.count_if = count
+
+
+def test_long_lists_of_spans(spark):
+    """Unions and common lengths of random lists against sets of places; lists of many thousands in seconds."""
+    rng = random.Random(8)
+
+    def some(n, far, long):
+        return [(a, a + rng.randint(1, long)) for a in (rng.randint(0, far) for _ in range(n))]
+
+    rows = [(i, some(rng.choice([0, 1, 5, 127, 128, 129, 300]), rng.choice([50, 3000]), rng.choice([2, 40]), ), some(rng.choice([0, 3, 200]), 1000, 9)) for i in range(40)]
+    kind = f"i int, a {sp.KIND}, b {sp.KIND}"
+    got = spark.createDataFrame(rows, kind).select("i", sp.merged("a").alias("a"), sp.merged("b").alias("b"), sp.shared(sp.merged("a"), sp.merged("b")).alias("c")).collect()
+    for r in got:
+        for name, given in (("a", rows[r["i"]][1]), ("b", rows[r["i"]][2])):
+            want = []
+            for x, y in sorted(given):
+                if want and x < want[-1][1]:
+                    want[-1][1] = max(want[-1][1], y)
+                else:
+                    want.append([x, y])
+            assert [list(s) for s in r[name]] == want
+        places = lambda v: {p for x, y in v for p in range(x, y)}
+        assert r["c"] == len(places(rows[r["i"]][1]) & places(rows[r["i"]][2]))
+    many = spark.createDataFrame([(0, [(3 * k, 3 * k + 2) for k in range(20_000)], [(3 * k + 1, 3 * k + 4) for k in range(20_000)])], kind).cache()
+    many.count()
+    start = time.perf_counter()
+    assert many.select(sp.shared(sp.merged("a"), sp.merged("b")).alias("c")).first()["c"] == 39_999
+    assert time.perf_counter() - start < 8
