@@ -133,7 +133,7 @@ def located_quotes(quotes: DataFrame, texts: DataFrame, by: list[str], slack: in
         text = (t["text"].iloc[0] or "").split() if len(t) else []
         found = locate_quotes([(x or "").split() for x in q["quote"]], text, slack)
         first, last = ([None if f is None or f[1] <= f[0] else f[0] + (f[1] - f[0] - 1) * k for f in found] for k in (0, 1))
-        return pd.DataFrame({**dict(zip(by, ([k] * len(q) for k in key))), "pos": q["pos"].to_numpy(), "first": pd.array(first, "Int64"), "last": pd.array(last, "Int64")})
+        return pd.DataFrame({**{b: pd.Series([k] * len(q), dtype=object) for b, k in zip(by, key)}, "pos": q["pos"].to_numpy(), "first": pd.array(first, "Int64"), "last": pd.array(last, "Int64")})
 
     kinds = dict(quotes.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "pos long, first long, last long"])

@@ -151,7 +151,7 @@ def sentence_units(source: DataFrame, target: DataFrame, by: list[str], encode,
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = units(_stacked(rows[rows["side"] == 0]), _stacked(rows[rows["side"] == 1]), size, full, buffer)
         out = pd.DataFrame(found, columns=["source_at", "n_source", "target_at", "n_target"], dtype="int64")
-        return pd.DataFrame({**{c: [k] * len(out) for c, k in zip(by, key)}, "unit": range(len(out))}).join(out)
+        return pd.DataFrame({**{c: pd.Series([k] * len(out), dtype=object) for c, k in zip(by, key)}, "unit": range(len(out))}).join(out)
 
     kinds = dict(source.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "unit long, source_at long, n_source long, target_at long, n_target long"])

@@ -134,7 +134,7 @@ def resegmented(words: DataFrame, sentences: DataFrame, by: list[str]) -> DataFr
         w, s = w.sort_values("pos", kind="stable"), s.sort_values("sentence")
         numbers = s["sentence"].to_numpy()
         at = resegment([x or "" for x in w["word"]], [(x or "").split() for x in s["text"]])
-        return pd.DataFrame({**dict(zip(by, ([k] * len(w) for k in key))), "pos": w["pos"].to_numpy(), "sentence": pd.array(numbers[at] if len(s) else [None] * len(w), "Int64")})
+        return pd.DataFrame({**{b: pd.Series([k] * len(w), dtype=object) for b, k in zip(by, key)}, "pos": w["pos"].to_numpy(), "sentence": pd.array(numbers[at] if len(s) else [None] * len(w), "Int64")})
 
     kinds = dict(words.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "pos long, sentence long"])

@@ -60,7 +60,7 @@ def add_system(records: DataFrame, words: DataFrame, by: str, name: str, lan: st
             if not (w["word"].fillna("") != "").any():
                 raise ValueError("no words")
             at = _placed(method, w, s)
-            return pd.DataFrame({"doc": key[0], "pos": w["pos"].to_numpy(), "sentence": s["sentence"].to_numpy()[at], "error": None})
+            return pd.DataFrame({"doc": pd.Series([key[0]] * len(w), dtype=object), "pos": w["pos"].to_numpy(), "sentence": s["sentence"].to_numpy()[at], "error": None})
         except Exception as error:  # one document's fault is no other's
             return pd.DataFrame([(key[0], None, None, str(error))], columns=out.columns)
 

@@ -295,3 +295,15 @@ def test_located_quotes(spark, sf):
         assert [got[i, k] for k in range(3)] == [(None, None) if f is None or f[1] <= f[0] else (f[0], f[1] - 1) for f in found]
     long = [i for i, w in docs.items() if len(set(w[:14])) == 14]
     assert sum(got[i, 0] == (2, 5) and got[i, 1] == (8, 13) for i in long) > 0.9 * len(long) > 5
+
+
+def test_keys_of_any_kind(spark):
+    """Groups are named by strings, nulls and several columns as by numbers."""
+    words = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), (None, 2, 1, "x")], "k string, m int, pos long, word string")
+    refs = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 1, "y"), (None, 2, 5, "x")], "k string, m int, sentence long, text string")
+    assert {tuple(r) for r in resegmentation.resegmented(words, refs, ["k", "m"]).collect()} == {("a", 1, 1, 0), ("a", 1, 2, 1), (None, 2, 1, 5)}
+    quotes, texts = words.select("k", "m", "pos", F.col("word").alias("quote")), refs.groupBy("k", "m").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+    assert {tuple(r) for r in alignment.located_quotes(quotes, texts, ["k", "m"]).collect()} == {("a", 1, 1, 0, 0), ("a", 1, 2, 1, 1), (None, 2, 1, 0, 0)}
+    target = refs.select("k", "m", "sentence", "text")
+    units = parallel.sentence_units(refs, target, ["k", "m"], lambda t: encoders.encoded(t, lambda: encoders.trigram_encoder(64)))
+    assert {tuple(r)[:2] for r in units.collect()} == {("a", 1), (None, 2)}
