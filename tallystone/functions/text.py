@@ -64,9 +64,13 @@ def escaped_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+# Fixed value: how explanations begin that tell their class.
+ERROR_CLASS = r"^([a-z][a-z /-]{2,40}?):\s"
+
+
 def error_class(explanation: Column) -> Column:
     """The class that an explanation begins with ("wrong name: ..."); null if none."""
-    return F.nullif(F.regexp_extract(explanation, r"^([a-z][a-z /-]{2,40}?):\s", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(explanation, ERROR_CLASS, 1), F.lit(""))
 
 
 def json_answer(answer: Column, schema: str) -> Column:

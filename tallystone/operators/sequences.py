@@ -50,13 +50,22 @@ def sessions(df: DataFrame, by: list[str], start: str, end: str, order: list[str
     return out.drop("_row", "_last", "_inner", "_count", "_before", "_why", "_b", "_cell")
 
 
+def _reached(df: DataFrame, by: list[str], order: list[str], end: str, local: ranks.Local | None = None) -> DataFrame:
+    """Rows in cells with ``_reach``, the largest end of the rows before each, and ``_before``, that of the cells before."""
+    done = ranks.celled(df, by, order, {"_own": lambda w: F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)), **(local or {})})
+    small = ranks.cells(done, by, {"_m": F.max(end)}).withColumn("_before", F.max("_m").over(ranks.earlier(by))).drop("_m")
+    return ranks.joined(done, small, by).withColumn("_reach", F.greatest("_own", "_before"))
+
+
 def timeline(df: DataFrame, by: list[str], start: str, end: str, order: list[str]) -> DataFrame:
     """``df`` with ``silence`` and ``trim`` against the largest end so far, and ``offset`` of its untrimmed part in the joined whole."""
-    reached = ranks.extremes(df, by, order, end, "_reach", own=False)
     before, zero = F.col("_reach"), F.lit(0.0)
-    out = reached.withColumn("silence", F.coalesce(F.greatest(F.col(start) - before, zero), zero)).withColumn("trim", F.when(before > F.col(start), F.greatest(F.least(before, F.col(end)) - F.col(start), zero)).otherwise(zero)).drop("_reach")
-    length = F.col("silence") + F.col(end) - F.col(start) - F.col("trim")
-    return ranks.running(out, by, order, {"offset": length}).withColumn("offset", F.col("offset") + F.col("silence"))
+    out = _reached(df, by, order, end).withColumn("silence", F.coalesce(F.greatest(F.col(start) - before, zero), zero)).withColumn("trim", F.when(before > F.col(start), F.greatest(F.least(before, F.col(end)) - F.col(start), zero)).otherwise(zero))
+    sized = out.withColumn("_length", F.col("silence") + F.col(end) - F.col(start) - F.col("trim"))
+    small = ranks.cells(sized, by, {"_t": F.sum("_length")}).withColumn("_earlier", F.coalesce(F.sum("_t").over(ranks.earlier(by)), zero)).drop("_t")
+    w = W.partitionBy(*by, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = ranks.joined(sized, small, by).withColumn("offset", F.col("_earlier") + F.coalesce(F.sum("_length").over(w), zero) + F.col("silence"))
+    return placed.drop("_own", "_before", "_reach", "_length", "_earlier", "_cell")
 
 
 def halfway(df: DataFrame, by: list[str], start: str, end: str, order: list[str]) -> DataFrame:
@@ -66,11 +75,18 @@ def halfway(df: DataFrame, by: list[str], start: str, end: str, order: list[str]
 
 
 def clusters(df: DataFrame, by: list[str], low: str, high: str, order: list[str], tolerance: float) -> DataFrame:
-    """``df`` with ``cluster`` (from 0 within ``by``): a row joins while its low is within ``tolerance`` of the largest high so far."""
-    reached = ranks.extremes(df, by, [low, *order], high, "_reach", own=False)
-    apart = F.when(F.col("_reach").isNull() | (F.col(low) > F.col("_reach") + tolerance), 1).otherwise(0)
-    counted = ranks.running(reached.withColumn("_apart", apart), by, [low, *order], {"_before": F.col("_apart")})
-    return counted.withColumn("cluster", (F.col("_before") + F.col("_apart") - 1).cast("long")).drop("_apart", "_before", "_reach")
+    """``df`` with ``cluster`` (from 0 within ``by``): a row joins while its low is within ``tolerance`` of the largest high so far.
+
+    What the cells before reach only takes breaks away, and as lows ascend those at a cell's beginning: a cell is summed up by its reach, and by its own breaks beyond that of the cells before.
+    """
+    far = lambda reach: F.col(reach).isNull() | (F.col(low) > F.col(reach) + tolerance)
+    local: ranks.Local = {"_apart": lambda w: far("_own").cast("long"), "_count": lambda w: F.sum("_apart").over(w.rowsBetween(W.unboundedPreceding, 0))}
+    done = _reached(df, by, [low, *order], high, local)
+    real = (F.col("_apart") == 1) & far("_before")
+    small = ranks.cells(done, by, {"_n": F.count_if(real), "_lost": F.count_if((F.col("_apart") == 1) & ~far("_before"))})
+    small = small.withColumn("_earlier", F.coalesce(F.sum("_n").over(ranks.earlier(by)), F.lit(0))).drop("_n")
+    placed = ranks.joined(done, small, by).withColumn("cluster", (F.col("_earlier") + F.greatest(F.col("_count") - F.col("_lost"), F.lit(0)) - 1).cast("long"))
+    return placed.drop("_own", "_apart", "_count", "_before", "_reach", "_lost", "_earlier", "_cell")
 
 
 def running_maximum(df: DataFrame, by: list[str], value: str, order: list[str], out: str) -> DataFrame:
