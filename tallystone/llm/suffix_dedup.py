@@ -122,7 +122,7 @@ class Block:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, first start, number of starts and document's index of each run."""
-        parts = [(np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)]
+        parts = [(np.empty(0, np.uint64), *(np.empty(0, np.int32),) * 3)]
         first, most = 0, np.searchsorted(self.ends, self.begins + STEP, "right")
         while first < len(self.sizes):
             last = max(first + 1, int(most[first]))
@@ -135,7 +135,7 @@ class Block:
         begin = int(self.begins[first])
         counts = np.maximum(self.sizes[first:last] - self.length + 1, 0)
         if not counts.any():
-            return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+            return (np.empty(0, np.uint64), *(np.empty(0, np.int32),) * 3)
         key = _keys(np.frombuffer(self.data, np.uint8)[begin : int(self.ends[last - 1])], self.length)
         cuts = np.cumsum(counts)
         long = counts > 0
@@ -145,7 +145,7 @@ class Block:
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
         fresh[(cuts - counts)[long]] = True
         at = np.flatnonzero(fresh)
-        return key[at], starts[at].astype(np.int64) + begin, np.diff(np.append(at, len(key))), np.searchsorted(cuts, at, "right") + first
+        return key[at], starts[at] + np.int32(begin), np.diff(np.append(at, len(key))).astype(np.int32), (np.searchsorted(cuts, at, "right") + first).astype(np.int32)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -214,6 +214,7 @@ def _key_rows(buckets: int, length: int):
                     look = (_eight_at(view, start) * _A ^ _eight_at(view, start + count + length - 9)) * _B + count.astype(np.uint64)
                 order = np.lexsort((look, key))
                 key, look, rank = key[order], look[order], block.ranks[doc[order]]
+                del start, count, doc, order
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 several = np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)
                 differs = np.concatenate(([True], (key[1:] != key[:-1]) | (look[1:] != look[:-1])))
@@ -484,7 +485,7 @@ def _least(length: int):
 
 
 def _whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """``gone`` without the bytes of UTF-8 characters of which another byte stays."""
+    """``gone`` of a document without the bytes of UTF-8 characters of which another byte stays."""
     first = np.flatnonzero((data & 0xC0) != 0x80)
     return np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data)))) if len(first) and not first[0] else gone
 
@@ -497,7 +498,8 @@ def _applied(length: int, whole: bool):
         row = left.to_pylist()[0]
         block = Block.of(row, length)
         data = np.frombuffer(block.data, np.uint8)
-        gone = np.zeros(len(data) + 1, np.int32)
+        # where strings begin and end; each document has one place more, for those that end with it, so that documents are worked off one by one
+        change = np.zeros(len(data) + len(block.sizes), np.int8)
         answers = sorted(right.to_pylist(), key=lambda r: r["bucket"])
         if answers:
             plan, answers = answers[0], answers[1:]  # the plan's number is below all buckets
@@ -505,22 +507,22 @@ def _applied(length: int, whole: bool):
             count, place = _unpack(plan["ranks"], np.int32).astype(np.int64).reshape(2, -1)
             if [r["bucket"] for r in answers] != buckets.tolist():
                 raise ValueError("a bucket's answer is missing")
-            rank = block.ranks[np.searchsorted(block.ends, start, "right")]
+            doc = np.searchsorted(block.ends, start, "right")
+            rank = block.ranks[doc]
             end = 0
             for answer, n_runs in zip(answers, runs.tolist()):
                 own = slice(end, end := end + n_runs)
                 sizes = _unpack(answer["sizes"], np.int32).astype(np.int64)
                 n = count[own]
                 hit = _unpack(answer["ranks"], np.int64)[_slices((np.cumsum(sizes) - sizes)[place[own]], n)] < np.repeat(rank[own], n)
-                at = _slices(start[own], n)[hit]
-                gone[at] += 1
-                gone[at + length] -= 1
-        gone = np.cumsum(gone[:-1]) > 0
-        if whole:
-            gone = _whole_characters(gone, data)
+                at = _slices(start[own] + doc[own], n)[hit]
+                change[at] += 1
+                change[at + length] -= 1
         spans, kept = [], []
-        for i, j in zip(block.begins.tolist(), block.ends.tolist()):
-            mask = gone[i:j]
+        for k, (i, j) in enumerate(zip(block.begins.tolist(), block.ends.tolist())):
+            mask = np.cumsum(change[i + k : j + k], dtype=np.int32) > 0
+            if whole and mask.any():
+                mask = _whole_characters(mask, data[i:j])
             if not mask.any():
                 spans.append([])
                 kept.append(block.data[i:j])

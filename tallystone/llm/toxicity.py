@@ -27,8 +27,8 @@ TELLING = 15.0
 #: Lengths of the word beginnings and of the parts that are features beside the word itself.
 BEGINNINGS, PART = (4, 5, 6, 7, 8), 6
 THRESHOLD = 0.3
-#: Words whose score a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 800_000
+#: Words whose score a worker remembers, some 25 MB that later stages find taken; it forgets all of them beyond that.
+REMEMBERED = 200_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
