@@ -28,6 +28,14 @@ HELD = 1 << 18
 SPACE = b" "
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes (unsigned): each bit is that of over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The SimHash of a text as an unsigned 64-bit integer; 0 without words."""
     w = text.lower().split()  # bytes: lower() maps A-Z only, split() cuts at 0x20 and 0x09-0x0D
@@ -36,11 +44,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     if len(w) < words:
         return xxhash.xxh64_intdigest(SPACE.join(w), seed)
     digest, join = xxhash.xxh64_intdigest, SPACE.join
-    h = np.fromiter((digest(join(s), seed) for s in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return majority(np.fromiter((digest(join(s), seed) for s in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1))
 
 
 def _fingerprints(words: int, seed: int):

@@ -1,6 +1,7 @@
-"""Near copies by exact word-shingle similarity: MinHash signatures find candidates, their texts decide.
+"""Near copies by exact word-shingle similarity: SimHash fingerprints, and beyond their reach MinHash signatures, find candidates; their texts decide.
 
-Documents with the same set of shingles (five words each) are one node. Each node is indexed under ``BANDS`` keys of
+Documents with the same set of shingles (five words each) are one node. Nodes whose SimHash fingerprints (of the sets) differ in three bits at most are candidates first, as in
+``simhash.py``. Sets of similarity 0.8 may differ in up to some 20 bits, so what that leaves apart is searched by MinHash: each node is indexed under ``BANDS`` keys of
 ``ROWS`` minima each; nodes that share a key are candidates, and a pair is linked if the Jaccard similarity of its
 shingle sets is ``SIMILARITY`` at least. Two sets of similarity 0.8 share no key with probability (1 - 0.8 ** 5) ** 32,
 3 in a million. Within a key, the first member is compared with all others, then the first of the others with those of
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .shared import Table, connected_components, fresh
 
 WORDS = 5
@@ -64,16 +66,22 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _nodes(words: int):
+def _nodes(words: int, signed: bool = False):
+    """Each text's node with its index keys and size; ``signed``, also with its SimHash fingerprint ``fp``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, found, sizes = [], [], []
+            nodes, found, sizes, prints = [], [], [], []
             for t in b.column(2).cast(pa.binary()):
                 own = shingles(t.as_py() or b"", words)
                 sizes.append(len(own))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 found.append(keys(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "digest", "node", "keys", "size"])
+                if signed:
+                    prints.append(simhash.majority(own))
+            fp = [pa.array(np.array(prints, np.uint64).view(np.int64))] if signed else []
+            made = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *fp]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "digest", "node", "keys", "size", "fp"][: len(made)])
 
     return run
 
@@ -210,15 +218,27 @@ def _verified(similarity: float):
     return run
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints ``fp`` differ in ``simhash.DISTANCE`` bits at most; one pair for each node, and for each edge of a forest."""
+    fps = Table(nodes.groupBy("fp").agg(F.min("node").alias("one")), "fingerprints").df
+    same = nodes.select("node", "fp").join(fps, "fp").where("node <> one").select(F.col("one").alias("x"), F.col("node").alias("y"))
+    ends = lambda n, c: fps.select(F.col("fp").alias(n), F.col("one").alias(c))
+    linked = simhash.links(fps.select("fp")).join(ends("a", "x"), "a").join(ends("b", "y"), "b").select("x", "y")
+    return Table(same.union(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close").df
+
+
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all nodes whose sets are similar; every edge is verified.
 
-    ``nodes`` has distinct ``node`` with ``keys``, the ``size`` of its set and the ``digest`` of one of its texts; ``texts`` has ``digest`` and ``text``.
+    ``nodes`` has distinct ``node`` with ``keys``, the ``size`` of its set and the ``digest`` of one of its texts, and may have its fingerprint ``fp``; ``texts`` has ``digest`` and ``text``.
+    With fingerprints those close to each other are compared first, and keys then only join what is still apart.
     """
     every = nodes.select(F.explode("keys").alias("key"), "node", "size")
     several = every.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high").select("key")
     rows = Table(every.join(several, "key"), "keys")
-    named = Table(nodes.join(rows.df.select("node").distinct(), "node", "left_semi").select("node", "digest"), "candidates")
+    close = _close(nodes) if "fp" in nodes.columns else None
+    asked = rows.df.select("node") if close is None else rows.df.select("node").union(close.select("a")).union(close.select("b"))
+    named = Table(nodes.join(asked.distinct(), "node", "left_semi").select("node", "digest"), "candidates")
     kept = texts.join(named.df.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text")).join(named.df, "digest").select("node", "text")
     sets = Table(kept.mapInArrow(_sets(words), "node long, elements binary").withColumn("size", F.expr("octet_length(elements) div 8")), "sets")
 
@@ -227,6 +247,9 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: fl
         return Table(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "links").df
 
     edges, left, rooted = None, rows.df.withColumn("root", F.col("node")), None
+    if close is not None:
+        edges = verified(close)
+        left = rows.df.join(connected_components(edges), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     for _ in range(ROUNDS):
         # the first member of each key is compared with those of other components, and is then done
         first = left.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), "node").alias("one")).select("key", F.col("one.node").alias("_node"), F.col("one.size").alias("_size"), F.col("one.root").alias("_root"))
@@ -254,8 +277,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     doc_id keeps its row and counts as no candidate for the smallest.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    made = Table(texts.mapInArrow(_nodes(words), "doc_id long, digest long, node long, keys array<bigint>, size long"), "nodes")
-    nodes = Table(made.df.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("digest", "keys", "size")).alias("one")).select("node", "least", "one.digest", "one.keys", "one.size"), "distinct")
+    made = Table(texts.mapInArrow(_nodes(words, True), "doc_id long, digest long, node long, keys array<bigint>, size long, fp long"), "nodes")
+    nodes = Table(made.df.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("digest", "keys", "size", "fp")).alias("one")).select("node", "least", "one.digest", "one.keys", "one.size", "one.fp"), "distinct")
     rooted = connected_components(links(nodes.df.where(F.size("keys") > 0), texts.select("digest", "text"), words, similarity))
     placed = nodes.df.select("node", "least").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("root").agg(F.min("least").alias("component_id")).join(placed, "root").select("node", "component_id")
