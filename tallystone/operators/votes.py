@@ -16,8 +16,9 @@ def first_by(value, order, where: Column | None = None) -> Column:
 
 
 def largest_by(value, key, order) -> Column:
-    """The value of the largest key, of equals the one of the smallest order (a numeric column)."""
-    return F.max(F.struct(F.col(key).alias("k"), (-F.col(order)).alias("o"), F.col(value).alias("v")))["v"]
+    """The value of the largest key (a column or its name), of equals the one of the smallest order (a numeric column)."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.max(F.struct(key.alias("k"), (-F.col(order)).alias("o"), F.col(value).alias("v")))["v"]
 
 
 def all_votes(value: str) -> Column:
