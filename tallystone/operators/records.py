@@ -25,7 +25,7 @@ def word_range(words: Column, seg_start: Column, seg_end: Column, low: Column, h
     """struct(first, last), from 1: the words of a segment in the closed interval [low, high]; null for none.
 
     A word is where its middle is, or with unusable times spread evenly over the segment. If none is inside a
-    real interval the nearest to its middle is taken, of equals the first. A segment without length is in the interval as a whole or not.
+    real interval the nearest to its middle is taken, of equals (to six digits) the first. A segment without length is in the interval as a whole or not.
     """
     n = F.size(words)
     spread = F.transform(words, lambda _, i: seg_start + (i + 0.5) / n * (seg_end - seg_start))
@@ -33,7 +33,7 @@ def word_range(words: Column, seg_start: Column, seg_end: Column, low: Column, h
     at = F.when(timed, F.transform(words, lambda w: (w["start"] + w["end"]) / 2)).otherwise(spread)
     inside = F.filter(F.transform(at, lambda p, i: F.when((p >= low) & (p <= high), i + 1)), lambda i: i.isNotNull())
     middle = (low + high) / 2
-    nearest = F.array_min(F.transform(at, lambda p, i: F.struct(F.abs(p - middle).alias("d"), (i + 1).alias("i"))))["i"]
+    nearest = F.array_min(F.transform(at, lambda p, i: F.struct(F.round(F.abs(p - middle), 6).alias("d"), (i + 1).alias("i"))))["i"]
     pair = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
     point = ~timed & (seg_end - seg_start <= EPS)
     return (
