@@ -50,7 +50,7 @@ def add_system(records: DataFrame, words: DataFrame, by: str, name: str, lan: st
     spoken = words.select(by, "pos", F.trim("word").alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("line").cast("long").alias("line"))
 
     def run(key: tuple, w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(columns=["doc", "pos", "sentence", "error"])
+        out = pd.DataFrame(columns=["doc", "pos", "sentence", "word", "error"])
         if not len(w) or not len(s):
             return out
         w, s = w.sort_values("pos", kind="stable"), s.sort_values("sentence", kind="stable").reset_index(drop=True)
@@ -60,17 +60,18 @@ def add_system(records: DataFrame, words: DataFrame, by: str, name: str, lan: st
             if not (w["word"].fillna("") != "").any():
                 raise ValueError("no words")
             at = _placed(method, w, s)
-            return pd.DataFrame({"doc": pd.Series([key[0]] * len(w), dtype=object), "pos": w["pos"].to_numpy(), "sentence": s["sentence"].to_numpy()[at], "error": None})
+            return pd.DataFrame({"doc": pd.Series([key[0]] * len(w), dtype=object), "pos": w["pos"].to_numpy(), "sentence": s["sentence"].to_numpy()[at], "word": w["word"].to_numpy(), "error": None})
         except Exception as error:  # one document's fault is no other's
-            return pd.DataFrame([(key[0], None, None, str(error))], columns=out.columns)
+            return pd.DataFrame([(key[0], None, None, None, str(error))], columns=out.columns)
 
     kinds = dict(records.dtypes)
-    found = written(spoken.groupBy(by).cogroup(sides.groupBy(by)).applyInPandas(run, f"doc {kinds[by]}, pos long, sentence {kinds['sentence']}, error string"), "placed").withColumnRenamed("doc", by)
-    errors = found.where("error is not null").select(by, "error")
+    found = written(spoken.groupBy(by).cogroup(sides.groupBy(by)).applyInPandas(run, f"doc {kinds[by]}, pos long, sentence {kinds['sentence']}, word string, error string"), "placed").withColumnRenamed("doc", by)
+    # written places take few bytes a row, so their file's size says nothing of what they take in memory: none is broadcast
+    errors = found.where("error is not null").select(by, "error").hint("merge")
     good = found.where("error is null")
-    texts = good.join(spoken, [by, "pos"]).where(F.coalesce("word", F.lit("")) != "").groupBy(by, "sentence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), joiner).alias("_added"))
+    texts = good.where(F.coalesce("word", F.lit("")) != "").groupBy(by, "sentence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), joiner).alias("_added"))
     done = good.select(by).distinct().withColumn("_done", F.lit(True))
-    both = records.join(done, by, "left").join(texts, [by, "sentence"], "left")
+    both = records.join(done.hint("merge"), by, "left").join(texts.hint("merge"), [by, "sentence"], "left")
 
     def upserted(column: str, value) -> None:
         nonlocal both
