@@ -155,7 +155,8 @@ def sentence_units(source: DataFrame, target: DataFrame, by: list[str], encode,
 
     kinds = dict(source.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "unit long, source_at long, n_source long, target_at long, n_target long"])
-    return written(both.join(vectors, "text").select(*by, "side", "sentence", "size", "vector").groupBy(*by).applyInPandas(run, schema), "units")
+    # a vector is larger than its text, which is all that sizes are told from: none is broadcast
+    return written(both.join(vectors.hint("merge"), "text").select(*by, "side", "sentence", "size", "vector").groupBy(*by).applyInPandas(run, schema), "units")
 
 
 def labelled(found: DataFrame, by: list[str]) -> DataFrame:
@@ -200,13 +201,13 @@ def guessed(marked: DataFrame, words: DataFrame, source: DataFrame, by: list[str
     """
     held = W.partitionBy(*by, "unit")
     several = marked.where("n_target > 0").select(*by, F.col("owner").alias("unit"), F.col("of.at").alias("source_at"), F.col("of.n").alias("n_source"), "holder", F.explode(F.sequence("target_at", F.col("target_at") + F.col("n_target") - 1)).alias("target_at"))
-    placed = words.join(several, [*by, "target_at"]).withColumn("word_at", F.row_number().over(held.orderBy("pos")) - 1).withColumn("_n", F.count("*").over(held))
+    placed = words.join(several.hint("merge"), [*by, "target_at"]).withColumn("word_at", F.row_number().over(held.orderBy("pos")) - 1).withColumn("_n", F.count("*").over(held))
     size = F.greatest(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")), F.lit(1))
     inside = marked.where("n_source > 1").select(*by, "unit", F.explode(F.sequence("source_at", F.col("source_at") + F.col("n_source") - 1)).alias("sentence"))
     ends = F.array_sort(F.collect_list(F.struct("sentence", *(["_stop"] if timed else []), size.alias("size"))))
     told = source.withColumnRenamed("end", "_stop") if timed else source
-    known = inside.join(told, [*by, "sentence"]).groupBy(*by, "unit").agg(ends.alias("_of"))
-    both = placed.join(known, [*by, "unit"], "left")
+    known = inside.hint("merge").join(told, [*by, "sentence"]).groupBy(*by, "unit").agg(ends.alias("_of"))
+    both = placed.join(known.hint("merge"), [*by, "unit"], "left")
     upto = lambda i: F.aggregate(F.slice("_of", F.lit(1), i + 1), F.lit(0), lambda n, x: n + x["size"])
     if timed:
         passed = F.transform("_of", lambda x: (F.col("start") + F.col("end")) / 2 > x["_stop"])
@@ -247,9 +248,9 @@ def cut_points(placed: DataFrame, source: DataFrame, by: list[str], encode, wind
         ((F.col("y") > 0) & (F.col("y") < F.col("_n")) & F.coalesce(_ends_clause(F.try_element_at("_words", F.greatest(F.col("y"), F.lit(1)))), F.lit(False))).alias("clause"),
     )
     texts = source.select(*by, "sentence", F.coalesce("text", F.lit("")).alias("_source"))
-    paired = candidate.join(texts, [*by, "sentence"])
-    vectors = encode(paired.where("x < y").select("text").union(paired.select(F.col("_source").alias("text"))))
-    scored = paired.join(vectors.withColumnRenamed("vector", "_v"), "text", "left").join(vectors.select(F.col("text").alias("_source"), F.col("vector").alias("_u")), "_source", "left")
+    paired = candidate.join(texts.hint("merge"), [*by, "sentence"])
+    vectors = written(encode(paired.where("x < y").select("text").union(paired.select(F.col("_source").alias("text")))), "vectors").hint("merge")
+    scored = paired.join(vectors.withColumnRenamed("vector", "_v"), "text", "left").join(vectors.select(F.col("text").alias("_source"), F.col("vector").alias("_u")).hint("merge"), "_source", "left")
     dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
     lengths = F.abs(F.log((F.length("text") + 1) / (F.length("_source") + 1)))
     score = F.when(F.col("x") == F.col("y"), 0.0).otherwise(dot - length_weight * lengths + F.when(F.col("clause"), bonus).otherwise(0.0))
@@ -261,7 +262,7 @@ def cut_points(placed: DataFrame, source: DataFrame, by: list[str], encode, wind
     done = None
     for q in range(1, int(most)):
         grown = F.struct((F.col("best.loss") - F.col("score")).alias("loss"), F.array_append("best.path", F.col("y")).alias("path"))
-        now = now.join(rows.where(F.col("q") == q).drop("q", "n_source"), [*key, "x"]).groupBy(*key, "n_source", "y").agg(F.min(grown).alias("best")).withColumnRenamed("y", "x")
+        now = now.join(rows.where(F.col("q") == q).drop("q", "n_source").hint("merge"), [*key, "x"]).groupBy(*key, "n_source", "y").agg(F.min(grown).alias("best")).withColumnRenamed("y", "x")
         ended = now.where(F.col("n_source") == q + 1).select(*key, F.col("best.path").alias("_path"))
         done = ended if done is None else done.unionByName(ended)
         now = now.where(F.col("n_source") > q + 1)
@@ -269,4 +270,4 @@ def cut_points(placed: DataFrame, source: DataFrame, by: list[str], encode, wind
         return placed
     after = F.size(F.filter(F.slice("_path", F.lit(1), F.size("_path") - 1), lambda c: F.col("word_at") >= c))
     moved = F.when(F.col("_path").isNotNull(), F.col("source_at") + after).otherwise(F.col("at")).cast("long")
-    return placed.join(done, key, "left").withColumn("at", moved).drop("_path")
+    return placed.join(done.hint("merge"), key, "left").withColumn("at", moved).drop("_path")
