@@ -56,6 +56,11 @@ def joined(done: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     return done.join(right, same).drop(*(f"_rk_k{i}" for i in range(len(keys))))
 
 
+def backward(by: list[str], order: list[str]) -> WindowSpec:
+    """A key's cell from its end, up to each row: a frame that ends with the partition is computed anew for each row, this one isn't."""
+    return W.partitionBy(*by, "_cell").orderBy(*(F.col(c).desc() for c in order))
+
+
 def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """``df`` with the sums of ``values`` over the rows before each in its key; 0 for the first.
 
@@ -82,8 +87,7 @@ def extremes(df: DataFrame, by: list[str], order: list[str], value: str, out: st
     """``df`` with the largest (or least) ``value`` of the rows up to each in its key, or from it on (``ahead``); without ``own``, of the others there."""
     best, pick = (F.min, F.least) if least else (F.max, F.greatest)
     edge = 0 if own else 1
-    span = (edge, W.unboundedFollowing) if ahead else (W.unboundedPreceding, -edge)
-    done = celled(df, by, order, {"_rk_x": lambda w: best(value).over(w.rowsBetween(*span))})
+    done = celled(df, by, order, {"_rk_x": lambda w: best(value).over((backward(by, order) if ahead else w).rowsBetween(W.unboundedPreceding, -edge))})
     small = cells(done, by, {"_rk_m": best(value)}).withColumn("_rk_c", best("_rk_m").over(later(by) if ahead else earlier(by))).drop("_rk_m")
     return joined(done, small, by).withColumn(out, pick("_rk_x", "_rk_c")).drop("_rk_x", "_rk_c", "_cell")
 
@@ -93,7 +97,7 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], value: str) -> Da
     ready = df.withColumn("_rk_x", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"))))
     local: Local = {
         "_rk_p": lambda w: F.last("_rk_x", True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "_rk_n": lambda w: F.first("_rk_x", True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        "_rk_n": lambda w: F.last("_rk_x", True).over(backward(by, order).rowsBetween(W.unboundedPreceding, 0)),
     }
     done = celled(ready, by, order, local)
     place = F.when(F.col("_rk_x").isNotNull(), F.struct(*order))
