@@ -82,7 +82,6 @@ select x.conv_id, (x.n - 1)::bigint as sentence, round(coalesce(dot, 0) / (x.z *
 @query("m9_trigrams", TRIGRAMS)
 def m9_trigrams(spark, sf_dir):
     t = turns(spark, sf_dir)
-    vectors = encoders.trigrams(t, ["conv_id", "sentence"], "text")
-    pairs = t.select("conv_id", "sentence", (F.col("sentence") + 1).alias("following")).join(t.select("conv_id", F.col("sentence").alias("following")), ["conv_id", "following"])
-    keyed = pairs.select("conv_id", "sentence", F.col("conv_id").alias("_conv"), "following")
-    return encoders.cosines(keyed, vectors, ["conv_id", "sentence"], ["_conv", "following"], ["conv_id", "sentence"]).select("conv_id", "sentence", F.round("cosine", 6).alias("cosine"))
+    pairs = t.select("conv_id", "sentence", "text", F.expr("lead(text) over (partition by conv_id order by sentence)").alias("following"))
+    pairs = pairs.where("conv_id is not null and following is not null")
+    return pairs.select("conv_id", "sentence", F.round(encoders.cosine(F.col("text"), F.col("following")), 6).alias("cosine"))
