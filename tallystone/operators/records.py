@@ -196,14 +196,14 @@ def gold(votes: DataFrame, keys: list[str], any_votes: bool = False) -> DataFram
     """By keys (a segment's target) the combined ``gold`` of its annotators (``user``, ``gold``, ``spans``), merged ``gold_spans``, and ``by_user``.
 
     All must vote harmful, or with ``any_votes`` one; nulls don't vote. Spans are those of users who voted harmful, merged, where gold is true;
-    none where it is false, null where nobody voted.
+    none where it is false, null where nobody voted. The vote of a null user counts, but has no spans and no entry.
     """
     from ..functions import spans as sp
 
-    own = F.when(F.col("gold"), F.col("spans"))
+    own = F.when(F.col("gold") & F.col("user").isNotNull(), F.col("spans"))
     all_ = votes.groupBy(*keys).agg(
         (F.bool_or("gold") if any_votes else F.bool_and("gold")).alias("gold"), F.flatten(F.collect_list(own)).alias("_s"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("gold").isNotNull(), F.struct("user", "gold"))))).alias("by_user"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("gold").isNotNull() & F.col("user").isNotNull(), F.struct("user", "gold"))))).alias("by_user"),
     )
     return all_.select(*keys, "gold", F.when(F.col("gold"), sp.merged(F.col("_s"))).when(~F.col("gold"), F.array().cast(sp.KIND)).alias("gold_spans"), "by_user")
 
