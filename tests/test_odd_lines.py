@@ -11,7 +11,8 @@ KIND = pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_
 FRACTIONS = [(1, 1, 9.5, 0.06, 0.04, "A", "O"), (1, 2, 4.75, 0.06, 0.04, "R", "O"), (1, 1, 10.5, 0.06, 0.04, "R", "F"), (2, 3, 10.5, 0.06, 0.04, "A", "O"), (2, 4, 0.4, 0.06, 0.0, "N", "O"), (3, 1, 7.0, 0.0, 0.0, "N", "F")]
 NO_ORDER = [(None, 1, 9.0, 0.06, 0.04, "A", "O"), (None, 2, 30.0, 0.06, 0.04, "R", "O"), (4, 1, 5.0, 0.06, 0.04, "A", "O"), (4, 3, 5.0, 0.06, 0.04, "R", "F")]
 NO_FLAG = [(5, 1, 9.0, 0.06, 0.04, None, "O"), (5, 2, 5.0, 0.06, 0.04, "A", None), (6, 3, 8.0, 0.06, 0.04, None, "F")]
-LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG}
+NO_QUANTITY = [(7, 1, None, 0.06, 0.04, "A", "F"), (7, 2, None, 0.06, 0.04, "R", "F"), (8, 1, 5.0, 0.06, 0.04, "A", "F"), (8, 3, None, 0.06, 0.04, "A", "F")]
+LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG, "no quantity": NO_QUANTITY}
 
 
 def differing(spark, folder, name, lines):
@@ -23,7 +24,7 @@ def differing(spark, folder, name, lines):
     return [sorted(map(tuple, r), key=str) for r in (rows, sql.fetchall())]
 
 
-@pytest.mark.parametrize("name, kind", [("g9_gold", "fractions"), ("g9_gold", "no order"), ("g9_gold", "no flag")])
+@pytest.mark.parametrize("name, kind", [("g9_gold", "fractions"), ("g9_gold", "no order"), ("g9_gold", "no flag"), ("i6_merged_spans", "fractions"), ("i6_merged_spans", "no quantity")])
 def test_as_in_sql(spark, tmp_path, name, kind):
     got, want = differing(spark, tmp_path, name, LINES[kind])
     assert got == want
