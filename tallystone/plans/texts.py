@@ -166,6 +166,11 @@ def _spans(spark, sf_dir):
     )
 
 
+def _met(n):
+    """A number of what spans of one order have in common; 0 for lines without an order, which meet none, as in a join."""
+    return F.when(F.col("l_orderkey").isNotNull(), n).otherwise(F.lit(0))
+
+
 MERGED = """{name} as (select l_orderkey, min(lo) as lo, max(hi) as hi from (select *, sum((reach is null or lo >= reach)::int) over (partition by l_orderkey order by lo, hi rows unbounded preceding) as g from
   (select *, max(hi) over (partition by l_orderkey order by lo, hi rows between unbounded preceding and 1 preceding) as reach from
     (select l_orderkey, l_linenumber * 10 as lo, (l_linenumber * 10 + l_quantity)::int as hi from lineitem where {where}))) group by l_orderkey, g)"""
@@ -183,7 +188,7 @@ def i6_merged_spans(spark, sf_dir):
 select l_orderkey, coalesce(both_len, 0)::int as common from (select distinct l_orderkey from lineitem) left join b using (l_orderkey)""")
 def i9_shared_length(spark, sf_dir):
     m = _spans(spark, sf_dir).select("l_orderkey", sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"))
-    return m.select("l_orderkey", sp.shared(F.col("h"), F.col("m")).alias("common"))
+    return m.select("l_orderkey", _met(sp.shared(F.col("h"), F.col("m"))).alias("common"))
 
 
 @query("a10_span_coverage", f"""with {HUMAN}, {MODEL}, b as (select sum(greatest(0, least(h.hi, m.hi) - greatest(h.lo, m.lo))) as x from h join m using (l_orderkey))

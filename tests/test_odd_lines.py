@@ -4,7 +4,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from tallystone.functions import spans as sp
 from tallystone.plans import catalog
 
 KIND = pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_quantity", pa.float64()), ("l_tax", pa.float64()), ("l_discount", pa.float64()), ("l_returnflag", pa.string()), ("l_linestatus", pa.string())])
@@ -12,7 +14,10 @@ FRACTIONS = [(1, 1, 9.5, 0.06, 0.04, "A", "O"), (1, 2, 4.75, 0.06, 0.04, "R", "O
 NO_ORDER = [(None, 1, 9.0, 0.06, 0.04, "A", "O"), (None, 2, 30.0, 0.06, 0.04, "R", "O"), (4, 1, 5.0, 0.06, 0.04, "A", "O"), (4, 3, 5.0, 0.06, 0.04, "R", "F")]
 NO_FLAG = [(5, 1, 9.0, 0.06, 0.04, None, "O"), (5, 2, 5.0, 0.06, 0.04, "A", None), (6, 3, 8.0, 0.06, 0.04, None, "F")]
 NO_QUANTITY = [(7, 1, None, 0.06, 0.04, "A", "F"), (7, 2, None, 0.06, 0.04, "R", "F"), (8, 1, 5.0, 0.06, 0.04, "A", "F"), (8, 3, None, 0.06, 0.04, "A", "F")]
-LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG, "no quantity": NO_QUANTITY}
+REVERSED = [(9, 5, -5.0, 0.06, 0.04, "A", "F"), (9, 4, 20.0, 0.06, 0.04, "N", "O"), (10, 2, 15.0, 0.06, 0.04, "A", "O"), (10, 4, -9.0, 0.06, 0.04, "R", "O")]
+LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG, "no quantity": NO_QUANTITY, "reversed": REVERSED}
+CASES = [("g9_gold", "fractions"), ("g9_gold", "no order"), ("g9_gold", "no flag"), ("i6_merged_spans", "fractions"), ("i6_merged_spans", "no quantity")]
+SHARED = [(n, k) for n in ("i9_shared_length",) for k in ("fractions", "no order", "reversed")]
 
 
 def differing(spark, folder, name, lines):
@@ -24,7 +29,13 @@ def differing(spark, folder, name, lines):
     return [sorted(map(tuple, r), key=str) for r in (rows, sql.fetchall())]
 
 
-@pytest.mark.parametrize("name, kind", [("g9_gold", "fractions"), ("g9_gold", "no order"), ("g9_gold", "no flag"), ("i6_merged_spans", "fractions"), ("i6_merged_spans", "no quantity")])
+@pytest.mark.parametrize("name, kind", CASES + SHARED)
 def test_as_in_sql(spark, tmp_path, name, kind):
     got, want = differing(spark, tmp_path, name, LINES[kind])
     assert got == want
+
+
+@pytest.mark.parametrize("a, b", [(None, "x"), ("x", None), (None, None)])
+def test_nothing_is_shared_with_null(spark, a, b):
+    lists = {"x": F.array(sp.span(F.lit(0), F.lit(5))), None: F.lit(None).cast(sp.KIND)}
+    assert spark.range(1).select(sp.shared(lists[a], lists[b])).first()[0] == 0
