@@ -195,9 +195,15 @@ def i9_shared_length(spark, sf_dir):
 select (select sum(hi - lo) from h)::bigint as human_len, (select sum(hi - lo) from m)::bigint as model_len, x::bigint as common, (select count(*) from h)::bigint as human_spans,
   (select count(*) from h where exists (select 1 from m where m.l_orderkey = h.l_orderkey and m.lo < h.hi and h.lo < m.hi))::bigint as hit from b""")
 def a10_span_coverage(spark, sf_dir):
-    m = _spans(spark, sf_dir).select(sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"))
-    hits = F.size(F.filter("h", lambda s: sp.touched(s["start"], s["end"], F.col("m"))))
-    return m.agg(F.sum(sp.total(F.col("h"))).alias("human_len"), F.sum(sp.total(F.col("m"))).alias("model_len"), F.sum(sp.shared(F.col("h"), F.col("m"))).alias("common"), F.sum(F.size("h")).alias("human_spans"), F.sum(hits).alias("hit"))
+    m = _spans(spark, sf_dir).select("l_orderkey", sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"))
+    hits = _met(F.size(F.filter("h", lambda s: sp.touched(s["start"], s["end"], F.col("m")))))
+    some_h, some_m = F.size("h") > 0, F.size("m") > 0
+    length = lambda there, n: F.sum(F.when(there, n))  # noqa: E731  null where there is no span at all; counts are 0 there
+    return m.agg(
+        length(some_h, sp.total(F.col("h"))).alias("human_len"), length(some_m, sp.total(F.col("m"))).alias("model_len"),
+        length(some_h & some_m & F.col("l_orderkey").isNotNull(), sp.shared(F.col("h"), F.col("m"))).alias("common"),
+        F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("human_spans"), F.coalesce(F.sum(hits), F.lit(0)).alias("hit"),
+    )
 
 
 @query("i13_marked", "select item_id, substr(text, 1, 3) || '«' || substr(text, 4, 5) || '»' || substr(text, 9) as marked from benchmark")

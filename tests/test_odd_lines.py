@@ -16,10 +16,10 @@ NO_FLAG = [(5, 1, 9.0, 0.06, 0.04, None, "O"), (5, 2, 5.0, 0.06, 0.04, "A", None
 NO_QUANTITY = [(7, 1, None, 0.06, 0.04, "A", "F"), (7, 2, None, 0.06, 0.04, "R", "F"), (8, 1, 5.0, 0.06, 0.04, "A", "F"), (8, 3, None, 0.06, 0.04, "A", "F")]
 REVERSED = [(9, 5, -5.0, 0.06, 0.04, "A", "F"), (9, 4, 20.0, 0.06, 0.04, "N", "O"), (10, 2, 15.0, 0.06, 0.04, "A", "O"), (10, 4, -9.0, 0.06, 0.04, "R", "O")]
 LONG = [(11, 1, 71.0, 0.06, 0.04, "A", "F"), (11, 4, 610.0, 0.06, 0.04, "N", "O")]
-LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG, "no quantity": NO_QUANTITY, "reversed": REVERSED, "long": LONG}
+LINES = {"fractions": FRACTIONS, "no order": NO_ORDER, "no flag": NO_FLAG, "no quantity": NO_QUANTITY, "reversed": REVERSED, "long": LONG, "none": [], "one side": NO_FLAG[:1]}
 CASES = [("g9_gold", "fractions"), ("g9_gold", "no order"), ("g9_gold", "no flag"), ("i6_merged_spans", "fractions"), ("i6_merged_spans", "no quantity")]
-SHARED = [(n, k) for n in ("i9_shared_length", "t7_dice_iou") for k in ("fractions", "no order", "reversed")]
-CASES += [("t7_dice_iou", "long")]
+SHARED = [(n, k) for n in ("i9_shared_length", "t7_dice_iou", "a10_span_coverage") for k in ("fractions", "no order", "reversed")]
+CASES += [("t7_dice_iou", "long"), ("a10_span_coverage", "none"), ("a10_span_coverage", "one side")]
 
 
 def differing(spark, folder, name, lines):
