@@ -150,3 +150,36 @@ def encoded(texts: DataFrame, make: Callable[[], Encoder], batch: int = 256) ->
                 yield part.assign(vector=list(encoder(part["text"].tolist())))
 
     return texts.select("text").where("text is not null").distinct().mapInPandas(run, "text string, vector array<float>")
+
+
+class InTask:
+    """An encoder that runs where the texts are: no vector is written or sent. A text that several tasks or calls have is encoded by each."""
+
+    def __init__(self, make: Callable[[], Encoder], batch: int = 256):
+        self.make, self.batch, self.made = make, batch, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}  # each task makes its own
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """The vectors of texts (one at least), a row each."""
+        self.made = self.made or self.make()
+        return np.concatenate([self.made(texts[at : at + self.batch]) for at in range(0, len(texts), self.batch)])
+
+    def dot(self, a: Column, b: Column) -> Column:
+        """The sum of the products of the vectors of two texts of one row, added in their order; null if one is null."""
+
+        @F.arrow_udf("double")
+        def dots(a: pa.Array, b: pa.Array) -> pa.Array:
+            out: list[float | None] = [None] * len(a)
+            pairs = [(i, x, y) for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())) if x is not None and y is not None]
+            for at in range(0, len(pairs), self.batch):
+                part = pairs[at : at + self.batch]
+                places = {t: k for k, t in enumerate(dict.fromkeys(t for _, *both in part for t in both))}
+                v = self(list(places)).astype(np.float64)
+                x, y = (v[[places[p[k]] for p in part]] for k in (1, 2))
+                for (i, *_), value in zip(part, np.add.accumulate(x * y, axis=1)[:, -1].tolist()):
+                    out[i] = value
+            return pa.array(out, pa.float64())
+
+        return dots(a, b)

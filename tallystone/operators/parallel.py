@@ -1,12 +1,12 @@
 """Sentence alignment of a text with its translation: n:m units, their labels, and cut points within them.
 
-Pieces of consecutive sentences are rows; each distinct text is encoded once. A document's units come from a coarse-to-fine dynamic programme: both sides are
+Pieces of consecutive sentences are rows, and each distinct text is encoded once; or texts are encoded in the task that needs them, and no vector is written. A document's units come from a coarse-to-fine dynamic programme: both sides are
 halved by averaging neighbours' vectors until the full table is small, and the path of each coarser level gives the band of the next, so work and memory grow with the
 document's length. A pair of pieces costs (1 - cosine) times their sentences, over what the pieces cost with sentences from all over the other side; leaving a
 sentence out costs a low percentile of the costs of such random pairs.
 
 Words of units of several source sentences are divided at first by time or in proportion to length. Then the cut points are moved: candidate pieces
-about each first guess are rows, encoded once, and a programme over cut positions runs as one join and one aggregation for each sentence of a unit.
+about each first guess are rows, encoded likewise, and a programme over cut positions runs as one join and one aggregation for each sentence of a unit.
 """
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.written import written
+from .encoders import InTask
 
 #: Sentences of both sides in one unit at most; pairs that a full table may have; cells about the path besides half of SIZE; sampled sentences.
 SIZE, FULL, BUFFER, SAMPLES = 5, 90_000, 5, 20
@@ -138,25 +139,36 @@ def _stacked(part: pd.DataFrame) -> list[np.ndarray]:
     return [np.stack([np.asarray(v, np.float64) for v in g.sort_values("sentence")["vector"]]) for _, g in sorted(part.groupby("size"), key=lambda x: x[0])]
 
 
+def _encoded(part: pd.DataFrame, encode: InTask, size: int) -> list[np.ndarray]:
+    """Vectors of pieces by size and sentence, encoded here."""
+    texts = [t or "" for t in part.sort_values("sentence")["text"]]
+    all_ = [[" ".join(texts[i : i + k]) for i in range(len(texts) - k + 1)] for k in range(1, size)]
+    return [encode(x).astype(np.float64) for x in all_ if x]
+
+
 def sentence_units(source: DataFrame, target: DataFrame, by: list[str], encode, size: int = SIZE, full: int = FULL, buffer: int = BUFFER) -> DataFrame:
     """Aligned units: ``by``, ``unit`` (from 0), ``source_at``, ``n_source``, ``target_at``, ``n_target``; starts count sentences from 0 in order.
 
     Both sides have ``by``, ``sentence`` (its order) and ``text``; ``encode`` gives distinct texts (``text``) their unit vectors (``vector``), as
-    ``encoders.encoded`` does. A unit has ``size`` sentences of both sides at most; n:m, n:0 and 0:m. Keys of one side only have units of the other
+    ``encoders.encoded`` does, or is an ``encoders.InTask``, which encodes a document's pieces where they meet. A unit has ``size`` sentences of both sides at most; n:m, n:0 and 0:m. Keys of one side only have units of the other
     side's nothing. Each step depends on those before, so a document is one group, of memory in proportion to its sentences.
     """
-    both = pieces(source, by, size).withColumn("side", F.lit(0)).unionByName(pieces(target, by, size).withColumn("side", F.lit(1)))
-    vectors = encode(both.select("text"))
+    kinds = dict(source.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "unit long, source_at long, n_source long, target_at long, n_target long"])
+    inside = isinstance(encode, InTask)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = units(_stacked(rows[rows["side"] == 0]), _stacked(rows[rows["side"] == 1]), size, full, buffer)
+        sides = (rows[rows["side"] == k] for k in (0, 1))
+        found = units(*(_encoded(x, encode, size) if inside else _stacked(x) for x in sides), size, full, buffer)
         out = pd.DataFrame(found, columns=["source_at", "n_source", "target_at", "n_target"], dtype="int64")
         return pd.DataFrame({**{c: pd.Series([k] * len(out), dtype=object) for c, k in zip(by, key)}, "unit": range(len(out))}).join(out)
 
-    kinds = dict(source.dtypes)
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "unit long, source_at long, n_source long, target_at long, n_target long"])
-    # a vector is larger than its text, which is all that sizes are told from: none is broadcast
-    return written(both.join(vectors.hint("merge"), "text").select(*by, "side", "sentence", "size", "vector").groupBy(*by).applyInPandas(run, schema), "units")
+    each = lambda x: x.select(*by, "sentence", "text") if inside else pieces(x, by, size)
+    rows = each(source).withColumn("side", F.lit(0)).unionByName(each(target).withColumn("side", F.lit(1)))
+    if not inside:
+        # a vector is larger than its text, which is all that sizes are told from: none is broadcast
+        rows = rows.join(encode(rows.select("text")).hint("merge"), "text").select(*by, "side", "sentence", "size", "vector")
+    return written(rows.groupBy(*by).applyInPandas(run, schema), "units")
 
 
 def labelled(found: DataFrame, by: list[str]) -> DataFrame:
@@ -233,6 +245,7 @@ def cut_points(placed: DataFrame, source: DataFrame, by: list[str], encode, wind
     absolute logarithm of the lengths' ratio, and ``bonus`` where the piece ends a clause before the unit's end; an empty piece has 0. Of equal sums the earlier cuts win.
     """
     key = [*by, "unit"]
+    placed = written(placed, "placed")
     split = placed.where("n_source > 1")
     cuts = F.transform(F.sequence(F.lit(1), F.col("n_source").cast("int") - 1), lambda q: F.size(F.filter("_at", lambda a: a < F.col("source_at") + q)))
     listed = split.groupBy(*key, "source_at", "n_source").agg(F.array_sort(F.collect_list(F.struct("word_at", "word", "at"))).alias("_w"))
@@ -242,16 +255,20 @@ def cut_points(placed: DataFrame, source: DataFrame, by: list[str], encode, wind
     # where q is the first or the last, the other branch must not be looked up
     starts = F.when(F.col("q") == 0, F.array(F.lit(0))).otherwise(near(F.greatest(F.col("q"), F.lit(1))))
     ends = F.when(F.col("q") == F.col("n_source") - 1, F.array(F.col("_n"))).otherwise(near(F.least(F.col("q") + 1, F.col("n_source").cast("int") - 1)))
-    every = part.withColumn("x", F.explode(starts)).withColumn("y", F.explode(ends)).where("x <= y")
-    candidate = every.select(
-        *key, (F.col("source_at") + F.col("q")).alias("sentence"), "q", "n_source", "x", "y", F.array_join(F.slice("_words", F.col("x") + 1, F.col("y") - F.col("x")), " ").alias("text"),
+    texts = source.select(*by, "sentence", F.coalesce("text", F.lit("")).alias("_source"))
+    # a unit's words meet its sentences before candidates are made of them
+    part = part.select(*key, (F.col("source_at") + F.col("q")).alias("sentence"), "q", "n_source", "_words", "_n", starts.alias("_from"), ends.alias("_to")).join(texts.hint("merge"), [*by, "sentence"])
+    every = part.withColumn("x", F.explode("_from")).withColumn("y", F.explode("_to")).where("x <= y")
+    paired = every.select(
+        *key, "_source", "q", "n_source", "x", "y", F.array_join(F.slice("_words", F.col("x") + 1, F.col("y") - F.col("x")), " ").alias("text"),
         ((F.col("y") > 0) & (F.col("y") < F.col("_n")) & F.coalesce(_ends_clause(F.try_element_at("_words", F.greatest(F.col("y"), F.lit(1)))), F.lit(False))).alias("clause"),
     )
-    texts = source.select(*by, "sentence", F.coalesce("text", F.lit("")).alias("_source"))
-    paired = candidate.join(texts.hint("merge"), [*by, "sentence"])
-    vectors = written(encode(paired.where("x < y").select("text").union(paired.select(F.col("_source").alias("text")))), "vectors").hint("merge")
-    scored = paired.join(vectors.withColumnRenamed("vector", "_v"), "text", "left").join(vectors.select(F.col("text").alias("_source"), F.col("vector").alias("_u")).hint("merge"), "_source", "left")
-    dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    if isinstance(encode, InTask):
+        scored, dot = paired, encode.dot(F.col("_source"), F.when(F.col("x") < F.col("y"), F.col("text")))
+    else:
+        vectors = written(encode(paired.where("x < y").select("text").union(paired.select(F.col("_source").alias("text")))), "vectors").hint("merge")
+        scored = paired.join(vectors.withColumnRenamed("vector", "_v"), "text", "left").join(vectors.select(F.col("text").alias("_source"), F.col("vector").alias("_u")).hint("merge"), "_source", "left")
+        dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
     lengths = F.abs(F.log((F.length("text") + 1) / (F.length("_source") + 1)))
     score = F.when(F.col("x") == F.col("y"), 0.0).otherwise(dot - length_weight * lengths + F.when(F.col("clause"), bonus).otherwise(0.0))
     rows = written(scored.select(*key, "q", "n_source", "x", "y", score.alias("score")), "pieces")

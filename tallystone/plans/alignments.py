@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encoders, parallel, resegmentation
+from ..sources.written import written
 from .base import query, table
 
 CHANGED = "crc32(concat_ws(':', conv_id, pos))"
@@ -48,14 +49,14 @@ def translated(spark, sf_dir) -> DataFrame:
     return w.withColumn("_first", first.cast("int")).select("conv_id", "pos", word.alias("word"), target.cast("long").alias("target_at"))
 
 
-def encode(texts: DataFrame) -> DataFrame:
-    return encoders.encoded(texts, lambda: encoders.trigram_encoder(256))
+#: Trigrams cost less to count again than their vectors to write.
+ENCODE = encoders.InTask(lambda: encoders.trigram_encoder(256))
 
 
 def _units(spark, sf_dir):
-    source, words = sentences(spark, sf_dir), translated(spark, sf_dir)
+    source, words = sentences(spark, sf_dir), written(translated(spark, sf_dir), "words")
     target = words.groupBy("conv_id", F.col("target_at").alias("sentence")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return source, words, parallel.labelled(parallel.sentence_units(source, target, ["conv_id"], encode), ["conv_id"])
+    return source, words, parallel.labelled(parallel.sentence_units(source, target, ["conv_id"], ENCODE), ["conv_id"])
 
 
 @query("m12_labels")
@@ -68,7 +69,7 @@ def m12_labels(spark, sf_dir):
 def m13_cut_points(spark, sf_dir):
     source, words, marked = _units(spark, sf_dir)
     placed = parallel.guessed(marked, words, source, ["conv_id"])
-    return parallel.cut_points(placed, source, ["conv_id"], encode).select("conv_id", "pos", "unit", "at")
+    return parallel.cut_points(placed, source, ["conv_id"], ENCODE).select("conv_id", "pos", "unit", "at")
 
 
 TRIGRAMS = """
