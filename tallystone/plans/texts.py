@@ -166,6 +166,16 @@ def _spans(spark, sf_dir):
     )
 
 
+def _merged(spark, sf_dir):
+    """Both lists of spans merged, and apart from them the lines that the SQL takes as spans without an end."""
+    s = _spans(spark, sf_dir)
+    return s.select("l_orderkey", sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"), sp.endless(F.col("human")).alias("h_endless"), sp.endless(F.col("model")).alias("m_endless"))
+
+
+def _common():
+    return sp.shared_endless(F.col("h"), F.col("h_endless"), F.col("m"), F.col("m_endless"))
+
+
 def _met(n):
     """A number of what spans of one order have in common; 0 for lines without an order, which meet none, as in a join."""
     return F.when(F.col("l_orderkey").isNotNull(), n).otherwise(F.lit(0))
@@ -195,14 +205,15 @@ def i9_shared_length(spark, sf_dir):
 select (select sum(hi - lo) from h)::bigint as human_len, (select sum(hi - lo) from m)::bigint as model_len, x::bigint as common, (select count(*) from h)::bigint as human_spans,
   (select count(*) from h where exists (select 1 from m where m.l_orderkey = h.l_orderkey and m.lo < h.hi and h.lo < m.hi))::bigint as hit from b""")
 def a10_span_coverage(spark, sf_dir):
-    m = _spans(spark, sf_dir).select("l_orderkey", sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"))
+    m = _merged(spark, sf_dir)
     hits = _met(F.size(F.filter("h", lambda s: sp.touched(s["start"], s["end"], F.col("m")))))
     some_h, some_m = F.size("h") > 0, F.size("m") > 0
+    any_h, any_m = some_h | (F.size("h_endless") > 0), some_m | (F.size("m_endless") > 0)
     length = lambda there, n: F.sum(F.when(there, n))  # noqa: E731  null where there is no span at all; counts are 0 there
     return m.agg(
         length(some_h, sp.total(F.col("h"))).alias("human_len"), length(some_m, sp.total(F.col("m"))).alias("model_len"),
-        length(some_h & some_m & F.col("l_orderkey").isNotNull(), sp.shared(F.col("h"), F.col("m"))).alias("common"),
-        F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("human_spans"), F.coalesce(F.sum(hits), F.lit(0)).alias("hit"),
+        length(any_h & any_m & F.col("l_orderkey").isNotNull(), _common()).alias("common"),
+        F.coalesce(F.sum(F.size("h") + F.size("h_endless")), F.lit(0)).alias("human_spans"), F.coalesce(F.sum(hits), F.lit(0)).alias("hit"),
     )
 
 
