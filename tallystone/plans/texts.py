@@ -197,8 +197,7 @@ def i6_merged_spans(spark, sf_dir):
 @query("i9_shared_length", f"""with {HUMAN}, {MODEL}, b as (select l_orderkey, sum(greatest(0, least(h.hi, m.hi) - greatest(h.lo, m.lo))) as both_len from h join m using (l_orderkey) group by l_orderkey)
 select l_orderkey, coalesce(both_len, 0)::int as common from (select distinct l_orderkey from lineitem) left join b using (l_orderkey)""")
 def i9_shared_length(spark, sf_dir):
-    m = _spans(spark, sf_dir).select("l_orderkey", sp.merged(F.col("human")).alias("h"), sp.merged(F.col("model")).alias("m"))
-    return m.select("l_orderkey", _met(sp.shared(F.col("h"), F.col("m"))).alias("common"))
+    return _merged(spark, sf_dir).select("l_orderkey", _met(_common()).alias("common"))
 
 
 @query("a10_span_coverage", f"""with {HUMAN}, {MODEL}, b as (select sum(greatest(0, least(h.hi, m.hi) - greatest(h.lo, m.lo))) as x from h join m using (l_orderkey))
